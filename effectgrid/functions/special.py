@@ -1,6 +1,8 @@
 """Special functions as Column expressions (Catalyst only, no Python workers).
 
 They run on aggregated rows: one row per model fit or contingency table.
+Arguments are column names or SQL fragments; the formulas are SQL text, which
+Spark parses in one step.
 """
 
 from __future__ import annotations
@@ -10,83 +12,78 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_HALF_LN_PI = 0.5 * math.log(math.pi)
+_HALF_LN_2PI = 0.5 * math.log(2 * math.pi)
+# fixed values: coefficients of Stirling's series for ln Gamma
+_STIRLING = ["1D/12", "-1D/360", "1D/1260", "-1D/1680", "1D/1188", "-691D/360360"]
 
-def ln_gamma(x: Column) -> Column:
+
+def ln_gamma_sql(x: str) -> str:
     """ln Gamma(x) for x > 0: Stirling's series after a shift by eight."""
-    y = x + F.lit(8.0)
-    inv = F.lit(1.0) / y
-    inv2 = inv * inv
-    # fixed values: Bernoulli terms 1/12, -1/360, 1/1260, -1/1680, 1/1188, -691/360360
-    terms = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360]
-    series = F.lit(terms[-1])
-    for t in reversed(terms[:-1]):
-        series = F.lit(t) + inv2 * series
-    stirling = (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + inv * series
-    shift = x
-    for k in range(1, 8):
-        shift = shift * (x + F.lit(float(k)))
-    return stirling - F.log(shift)
-
-
-def ln_factorial(n: Column) -> Column:
-    return ln_gamma(n.cast("double") + F.lit(1.0))
-
-
-def _beta_fraction(a: Column, b: Column, x: Column, steps: Column) -> Column:
-    """Continued fraction of the incomplete beta function, folded from its tail."""
-    one = F.lit(1.0)
+    y = f"(({x}) + 8D)"
+    series = _STIRLING[-1]
+    for coefficient in reversed(_STIRLING[:-1]):
+        series = f"({coefficient} + ({series}) / ({y} * {y}))"
+    product = " * ".join(f"(({x}) + {k}D)" for k in range(8))
+    return (
+        f"(({y} - 0.5D) * ln({y}) - {y} + {_HALF_LN_2PI!r}D + {series} / {y} - ln({product}))"
+    )
+
+
+def ln_factorial_sql(n: str) -> str:
+    return ln_gamma_sql(f"double({n}) + 1D")
+
+
+def ln_gamma(x: str) -> Column:
+    return F.expr(ln_gamma_sql(x))
 
-    def fold(acc: Column, k: Column) -> Column:
-        m = k.cast("double")
-        even = m * (b - m) * x / ((a + m * 2 - one) * (a + m * 2))
-        odd = -(a + m) * (a + b + m) * x / ((a + m * 2) * (a + m * 2 + one))
-        return one + even / (one + odd / acc)
 
-    inner = F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), F.lit(1.0), fold)
-    return one / (one - (a + b) * x / (a + one) / inner)
+def _beta_fraction_sql(a: str, b: str, x: str, steps: str) -> str:
+    """Continued fraction of the incomplete beta function, folded from its tail."""
+    even = f"(k * (({b}) - k) * ({x}) / ((({a}) + 2 * k - 1) * (({a}) + 2 * k)))"
+    odd = f"((({a}) + k) * (({a}) + ({b}) + k) * ({x}) / ((({a}) + 2 * k) * (({a}) + 2 * k + 1)))"
+    inner = (
+        f"aggregate(transform(sequence(int({steps}), 1, -1), i -> double(i)), 1D, "
+        f"(acc, k) -> 1D + {even} / (1D - {odd} / acc))"
+    )
+    return f"(1D / (1D - (({a}) + ({b})) * ({x}) / (({a}) + 1D) / {inner}))"
 
 
-def t_two_sided(t: Column, df: Column) -> Column:
+def t_two_sided(t: str, df: str) -> Column:
     """Two-sided Student-t tail probability, accurate far into the tail.
 
     p = I_x(df/2, 1/2) with x = df / (df + t^2). The fraction converges for
     x below (a+1)/(a+b+2); nearer to 1 the complement is evaluated instead.
     """
-    nu = df.cast("double")
-    one, half = F.lit(1.0), F.lit(0.5)
-    a = nu / 2
-    t2 = t * t
-    x = nu / (nu + t2)
-    y = t2 / (nu + t2)
-    ln_beta = ln_gamma(a) + F.lit(0.5 * math.log(math.pi)) - ln_gamma(a + half)
-    ln_front = a * -F.log1p(t2 / nu) + half * F.log(y) - ln_beta
-    steps = (F.lit(60) + F.ceil(F.sqrt(nu) * 2)).cast("int")
-    near = F.exp(ln_front) * _beta_fraction(a, half, x, steps) / a
-    far = one - F.exp(ln_front) * _beta_fraction(half, a, y, steps) / half
-    p = F.when(t2 == 0, one).when(x < (a + one) / (a + F.lit(2.5)), near).otherwise(far)
-    return F.when((nu > 0) & t.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), one))
-
-
-def normal_two_sided(z: Column) -> Column:
+    nu, t2 = f"double({df})", f"(({t}) * ({t}))"
+    a = f"({nu} / 2D)"
+    x, y = f"({nu} / ({nu} + {t2}))", f"({t2} / ({nu} + {t2}))"
+    ln_beta = f"({ln_gamma_sql(a)} + {_HALF_LN_PI!r}D - {ln_gamma_sql(a + ' + 0.5D')})"
+    front = f"exp(-{a} * log1p({t2} / {nu}) + 0.5D * ln({y}) - {ln_beta})"
+    steps = f"(60 + ceil(2 * sqrt({nu})))"
+    near = f"({front} * {_beta_fraction_sql(a, '0.5D', x, steps)} / {a})"
+    far = f"(1D - {front} * {_beta_fraction_sql('0.5D', a, y, steps)} / 0.5D)"
+    return F.expr(
+        f"CASE WHEN {nu} > 0 AND ({t}) IS NOT NULL THEN "
+        f"CASE WHEN {t2} = 0 THEN 1D "
+        f"WHEN {x} < ({a} + 1D) / ({a} + 2.5D) THEN least({near}, 1D) "
+        f"ELSE greatest(least({far}, 1D), 0D) END END"
+    )
+
+
+def normal_two_sided(z: str) -> Column:
     """2 * (1 - Phi(|z|)) through the incomplete gamma function at 1/2."""
-    one, half = F.lit(1.0), F.lit(0.5)
-    x = z * z / 2
-    front = F.exp(half * F.log(x) - x) / F.lit(math.sqrt(math.pi))
+    x = f"(({z}) * ({z}) / 2D)"
+    front = f"(exp(0.5D * ln({x}) - {x}) / {math.sqrt(math.pi)!r}D)"
     # small x: power series of the lower function, summed from its tail
-    series = F.aggregate(
-        F.sequence(F.lit(60), F.lit(1), F.lit(-1)),
-        F.lit(1.0),
-        lambda acc, k: one + x / (half + k.cast("double")) * acc,
-    )
-    lower = front * series / half
+    series = f"aggregate(sequence(60, 1, -1), 1D, (acc, k) -> 1D + {x} / (0.5D + k) * acc)"
     # large x: continued fraction of the upper function, folded from its tail
-    fraction = F.aggregate(
-        F.sequence(F.lit(200), F.lit(1), F.lit(-1)),
-        x + F.lit(400.5),
-        lambda acc, k: x
-        + k.cast("double") * 2
-        - F.lit(1.5)
-        - k.cast("double") * (k.cast("double") - half) / acc,
+    fraction = (
+        f"aggregate(sequence(200, 1, -1), {x} + 400.5D, "
+        f"(acc, k) -> {x} + 2 * k - 1.5D - k * (k - 0.5D) / acc)"
+    )
+    return F.expr(
+        f"CASE WHEN ({z}) IS NOT NULL THEN CASE WHEN {x} = 0 THEN 1D "
+        f"WHEN {x} < 2 THEN 1D - {front} * {series} / 0.5D "
+        f"ELSE {front} / {fraction} END END"
     )
-    p = F.when(x == 0, one).when(x < 2, one - lower).otherwise(front / fraction)
-    return F.when(z.isNotNull(), p)

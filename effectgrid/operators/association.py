@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import finite_or_null, nan_to_null, quoted
-from effectgrid.functions.special import t_two_sided
+from effectgrid.functions.special import normal_two_sided, t_two_sided
 from effectgrid.operators import mixed
 from effectgrid.operators.joins import null_safe_join
 
@@ -133,7 +133,7 @@ def _with_additive_terms(fits: DataFrame) -> DataFrame:
         fits.withColumn("estimate", F.col("__bx") * F.col("sd_x"))
         .withColumn("std_error", F.when(usable, F.sqrt(variance) * F.col("sd_x")))
         .withColumn("statistic", F.try_divide("estimate", "std_error"))
-        .withColumn("p_value", t_two_sided(F.col("statistic"), F.col("n") - 3))
+        .withColumn("p_value", t_two_sided("statistic", "n - 3"))
     )
 
 
@@ -257,7 +257,7 @@ def interact_ols(
             "std_error", F.when(known, F.sqrt(F.try_divide(rss, dof) * spread) * F.col("sd_x"))
         )
         .withColumn("__t", F.try_divide("estimate", "std_error"))
-        .withColumn("p_value", t_two_sided(F.col("__t"), dof))
+        .withColumn("p_value", t_two_sided("__t", "n0 + n1 - 5"))
         .select(*model, "estimate", "std_error", "p_value")
     )
 
@@ -267,8 +267,6 @@ def interact_mixed(
     predictors: list[str], covariate: str, ident: str,
 ) -> DataFrame:
     """As `interact_ols` with a random intercept, for models in which a subject repeats."""
-    from effectgrid.functions.special import normal_two_sided
-
     model = keys + [RESPONSE, PREDICTOR]
     repeats = group_sizes(df, keys, ident).filter("used_RE").select(*keys)
     cases = _finite(
@@ -304,7 +302,7 @@ def interact_mixed(
     fits = mixed.random_intercept(
         scaled, model, ident, design, F.col("y") - F.col("mean_y"), term="interaction"
     )
-    return fits.withColumn("p_value", normal_two_sided(F.col("statistic"))).select(
+    return fits.withColumn("p_value", normal_two_sided("statistic")).select(
         *model, "estimate", "std_error", "p_value"
     )
 

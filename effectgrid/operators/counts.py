@@ -57,9 +57,15 @@ def counts_with_median(
     df: DataFrame, keys: list[str], item: str = "gene", value: str = "logFC",
     count_out: str = "n_sig", median_out: str = "med_lfc",
 ) -> DataFrame:
-    counts = distinct_counts(df, keys, item, count_out)
-    medians = exact_quantiles(df, keys, value, {median_out: 0.5})
-    return null_safe_join(counts, medians, keys, "left")
+    """Distinct items and median value per key; the row counts size the median's groups."""
+    items = df.groupBy(*keys, item).agg(F.count("*").alias("__rows"))
+    counted = (
+        items.groupBy(*keys)
+        .agg(F.count(item).alias(count_out), F.sum("__rows").alias("__rows"))
+        .filter(F.col(count_out) > 0)
+    )
+    medians = exact_quantiles(df, keys, value, {median_out: 0.5}, sizes=counted)
+    return null_safe_join(counted.drop("__rows"), medians, keys, "left")
 
 
 def direction_ratio(

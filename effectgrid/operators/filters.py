@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectgrid.functions.scalars import nan_to_null, quoted
+from effectgrid.functions.scalars import quoted
 
 
 def significant(
     df: DataFrame, alpha: float = 0.05, lfc_min: float = 0.2, p: str = "adj_p", eff: str = "logFC"
 ) -> DataFrame:
-    """Adjusted p strictly below alpha, absolute effect at least lfc_min."""
+    """Adjusted p strictly below alpha, absolute effect at least lfc_min.
+
+    Plain comparisons on the stored columns, so the Parquet scan gets them.
+    NaN sorts above every number: it fails the first test but not the second.
+    """
     return df.filter(
-        (nan_to_null(quoted(p)) < alpha) & (F.abs(nan_to_null(quoted(eff))) >= lfc_min)
+        (quoted(p) < alpha)
+        & ((quoted(eff) >= lfc_min) | (quoted(eff) <= -lfc_min))
+        & ~F.isnan(quoted(eff))
     )
 
 
+def of_pathologies(df: DataFrame, names: list[str], column: str = "pathology") -> DataFrame:
+    """Rows whose pathology is listed, with or without the suffix, on the stored column."""
+    return df.filter(quoted(column).isin([*names, *[f"{n}.scaled" for n in names]]))
+
+
 def in_set(df: DataFrame, members: DataFrame, column: str, member: str = "symbol") -> DataFrame:
     """Rows whose `column` is in a one-column table.
 

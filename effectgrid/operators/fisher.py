@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import log_odds_half, neg_log10, remainder
-from effectgrid.functions.special import ln_factorial
+from effectgrid.functions.special import ln_factorial_sql
 from effectgrid.operators.grid import complete_grid
 
 _BLOCK = 4096
@@ -18,31 +18,34 @@ def fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") ->
     One row of `df` is one table, and rows differ. The support of the table is
     spread over rows in blocks, so a table with large margins is no large row.
     """
-    av, bv, cv, dv = (F.col(x).cast("bigint") for x in (a, b, c, d))
-    row1, row2, col1 = av + bv, cv + dv, av + cv
-    low, high = F.greatest(col1 - row2, F.lit(0).cast("bigint")), F.least(col1, row1)
+    tables = df.withColumns(
+        {
+            "__a": F.col(a).cast("bigint"),
+            "__row1": (F.col(a) + F.col(b)).cast("bigint"),
+            "__row2": (F.col(c) + F.col(d)).cast("bigint"),
+            "__col1": (F.col(a) + F.col(c)).cast("bigint"),
+        }
+    ).withColumns(
+        {
+            "__low": F.expr("greatest(__col1 - __row2, 0L)"),
+            "__high": F.expr("least(__col1, __row1)"),
+            "__mode": F.expr("floor((__col1 + 1) * (__row1 + 1) / (__row1 + __row2 + 2))"),
+        }
+    )
 
-    def ln_weight(k: Column) -> Column:
-        return -(
-            ln_factorial(k)
-            + ln_factorial(row1 - k)
-            + ln_factorial(col1 - k)
-            + ln_factorial(row2 - col1 + k)
-        )
+    def ln_weight(k: str) -> Column:
+        parts = (k, f"__row1 - {k}", f"__col1 - {k}", f"__row2 - __col1 + {k}")
+        return F.expr("-(" + " + ".join(ln_factorial_sql(part) for part in parts) + ")")
 
-    mode = F.floor((col1 + 1) * (row1 + 1) / (row1 + row2 + 2))
-    step = F.lit(_BLOCK).cast("bigint")
+    tables = tables.withColumns({"__top": ln_weight("__mode"), "__here": ln_weight("__a")})
     support = (
-        df.withColumn("__low", low)
-        .withColumn("__high", high)
-        .withColumn("__top", ln_weight(mode))
-        .withColumn("__seen", F.exp(ln_weight(av) - F.col("__top")))
-        .withColumn("__from", F.explode_outer(F.sequence("__low", "__high", step)))
+        tables.withColumn("__from", F.expr(f"explode_outer(sequence(__low, __high, {_BLOCK}L))"))
         .withColumn(
-            "__k",
-            F.explode_outer(F.sequence("__from", F.least(F.col("__from") + (step - 1), F.col("__high")))),
+            "__k", F.expr(f"explode_outer(sequence(__from, least(__from + {_BLOCK - 1}L, __high)))")
+        )
+        .withColumns(
+            {"__seen": F.exp(F.expr("__here - __top")), "__w": F.exp(ln_weight("__k") - F.col("__top"))}
         )
-        .withColumn("__w", F.exp(ln_weight(F.col("__k")) - F.col("__top")))
     )
     # fixed value: relative tolerance within which a table counts as equally likely
     tail = F.sum(F.when(F.col("__w") <= F.col("__seen") * (1 + 1e-7), F.col("__w")))

@@ -27,37 +27,37 @@ def complete_grid(
     by = by or []
     values = {}
     for name, levels in axes.items():
-        seen = F.collect_set(F.struct(quoted(name).alias("v")))
+        seen = F.collect_set(F.named_struct(F.lit("v"), quoted(name)))
         if levels is None:
             values[name] = seen
         else:
-            # a struct type equal to the collected one, nullability included
-            listed = F.transform(
-                F.array(*[F.lit(v) for v in levels]),
-                lambda v: F.struct(F.when(v.isNotNull(), v).alias("v")),
-            )
+            listed = F.array(*[F.named_struct(F.lit("v"), F.lit(v)) for v in levels])
             values[name] = F.array_union(listed, F.filter(seen, lambda s: s["v"].isNull()))
     grid = df.groupBy(*by).agg(*[arr.alias(f"__{name}") for name, arr in values.items()])
     for name in axes:
-        grid = grid.withColumn(name, F.explode(f"__{name}")["v"]).drop(f"__{name}")
+        grid = grid.withColumn(f"__{name}", F.explode(f"__{name}"))
+    grid = grid.select(*by, *[F.col(f"__{name}")["v"].alias(name) for name in axes])
     return null_safe_join(grid, df, by + list(axes), "left").fillna(fill)
 
 
 def level_order(df: DataFrame, label: str, total: str, out: str) -> DataFrame:
-    """Labels with their 1-based place by descending sum of `total`.
+    """Adds the 1-based place of each label by descending sum of `total`.
 
-    The window sees one row per label, not the data.
+    For completed grids: the windows see one row per grid cell, not the data.
     """
-    sums = df.groupBy(label).agg(F.sum(total).alias("__total"))
+    sums = df.withColumn("__total", F.sum(total).over(Window.partitionBy(label)))
     w = Window.orderBy(F.desc("__total"), F.asc_nulls_last(label))
-    return sums.select(label, F.row_number().over(w).cast("bigint").alias(out))
+    return sums.withColumn(out, F.dense_rank().over(w).cast("bigint")).drop("__total")
 
 
-def max_order(df: DataFrame, label: str, value: str, out: str) -> DataFrame:
-    """Labels with their 1-based place by descending largest absolute value."""
-    peaks = df.groupBy(label).agg(F.max(F.abs(value)).alias("__peak"))
+def peak_order(df: DataFrame, label: str, value: str, out: str) -> DataFrame:
+    """Adds the 1-based place of each label by descending largest absolute value.
+
+    For top-N reports, whose size is fixed by N.
+    """
+    peaks = df.withColumn("__peak", F.max(F.abs(value)).over(Window.partitionBy(label)))
     w = Window.orderBy(F.desc_nulls_last("__peak"), F.asc_nulls_last(label))
-    return peaks.select(label, F.row_number().over(w).cast("bigint").alias(out))
+    return peaks.withColumn(out, F.dense_rank().over(w).cast("bigint")).drop("__peak")
 
 
 def panel_order(df: DataFrame, panel: list[str], label: str, value: str, out: str) -> DataFrame:
@@ -65,7 +65,6 @@ def panel_order(df: DataFrame, panel: list[str], label: str, value: str, out: st
 
     `df` is a top-N report, so a panel holds at most N labels.
     """
-    means = df.groupBy(*panel, label).agg(F.avg(value).alias("__mean"))
+    means = df.withColumn("__mean", F.avg(value).over(Window.partitionBy(*panel, label)))
     w = Window.partitionBy(*panel).orderBy(F.asc_nulls_first("__mean"), F.asc(label))
-    places = means.withColumn(out, F.row_number().over(w).cast("bigint")).drop("__mean")
-    return null_safe_join(df, places, panel + [label], "left")
+    return means.withColumn(out, F.dense_rank().over(w).cast("bigint")).drop("__mean")

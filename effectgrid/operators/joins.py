@@ -18,4 +18,4 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
         match = quoted(k).eqNullSafe(quoted(f"__r_{k}"))
         on = match if on is None else on & match
     joined = left.join(renamed, on, how)
-    return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in keys])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])

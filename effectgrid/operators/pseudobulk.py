@@ -3,25 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from effectgrid.functions.scalars import quoted
-from effectgrid.operators.quantiles import exact_quantiles
+from effectgrid.operators.quantiles import exact_medians
 from effectgrid.sources.tables import first_row_per
 
 
 def pseudobulk(df: DataFrame, keys: list[str], score_cols: list[str], qc_cols: list[str]) -> DataFrame:
-    """Exact median of every score and quality column per key.
-
-    The columns are unpivoted first, so hundreds of them share one plan and a
-    large group is spread over its columns and values.
-    """
-    columns = score_cols + qc_cols
-    long = df.select(*keys, *[quoted(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, "__column", "__value"
-    )
-    medians = exact_quantiles(long, keys + ["__column"], "__value", {"__median": 0.5})
-    return medians.groupBy(*keys).pivot("__column", columns).agg(F.first("__median"))
+    """Exact median of every score and quality column per key."""
+    return exact_medians(df, keys, score_cols + qc_cols)
 
 
 def donor_rows(df: DataFrame, donor: str, phenotypes: list[str]) -> DataFrame:

@@ -1,35 +1,95 @@
-"""Exact grouped quantiles that never hold a group in one task."""
+"""Exact grouped quantiles in which no task holds an unbounded group."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import nan_to_null, quoted, value_bucket
 from effectgrid.operators.joins import null_safe_join
 
+# groups up to this many rows use the built-in percentile, larger ones are split
+HOT_ROWS = 1_000_000
+# columns per aggregate: bounds the values of one group held at a time
+BLOCK_COLUMNS = 8
+
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+    hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles of `value` per key, nulls and NaN ignored.
+    """Linearly interpolated quantiles of `value` per key; `probs` maps names to probabilities.
 
-    The built-in exact percentile keeps all distinct values of a group in the
-    memory of one task. Here, pass one counts values per (key, bucket), with
-    map-side combine, and finds the one or two buckets that hold each wanted
-    position. Pass two sorts only the values of those buckets. Groups without
-    any value get nulls. `probs` maps output names to probabilities.
+    Nulls and NaN are ignored; groups without any value get nulls. `sizes` has
+    the rows per key as `__rows`, where the caller has counted them already.
     """
-    values = df.select(*keys, nan_to_null(quoted(value).cast("double")).alias("__v")).withColumn(
-        "__b", value_bucket(F.col("__v"))
+    return _quantiles(df, keys, {out: (value, p) for out, p in probs.items()}, hot_rows, sizes)
+
+
+def exact_medians(
+    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The median of each column per key."""
+    return _quantiles(df, keys, {c: (c, 0.5) for c in columns}, hot_rows)
+
+
+def _quantiles(
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], hot_rows: int,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Group sizes decide: ordinary groups by the built-in, hot ones by value buckets.
+
+    There are at most rows / hot_rows hot groups, so their key list can be
+    broadcast; it is mostly empty, and then the second branch is never run.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    values = df.select(
+        *keys, *[nan_to_null(quoted(c).cast("double")).alias(c) for c in columns]
     )
-    tally = values.groupBy(*keys, "__b").agg(F.count("__v").alias("__m"))
+    if keys:
+        if sizes is None:
+            sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows"))
+        hot = F.broadcast(sizes.filter(F.col("__rows") > hot_rows).select(*keys))
+        small = null_safe_join(values, hot, keys, "left_anti")
+        large = null_safe_join(values, hot, keys, "left_semi")
+        return _by_aggregate(small, keys, wanted).unionByName(_by_buckets(large, keys, wanted))
+    return _by_buckets(values, keys, wanted)
+
+
+def _by_aggregate(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    blocks = []
+    for start in range(0, len(columns), BLOCK_COLUMNS):
+        block = columns[start : start + BLOCK_COLUMNS]
+        aggs = [
+            F.percentile(quoted(c), F.lit(float(p))).alias(out)
+            for out, (c, p) in wanted.items()
+            if c in block
+        ]
+        blocks.append(df.groupBy(*keys).agg(*aggs))
+    return functools.reduce(lambda a, b: null_safe_join(a, b, keys), blocks)
+
+
+def _by_buckets(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of groups of any size.
+
+    Pass one counts values per (key, column, bucket), with map-side combine,
+    and finds the one or two buckets that hold each wanted position. Pass two
+    sorts only the values of those buckets.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    group_keys = [*keys, "__column"]
+    values = df.unpivot([quoted(k) for k in keys], [quoted(c) for c in columns], "__column", "__v")
+    values = values.withColumn("__b", value_bucket(F.col("__v")))
+    tally = values.groupBy(*group_keys, "__b").agg(F.count("__v").alias("__m"))
 
     # one row per bucket: the group size does not matter any more
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*group_keys)
     upto = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = tally.select(
-        *keys,
+        *group_keys,
         "__b",
         (F.sum("__m").over(upto) - F.col("__m")).alias("__start"),
         F.sum("__m").over(upto).alias("__end"),
@@ -40,19 +100,19 @@ def exact_quantiles(
         exact = (F.col("__n") - 1) * F.lit(float(prob))
         return F.floor(exact), F.ceil(exact), exact - F.floor(exact)
 
-    wanted = F.col("__n") == 0
-    for prob in probs.values():
+    needed = F.col("__n") == 0
+    for _, prob in wanted.values():
         low, high, _ = positions(prob)
-        wanted = wanted | ((F.col("__start") <= high) & (low < F.col("__end")))
-    targets = placed.filter(wanted).drop("__end")
+        needed = needed | ((F.col("__start") <= high) & (low < F.col("__end")))
+    targets = placed.filter(needed).drop("__end")
 
     picked = (
-        null_safe_join(values, targets, keys + ["__b"])
-        .groupBy(*keys, "__b", "__start", "__n", "__v")
+        null_safe_join(values, targets, [*group_keys, "__b"])
+        .groupBy(*group_keys, "__b", "__start", "__n", "__v")
         .agg(F.count("__v").alias("__c"))
     )
     within = (
-        Window.partitionBy(*keys, "__b")
+        Window.partitionBy(*group_keys, "__b")
         .orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -61,24 +121,22 @@ def exact_quantiles(
     )
 
     picks, result = [], []
-    for i, (name, prob) in enumerate(probs.items()):
+    for i, (out, (column, prob)) in enumerate(wanted.items()):
         low, high, part = positions(prob)
+        mine = F.col("__column") == column
         for tag, at in (("l", low), ("h", high)):
-            here = (F.col("__from") <= at) & (at < F.col("__to"))
+            here = mine & (F.col("__from") <= at) & (at < F.col("__to"))
             picks.append(F.max(F.when(here, F.col("__v"))).alias(f"__{tag}{i}"))
+        picks.append(F.max(F.when(mine, part)).alias(f"__p{i}"))
         lo, hi = F.col(f"__l{i}"), F.col(f"__h{i}")
-        result.append((lo + (hi - lo) * part).alias(name))
-    return (
-        ranked.groupBy(*keys)
-        .agg(F.max("__n").alias("__n"), *picks)
-        .select(*keys, *result)
-    )
+        result.append((lo + (hi - lo) * F.col(f"__p{i}")).alias(out))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *result)
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact column profile: count, missing, min, quartiles, mean, max."""
     long = df.select(*[quoted(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value"
+        [], [quoted(c) for c in columns], "column", "value"
     )
     long = long.withColumn("value", nan_to_null(F.col("value")))
     basics = long.groupBy("column").agg(
