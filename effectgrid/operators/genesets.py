@@ -75,11 +75,14 @@ def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent
     """(root, term) for every root and each term below it, the root included.
 
     One distributed join per level of the hierarchy. Terms met before are
-    dropped, so shared sub-trees and cycles cost nothing; each level is
-    checkpointed, which keeps the plan short and survives lost executors.
+    dropped, so shared sub-trees and cycles cost nothing. Each level is
+    checkpointed, which keeps the plan short and survives lost executors; the
+    result is the union of the levels.
     """
     tree = edges.select(F.col(child).alias("__child"), F.col(parent).alias("__parent")).distinct()
-    frontier = checkpointed(roots.select(F.col("term").alias("root"), F.col("term").alias("term")).distinct())
+    frontier = checkpointed(
+        roots.select(F.col("term").alias("root"), F.col("term").alias("term")).distinct()
+    )
     found = frontier
     while not frontier.isEmpty():
         below = (
@@ -88,7 +91,7 @@ def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent
             .distinct()
         )
         frontier = checkpointed(below.join(found, ["root", "term"], "left_anti"))
-        found = checkpointed(found.union(frontier))
+        found = found.union(frontier)
     return found
 
 
