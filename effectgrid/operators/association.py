@@ -24,21 +24,20 @@ def melt(
     df: DataFrame, ids: list[str], responses: list[str], predictors: list[str], covariate: str
 ) -> DataFrame:
     """One row per (row of df, response, predictor): ids, pathway, y, predictor, x, z."""
-    typed = df.select(
+    def number(c: str) -> Column:
+        return nan_to_null(quoted(c).cast("double"))
+
+    def stacked(columns: list[str], name: str, value: str) -> Column:
+        pairs = [F.struct(F.lit(c).alias(name), number(c).alias(value)) for c in columns]
+        return F.inline(F.array(*pairs))
+
+    by_response = df.select(
         *ids,
-        quoted(covariate).cast("double").alias("z"),
-        *[nan_to_null(quoted(c).cast("double")).alias(f"x_{c}") for c in predictors],
-        *[nan_to_null(quoted(c).cast("double")).alias(f"y_{c}") for c in responses],
-    ).withColumn("z", nan_to_null(F.col("z")))
-    by_response = typed.unpivot(
-        ids + ["z"] + [f"x_{c}" for c in predictors], [f"y_{c}" for c in responses], RESPONSE, "y"
-    )
-    both = by_response.unpivot(
-        ids + ["z", RESPONSE, "y"], [f"x_{c}" for c in predictors], PREDICTOR, "x"
-    )
-    return both.withColumns(
-        {c: F.expr(f"substring({c}, 3)") for c in (RESPONSE, PREDICTOR)}
+        number(covariate).alias("z"),
+        *[quoted(c) for c in predictors if c not in ids],
+        stacked(responses, RESPONSE, "y"),
     )
+    return by_response.select(*ids, "z", RESPONSE, "y", stacked(predictors, PREDICTOR, "x"))
 
 
 def _moments(x: Column, z: Column, y: Column, keep: Column, tag: str = "") -> list[Column]:

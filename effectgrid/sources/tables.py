@@ -43,13 +43,14 @@ def read_wide_csv(
 ) -> DataFrame:
     """Header CSV, plain or gzipped, types inferred unless a schema is given.
 
-    A gzip file is one split, so its rows are spread after the scan.
+    A gzip file is one split, so its rows are spread after the scan, by size
+    unless a partition count is given.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA").option("nanValue", "NaN")
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     df = df.toDF(*[r_name(c) for c in df.columns])
     if path.endswith(".gz"):
-        df = df.repartition(partitions) if partitions else df.repartition()
+        df = df.repartition(partitions) if partitions else df.hint("rebalance")
     return nan_columns_to_null(df)
 
 
