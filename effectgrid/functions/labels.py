@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from effectgrid.study import LABEL_PREFIX
 
 
-def strip_suffix(col: Column, pattern: str = r"\.scaled$") -> Column:
-    return F.regexp_replace(col, pattern, "")
+def strip_suffix(col: Column, suffix: str = ".scaled") -> Column:
+    return F.when(
+        col.endswith(suffix), F.substring(col, F.lit(1), F.length(col) - len(suffix))
+    ).otherwise(col)
 
 
 def normalise_cell(col: Column) -> Column:
-    """Dots to underscores, then the two spellings of the inhibitory prefix."""
-    underscored = F.translate(col, ".", "_")
-    bare = F.regexp_replace(underscored, r"^InN\b", "Inh")
-    return F.regexp_replace(bare, "^InN_", "Inh_")
+    """Dots to underscores; the prefix InN, alone or before an underscore, to Inh."""
+    return F.regexp_replace(F.translate(col, ".", "_"), r"^InN(?=_|\b)", "Inh")
 
 
 def major_cell(col: Column, levels: list[str]) -> Column:
-    """First level that is a prefix of the label, else the label itself."""
-    return F.coalesce(
-        *[F.when(col.startswith(level), F.lit(level)) for level in levels], col
-    )
+    """First level that is a prefix of the label, else the label itself.
+
+    One expression with a single use of `col`: a filter on the result is
+    copied towards the scan without multiplying the label work.
+    """
+    prefixes = "|".join(rf"\Q{level}\E" for level in levels)
+    return F.regexp_replace(col, f"(?s)^({prefixes}).*$", "$1")
 
 
 def closed_level(col: Column, levels: list[str]) -> Column:

@@ -47,6 +47,9 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
         F.count_if(F.col("logFC") == 0).alias("__zero"),
         F.count("*").alias("__rows"),
     )
+    # Always true. It names every count, so that both uses below keep the same
+    # aggregate and share its shuffle.
+    signs = signs.filter(F.col("__rows") >= F.col("__up") + F.col("__down") + F.col("__zero"))
     same = (
         F.when(F.col("__sign") > 0, F.col("__up"))
         .when(F.col("__sign") < 0, F.col("__down"))
@@ -58,8 +61,7 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
         *PANEL, "pathway", "gene",
         same.alias("__same"), known.alias("__known"), F.col("__rows"),
     )
-    # distinct panel keys of the effects: levels x levels x pathologies rows
-    seen = rows.select(*PANEL, "predictor").distinct()
+    seen = signs.select(*PANEL, "predictor").distinct()
     unmet = wanted.join(seen, PANEL + ["predictor"], "left_anti").select(
         *PANEL, "pathway",
         F.lit(None).cast("string").alias("gene"),

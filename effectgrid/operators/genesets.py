@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,22 @@ def annotated(annot: DataFrame, terms: list[str], term: str = "goall", symbol: s
     )
 
 
+def combined_set(*sets: DataFrame) -> DataFrame:
+    """Distinct union of symbol tables."""
+    return functools.reduce(lambda a, b: a.union(b), sets).distinct()
+
+
 def with_prefix(items: DataFrame, pattern: str, item: str = "gene") -> DataFrame:
     return items.select(F.col(item).alias("symbol")).filter(matches(F.col("symbol"), pattern)).distinct()
 
 
 def observed_set(members: DataFrame, items: DataFrame, item: str = "gene") -> DataFrame:
+    """Symbols of a set that occur in the table."""
     return members.intersect(items.select(F.col(item).alias("symbol")))
 
 
-def gene_set(effects: DataFrame, annot: DataFrame, terms: list[str], prefix: str) -> DataFrame:
-    """Annotated items and items with the prefix, as far as observed."""
-    either = annotated(annot, terms).union(with_prefix(effects, prefix)).distinct()
-    return observed_set(either, effects)
-
-
-def gene_set_sizes(effects: DataFrame, annot: DataFrame, terms: list[str], prefix: str) -> DataFrame:
-    """One row: sizes of the annotated, prefix, combined and observed sets.
-
-    One flag row per symbol, then one count; no set is built twice.
-    """
+def _set_flags(effects: DataFrame, annot: DataFrame, terms: list[str], prefix: str) -> DataFrame:
+    """One row per symbol: annotated, with the prefix, observed. One pass over the effects."""
     by_term = annotated(annot, terms).select(
         "symbol", F.lit(1).alias("term"), F.lit(0).alias("pre"), F.lit(0).alias("seen")
     )
@@ -46,10 +45,20 @@ def gene_set_sizes(effects: DataFrame, annot: DataFrame, terms: list[str], prefi
         matches(F.col("gene"), prefix).cast("int").alias("pre"),
         F.lit(1).alias("seen"),
     ).filter(F.col("symbol").isNotNull())
-    flags = by_term.union(by_row).groupBy("symbol").agg(
+    return by_term.union(by_row).groupBy("symbol").agg(
         *[(F.max(c) == 1).alias(c) for c in ("term", "pre", "seen")]
     )
-    return flags.agg(
+
+
+def gene_set(effects: DataFrame, annot: DataFrame, terms: list[str], prefix: str) -> DataFrame:
+    """Annotated items and items with the prefix, as far as observed."""
+    flags = _set_flags(effects, annot, terms, prefix)
+    return flags.filter((F.col("term") | F.col("pre")) & F.col("seen")).select("symbol")
+
+
+def gene_set_sizes(effects: DataFrame, annot: DataFrame, terms: list[str], prefix: str) -> DataFrame:
+    """One row: sizes of the annotated, prefix, combined and observed sets."""
+    return _set_flags(effects, annot, terms, prefix).agg(
         F.count_if("term").alias("n_annotated"),
         F.count_if("pre").alias("n_prefix"),
         F.count_if(F.col("term") | F.col("pre")).alias("n_combined"),
@@ -66,7 +75,7 @@ def keep_gene_set(effects: DataFrame, annot: DataFrame, terms: list[str], prefix
     flagged = annotated(annot, terms).select(F.col("symbol").alias("gene"), F.lit(True).alias("__in"))
     return (
         effects.join(flagged, "gene", "left")
-        .filter(matches(F.col("gene"), prefix) | F.col("__in").isNotNull())
+        .filter(F.col("__in").isNotNull() | matches(F.col("gene"), prefix))
         .drop("__in")
     )
 

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from effectgrid.functions.scalars import nan_to_null, quoted, value_bucket
 from effectgrid.operators.joins import null_safe_join
 
-# groups up to this many rows use the built-in percentile, larger ones are split
-HOT_ROWS = 1_000_000
-# columns per aggregate: bounds the values of one group held at a time
-BLOCK_COLUMNS = 8
+# values of one group that the built-in percentile may hold in a task
+HELD_VALUES = 8_000_000
+# columns per aggregate
+BLOCK_COLUMNS = 64
 
 
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-    hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None,
+    hot_rows: int | None = None, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of `value` per key; `probs` maps names to probabilities.
 
@@ -29,36 +29,41 @@ def exact_quantiles(
 
 
 def exact_medians(
-    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], columns: list[str], hot_rows: int | None = None
 ) -> DataFrame:
     """The median of each column per key."""
     return _quantiles(df, keys, {c: (c, 0.5) for c in columns}, hot_rows)
 
 
 def _quantiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], hot_rows: int,
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], hot_rows: int | None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Group sizes decide: ordinary groups by the built-in, hot ones by value buckets.
 
-    There are at most rows / hot_rows hot groups, so their key list can be
-    broadcast; it is mostly empty, and then the second branch is never run.
+    A group is hot when a block of its columns has more than HELD_VALUES
+    values. There are at most rows / hot_rows hot groups, so their key list
+    can be broadcast; it is mostly empty, and then the second branch is
+    dropped at run time.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     values = df.select(
         *keys, *[nan_to_null(quoted(c).cast("double")).alias(c) for c in columns]
     )
-    if keys:
-        if sizes is None:
-            sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows"))
-        hot = F.broadcast(sizes.filter(F.col("__rows") > hot_rows).select(*keys))
-        small = null_safe_join(values, hot, keys, "left_anti")
-        large = null_safe_join(values, hot, keys, "left_semi")
-        return _by_aggregate(small, keys, wanted).unionByName(_by_buckets(large, keys, wanted))
-    return _by_buckets(values, keys, wanted)
+    if not keys:
+        return _by_buckets(values, keys, wanted)
+    if hot_rows is None:
+        hot_rows = HELD_VALUES // min(len(columns), BLOCK_COLUMNS)
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    hot = F.broadcast(sizes.filter(F.col("__rows") > hot_rows).select(*keys))
+    small = null_safe_join(values, hot, keys, "left_anti")
+    large = null_safe_join(values, hot, keys, "left_semi")
+    return _by_aggregate(small, keys, wanted).unionByName(_by_buckets(large, keys, wanted))
 
 
 def _by_aggregate(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One aggregate per block of columns; the blocks meet in one more shuffle of group rows."""
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     blocks = []
     for start in range(0, len(columns), BLOCK_COLUMNS):
@@ -69,7 +74,10 @@ def _by_aggregate(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, f
             if c in block
         ]
         blocks.append(df.groupBy(*keys).agg(*aggs))
-    return functools.reduce(lambda a, b: null_safe_join(a, b, keys), blocks)
+    if len(blocks) == 1:
+        return blocks[0]
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
+    return stacked.groupBy(*keys).agg(*[F.max(quoted(out)).alias(out) for out in wanted])
 
 
 def _by_buckets(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:

@@ -533,14 +533,14 @@ SELECT count(*) FILTER (gene IS NULL) AS n_null, count(*) FILTER (gene = 'NA') A
         for c in _BULK_COLUMNS
     ),
     "pseudobulk": f"""WITH {BULK} SELECT projid, cell_major, sex,
-{', '.join(f'round("{c}", 6) AS "{c}"' for c in _BULK_COLUMNS)} FROM pb""",
+{', '.join(f'round("{c}", 8) AS "{c}"' for c in _BULK_COLUMNS)} FROM pb""",
     "donor_pheno": f"WITH {BULK} SELECT projid, {', '.join(f'round({c}, 6) AS {c}' for c in PHENOS)} FROM pheno",
     "donor_pheno_first": f"WITH {BULK} SELECT projid, {', '.join(f'round({c}, 6) AS {c}' for c in PHENOS)} FROM pheno",
     "donor_check": f"""WITH {BULK}, k AS (SELECT projid, count(*) AS n FROM pheno GROUP BY ALL)
 SELECT count(*) AS n_keys, count(*) FILTER (n > 1) AS n_repeated FROM k""",
     "missing_phenotypes": f"WITH {OBS} SELECT 'absent' AS missing, count(*) AS n_rows FROM obs_v",
     "bulk_pheno": f"""WITH {BULK} SELECT projid, cell_major, sex,
-{', '.join(f'round("{c}", 6) AS "{c}"' for c in _BULK_COLUMNS + PHENOS)} FROM bulk""",
+{', '.join(f'round("{c}", {8 if c in _BULK_COLUMNS else 6}) AS "{c}"' for c in _BULK_COLUMNS + PHENOS)} FROM bulk""",
     "standardised": f"""WITH {OBS}, d AS (SELECT DISTINCT projid, cell_major, sex, acctbal FROM obs_v)
 SELECT *, round((acctbal - avg(acctbal) OVER w) / stddev_samp(acctbal) OVER w, 6) AS scaled
 FROM d WINDOW w AS (PARTITION BY cell_major, sex)""",

@@ -139,7 +139,7 @@ def _vector_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def pseudobulk(obs: DataFrame) -> DataFrame:
     table = sc.pseudobulk_table(obs, STUDY)
-    return rounded(table, **{c: 6 for c in table.columns if c not in sc.BULK_KEYS})
+    return rounded(table, **{c: 8 for c in table.columns if c not in sc.BULK_KEYS})
 
 
 def donor_pheno(obs: DataFrame) -> DataFrame:
@@ -169,7 +169,10 @@ def missing_phenotypes(spark: SparkSession, sf: str) -> DataFrame:
 
 def bulk_pheno(obs: DataFrame) -> DataFrame:
     table = sc.bulk_with_pheno(obs, STUDY)
-    return rounded(table, **{c: 6 for c in table.columns if c not in sc.BULK_KEYS})
+    present, _ = sc.phenotype_columns(obs, STUDY)
+    return rounded(
+        table, **{c: 6 if c in present else 8 for c in table.columns if c not in sc.BULK_KEYS}
+    )
 
 
 def standardised(obs: DataFrame) -> DataFrame:

@@ -105,13 +105,14 @@ def test_exact_quantiles_both_ways(spark):
                 assert close(got[k][name], want, 1e-12), (hot_rows, k, name)
 
 
-def test_medians_of_many_columns_hot_and_cold(spark):
+def test_medians_of_many_columns_hot_and_cold(spark, monkeypatch):
     rng = np.random.default_rng(2)
     names = [f"s.{i}" for i in range(10)]
     data = [(k, *map(float, rng.normal(size=10))) for k in ["a"] * 400 + ["b"] * 7]
     df = spark.createDataFrame(data, ["k", *names])
     array = np.array([r[1:] for r in data])
     keys = np.array([r[0] for r in data])
+    monkeypatch.setattr(quantiles, "BLOCK_COLUMNS", 4)
     got = keyed(quantiles.exact_medians(df, ["k"], names, hot_rows=100), "k")
     for k in "ab":
         assert np.allclose([got[k][n] for n in names], np.median(array[keys == k], axis=0))

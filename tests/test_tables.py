@@ -80,6 +80,9 @@ def test_gene_sets(spark):
     assert sorted(r.symbol for r in genesets.gene_set(effects, annot, terms, prefix).collect()) == ["MT-1", "MT.2", "X"]
     assert sorted(r.gene for r in genesets.keep_gene_set(effects, annot, terms, prefix).collect()) == ["MT-1", "MT.2", "X"]
     assert genesets.gene_set_sizes(effects, annot, terms, prefix).first()[:] == (2, 2, 4, 3)
+    by_sets = genesets.observed_set(
+        genesets.combined_set(genesets.annotated(annot, terms), genesets.with_prefix(effects, prefix)), effects)
+    assert sorted(r.symbol for r in by_sets.collect()) == ["MT-1", "MT.2", "X"]
     kept = filters.in_set(effects, genesets.gene_set(effects, annot, terms, prefix), "gene")
     assert kept.count() == 3
 
