@@ -61,7 +61,10 @@ def sig_by_cell_path(sig: DataFrame, study: Study) -> DataFrame:
     full = grid.complete_grid(
         counted, {"cell_major": study.cell_levels, "path_short": None}, {"n_sig": 0}
     )
-    return full.filter(F.col("cell_major").isNotNull() & F.col("path_short").isNotNull())
+    known = full.filter(F.col("cell_major").isNotNull() & F.col("path_short").isNotNull())
+    return known.withColumn(
+        "cell_ord", labels.level_ordinal(F.col("cell_major"), study.cell_levels)
+    )
 
 
 def sig_boxstats(sig: DataFrame, study: Study) -> DataFrame:

@@ -420,7 +420,8 @@ SELECT DISTINCT t.root, c_name AS symbol
 FROM tree t JOIN customer ON t.term = 'N' || c_nationkey || '/' || c_mktsegment""",
     "sig_rows": f'WITH {EFFECTS} SELECT gene, cell_major, path_short, sex, "logFC", adj_p FROM sig',
     "sig_by_cell": f"WITH {EFFECTS} SELECT cell_major, count(DISTINCT gene) AS n_sig FROM sig GROUP BY ALL",
-    "sig_by_cell_path": f"WITH {CELL_PATH} SELECT cell_major, path_short, n_sig FROM grid",
+    "sig_by_cell_path": f"""WITH {CELL_PATH} SELECT cell_major, path_short, n_sig,
+CAST(list_position([{LEVELS}], cell_major) AS BIGINT) AS cell_ord FROM grid""",
     "sig_boxstats": f"""WITH {CELL_PATH},
 q AS (
   SELECT cell_major, quantile_cont(n_sig, 0.25) AS q1, quantile_cont(n_sig, 0.5) AS median,
