@@ -32,13 +32,19 @@ def bh_adjust(
 
 def _bh_window(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
     w = Window.partitionBy(*by)
-    ranked = w.orderBy(F.asc_nulls_last(p))
-    known = F.col(p).isNotNull()
-    raw = F.when(known, F.col(p) * F.count(p).over(w) / F.row_number().over(ranked))
-    later = ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the default frame includes ties, so tied values share the largest rank
+    rank = F.count(p).over(w.orderBy(F.asc_nulls_last(p)))
+    raw = F.when(F.col(p).isNotNull(), F.col(p) * F.count(p).over(w) / rank)
+    # running minimum from the largest p down: a frame open towards the end
+    # of the order would be recomputed for every row
+    down = w.orderBy(F.desc_nulls_first(p)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     return (
         df.withColumn("__raw", raw)
-        .withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("__raw").over(later))))
+        .withColumn(
+            out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(down)))
+        )
         .drop("__raw")
     )
 
@@ -68,15 +74,17 @@ def _bh_spread(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
             F.sum("__m").over(group).alias("__n"),
         )
     )
-    inside = Window.partitionBy(*by, "__b").orderBy("__p")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # suffix minima as running minima of the reversed order, linear in the rows
+    inside = Window.partitionBy(*by, "__b")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    upto = inside.orderBy("__p").rowsBetween(*running)
+    onward = inside.orderBy(F.desc("__p")).rowsBetween(*running)
     raw = (
         null_safe_join(counts, starts, by + ["__b"])
         .withColumn("__rank", F.col("__start") + F.sum("__c").over(upto))
         .withColumn("__raw", F.col("__p") * F.col("__n") / F.col("__rank"))
     )
-    after = group.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    after = group.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         raw.groupBy(*by, "__b")
         .agg(F.min("__raw").alias("__least"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from effectgrid.functions import labels, scalars
 from effectgrid.operators import counts, filters, fisher, genesets, grid, matrix, topn
 from effectgrid.operators.quantiles import exact_quantiles
+from effectgrid.session import checkpointed
 from effectgrid.study import Study
 
 
@@ -180,8 +181,11 @@ def effect_matrix_wide(effects: DataFrame, annot: DataFrame, study: Study, colum
 
 
 def row_distance(effects: DataFrame, annot: DataFrame, study: Study) -> DataFrame:
-    return matrix.pairwise_distance(effect_matrix(effects, annot, study), "gene", "col_key", "logFC")
+    """Distances between the rows of the matrix, which is small and read several times."""
+    cells = checkpointed(effect_matrix(effects, annot, study))
+    return matrix.pairwise_distance(cells, "gene", "col_key", "logFC")
 
 
 def column_distance(effects: DataFrame, annot: DataFrame, study: Study) -> DataFrame:
-    return matrix.pairwise_distance(effect_matrix(effects, annot, study), "col_key", "gene", "logFC")
+    cells = checkpointed(effect_matrix(effects, annot, study))
+    return matrix.pairwise_distance(cells, "col_key", "gene", "logFC")

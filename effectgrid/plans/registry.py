@@ -129,9 +129,10 @@ def matrix_names(effects: DataFrame, annot: DataFrame) -> DataFrame:
 
 
 def _vector_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix.variance_top_matrix(
+    best = matrix.variance_top_matrix(
         views.vectors(spark, sf), "item", "dim", "value", n=STUDY.matrix_rows, cap=0.3
     )
+    return checkpointed(best)
 
 
 # ---- score tables --------------------------------------------------------

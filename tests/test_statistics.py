@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from helpers import close, keyed
+from helpers import close, keyed, plan
 from pyspark.sql import functions as F
 
 from effectgrid.operators import association, contrast, fdr, fisher, mixed
@@ -76,6 +76,14 @@ def test_bh_both_forms(spark):
         assert all(close(got[(g, i)].FDR, q, 1e-12) for (g, i, _), q in zip(data, flat))
 
 
+def test_bh_windows_run_in_one_direction(spark):
+    """A frame open towards the end is recomputed per row; none may be left."""
+    df = spark.createDataFrame([("a", 0.1), ("a", 0.2)], "g string, p double")
+    for bound in (None, 10):
+        text = plan(fdr.bh_adjust(df, "p", ["g"], max_group_rows=bound)).lower()
+        assert "window" in text and "currentrow$(), unboundedfollowing" not in text
+
+
 def test_bh_with_one_value_for_most_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 10 < 7, 1.0).otherwise(F.col("id") / 30000).alias("p"))
     got = fdr.bh_adjust(df, "p").groupBy("p").agg(F.min("FDR").alias("lo"), F.max("FDR").alias("hi")).orderBy("p").collect()
