@@ -403,6 +403,10 @@ SELECT celltype, cell_clean, cell_major, count(*) AS n FROM effects_c GROUP BY A
 ORDER BY n DESC, celltype, cell_clean, cell_major LIMIT 20""",
     "cell_counts": f"WITH {EFFECTS} SELECT cell_major, count(*) AS n FROM effects_c GROUP BY ALL",
     "gene_set": f"WITH {EFFECTS} SELECT symbol FROM combined INTERSECT SELECT gene FROM effects_v",
+    "gene_set_algebra": f"WITH {EFFECTS} SELECT symbol FROM combined INTERSECT SELECT gene FROM effects_v",
+    "set_members_by_cell": f"""WITH {EFFECTS}
+SELECT cell_major, CASE sex WHEN 'female' THEN 'Female' ELSE 'Male' END AS sex, count(*) AS n
+FROM in_set GROUP BY ALL""",
     "gene_set_sizes": f"""WITH {EFFECTS}
 SELECT (SELECT count(*) FROM annotated) AS n_annotated, (SELECT count(*) FROM prefixed) AS n_prefix,
        (SELECT count(*) FROM combined) AS n_combined,

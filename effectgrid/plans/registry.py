@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectgrid.operators import (
-    association, checks, counts, drivers, fdr, genesets, matrix,
+    association, checks, counts, drivers, fdr, filters, genesets, matrix,
 )
 from effectgrid.plans import effects as fx
 from effectgrid.plans import links
@@ -92,6 +92,21 @@ def gene_set_members(effects: DataFrame, annot: DataFrame) -> DataFrame:
     return genesets.gene_set(effects, annot, STUDY.terms, STUDY.prefix)
 
 
+def gene_set_algebra(effects: DataFrame, annot: DataFrame) -> DataFrame:
+    """The same set by union and intersection of symbol tables."""
+    combined = genesets.combined_set(
+        genesets.annotated(annot, STUDY.terms), genesets.with_prefix(effects, STUDY.prefix)
+    )
+    return genesets.observed_set(combined, effects)
+
+
+def set_members_by_cell(effects: DataFrame, annot: DataFrame) -> DataFrame:
+    """Effect rows of a ready-made gene set, counted per cell type and sex."""
+    members = gene_set_members(effects, annot)
+    rows = filters.in_set(fx.conform(effects, STUDY), members, "gene")
+    return counts.frequency(rows, ["cell_major", "sex"])
+
+
 def term_closure(spark: SparkSession, sf: str) -> DataFrame:
     edges, roots, direct = views.hierarchy(spark, sf)
     return genesets.members_with_descendants(edges, roots, direct)
@@ -281,6 +296,8 @@ QUERIES: dict[str, Query] = {
     "label_counts": _on_effects(lambda e, a: fx.label_counts(e, STUDY)),
     "cell_counts": _on_effects(lambda e, a: fx.cell_counts(e, STUDY)),
     "gene_set": _on_effects(gene_set_members),
+    "gene_set_algebra": _on_effects(gene_set_algebra),
+    "set_members_by_cell": _on_effects(set_members_by_cell),
     "gene_set_sizes": _on_effects(
         lambda e, a: genesets.gene_set_sizes(e, a, STUDY.terms, STUDY.prefix)
     ),
