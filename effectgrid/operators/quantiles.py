@@ -11,7 +11,7 @@ from effectgrid.functions.scalars import nan_to_null, quoted, value_bucket
 from effectgrid.operators.joins import null_safe_join
 
 # values of one group that the built-in percentile may hold in a task
-HELD_VALUES = 8_000_000
+HELD_VALUES = 2_000_000
 # columns per aggregate
 BLOCK_COLUMNS = 64
 
