@@ -30,6 +30,90 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM {source} d JOIN classes c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+def copies_sql(source: str) -> str:
+    return f"""
+WITH t AS (SELECT doc_id, {LOW} AS low FROM {source})
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(low) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY low)"""
+
+
+def contamination_sql(source: str) -> str:
+    words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(LOW)
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM {source}),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i+12], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+),
+found AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, s)),
+hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _unit(*parts: str) -> str:
+    return "(CAST('0x' || substr(md5(" + " || '/' || ".join(parts) + "), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def mixing_sql(source: str, block_words: int = 50_000) -> str:
+    """Targets by raising the level source by source; blocks and documents by their md5."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({SPACE_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, {_unit("'block'", "doc_id")} AS u FROM {source}
+),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (k - 1) % 3] AS weight, 3.0 * source_size AS lim FROM s),
+levels AS (  -- the level is where the sum of min(limit, level * weight) is the whole
+  SELECT a.lim / a.weight AS level, sum(least(b.lim, a.lim / a.weight * b.weight)) AS given,
+    sum(CASE WHEN b.lim / b.weight <= a.lim / a.weight THEN b.lim ELSE 0 END) AS stopped,
+    sum(CASE WHEN b.lim / b.weight <= a.lim / a.weight THEN 0 ELSE b.weight END) AS open
+  FROM w a, w b GROUP BY a.k, a.lim, a.weight
+),
+below AS (
+  SELECT coalesce(max_by(stopped, level), 0) AS stopped, coalesce(max_by(open, level), (SELECT sum(weight) FROM w)) AS open
+  FROM levels WHERE given <= (SELECT sum(source_size) FROM w)
+),
+t AS (
+  SELECT source, source_size,
+    least(lim, CASE WHEN open > 0 THEN ((SELECT sum(source_size) FROM w) - stopped) / open * weight ELSE lim END) AS target
+  FROM w, below
+),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS INTEGER) ELSE 0 END AS passes,
+    greatest(1, CAST(ceil(source_size / {block_words}.0) AS BIGINT)) AS blocks FROM t
+),
+x AS (
+  SELECT d.*, source_size, target, passes, greatest(0, target - passes * source_size) AS part, CAST(floor(u * blocks) AS BIGINT) AS block
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+),
+y AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY block RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(size) OVER (PARTITION BY source, block ORDER BY u, doc_id) AS upto FROM x
+),
+z AS (SELECT *, before < part AND before + upto <= part AS fits FROM y),
+g AS (SELECT *, part - before - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source, block) AS gap FROM z),
+r AS (
+  SELECT *, CASE WHEN NOT fits AND before < part AND abs(size - gap) < gap
+    THEN row_number() OVER (PARTITION BY source, block, NOT fits AND before < part AND abs(size - gap) < gap ORDER BY abs(size - gap), u, doc_id) END AS near FROM g
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  CAST(size * (passes + CASE WHEN fits OR near = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": classes_sql("documents"),
+    "op5_decontamination": contamination_sql("documents"),
+    "op8_exact_dedup": copies_sql("documents"),
+    "op9_mixing": mixing_sql("documents"),
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from effectgrid.llm import ngram_join
+from effectgrid.llm import decontaminate, exact_dedup, language, mixing, ngram_join
 from effectgrid.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,35 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages: a row of either has its own id and a null for the other's."""
+    docs = language.document_rows(read(spark, sf_dir, "documents")).withColumn("kind", F.lit("document"))
+    pages = language.page_rows(read(spark, sf_dir, "pages")).withColumn("kind", F.lit("page"))
+    found = language.identify(docs.unionByName(pages))
+    own = lambda kind: F.when(F.col("kind") == kind, F.col("key"))
+    return found.select(
+        own("document").alias("doc_id"), own("page").alias("page_id"), "declared", "host", "language", "text_language", "posterior", "accepted"
+    )
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read(spark, sf_dir, "documents")).drop("shards")
+    return found.withColumn("target", F.round("target", 6))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_decontamination": op5_decontamination,
+    "op7_language_id": op7_language_id,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
