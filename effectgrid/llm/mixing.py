@@ -223,7 +223,7 @@ def plan_mix(
     nearest = F.min(F.when(~F.col("fits") & (F.col("off") < F.col("gap")), F.struct("off", "u", "id"))).over(inside)
     rows = rows.withColumn("in", F.col("fits") | F.coalesce(nearest["id"] == F.col("id"), F.lit(False)))
     place = unit(F.lit("place"), F.col("pass"), F.col("id"))
-    draws = rows.where("in").select("id", "pass", "shard", place.alias("place"))
+    draws = rows.where("in and size > 0").select("id", "pass", "shard", place.alias("place"))
     return docs.select("id", "source", "size", "source_size", "target"), draws
 
 

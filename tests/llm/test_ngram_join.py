@@ -91,7 +91,7 @@ def test_sketch_distance_is_a_lower_bound():
     for n, m in ((10, 3), (60, 60), (200, 11)):
         a = rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
         b = np.r_[a[m // 2 :], rng.integers(0, 2**64 - 1, m, dtype=np.uint64)]
-        x, y = (np.frombuffer(dense_sketch(s, 2), np.uint8) for s in (a, b))
+        x, y = (np.frombuffer(dense_sketch(s, 2, 1), np.uint8) for s in (a, b))
         assert np.unpackbits(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
