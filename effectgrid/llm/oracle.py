@@ -111,8 +111,18 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM r"""
 
 
+RECORDS = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT *, sha256(payload) AS d, octet_length(payload) AS n, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": classes_sql("documents"),
+    "op4_warc": RECORDS,
     "op5_decontamination": contamination_sql("documents"),
     "op8_exact_dedup": copies_sql("documents"),
     "op9_mixing": mixing_sql("documents"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectgrid.llm import decontaminate, exact_dedup, language, mixing, ngram_join
+from effectgrid.llm import archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join
 from effectgrid.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(read(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.page_records(read(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("longest_match")
@@ -44,6 +52,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
