@@ -20,8 +20,12 @@ of their sizes, so that a sketch cut in more blocks than that has equal blocks.
 Equal sets are one class before any join. In a run of sets that share a block,
 all are first held against the smallest id alone. Whatever links falls into a
 component; only runs that still hold several components are compared in full,
-in pairs of bounded chunks, through dense sketches whose Hamming distance
-discards pairs without their texts.
+in pairs of bounded chunks. Dense sketches, whose Hamming distance is a lower
+bound too, discard most pairs before their texts are needed: coarse ones inside
+a chunk, finer ones for each pair that is left. A set first names its nearest
+partners in other components only, since one link is enough to join it to
+them; runs in which it has more to name are compared again, with more partners,
+as long as they hold several components, until none has.
 """
 
 from __future__ import annotations
@@ -41,9 +45,13 @@ from effectgrid.llm.words import U64, mix, pieces, salt, shingle_sets
 LOWEST_BAND = 64
 BLOCKS = 64
 #: Sets in one of the two chunks that a task compares at a time.
-CHUNK = 512
-#: Pairs of one pair of components that are verified in a round.
-TRIES = 4
+CHUNK = 2048
+#: Partners that a set of a run names in the first round; each further round takes 16 times as many.
+NEAREST = 2
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Bits of a coarse and of a fine sketch for each member that a set of the scheme has at most.
+COARSE, FINE = 1, 4
 
 
 def scheme_of(size: int) -> int:
@@ -64,43 +72,44 @@ def block_keys(tokens: np.ndarray, scheme: int) -> np.ndarray:
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     odd = np.bitwise_xor.reduceat(mix(tokens), first)
     with np.errstate(over="ignore"):
-        return mix(odd + mix(block[first] + salt(1000 + scheme)))
+        names = mix(odd + mix(block[first] + salt(1000 + scheme)))
+    return names & ~U64(63) | U64(scheme)  # the low six bits tell the scheme
 
 
-def dense_sketch(tokens: np.ndarray, scheme: int) -> bytes:
-    """One bit for each member that a set of the scheme has at most, flipped by its tokens."""
-    bits = LOWEST_BAND << scheme
+def dense_sketch(tokens: np.ndarray, scheme: int, part: int) -> bytes:
+    """`part` bits for each member that a set of the scheme has at most, flipped by its tokens."""
+    bits = part * LOWEST_BAND << scheme
     at = (mix(tokens ^ salt(7)) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
 
 
+SKETCH = "id long, n long, digest binary, keys array<long>, bits array<struct<scheme int, coarse binary, fine binary>>"
+
+
 def _sketches(threshold: float, shingle: int):
     reach = 1 / threshold
+    bits = pa.list_(pa.struct([("scheme", pa.int32()), ("coarse", pa.binary()), ("fine", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(1)):
-                rows = {"n": [], "digest": [], "keys": [], "own": [], "next": []}
+                rows: dict[str, list] = {"n": [], "digest": [], "keys": [], "bits": []}
                 for s in shingle_sets(data, offsets, shingle):
-                    k, keys = scheme_of(len(s)), block_keys(s, scheme_of(len(s)))
-                    higher = scheme_of(int(len(s) * reach + 1e-9)) > k
-                    if higher:
-                        keys = np.r_[keys, block_keys(s, k + 1)]
+                    k = scheme_of(len(s))
+                    schemes = [k, k + 1] if scheme_of(int(len(s) * reach + 1e-9)) > k else [k]
                     rows["n"].append(len(s))
                     rows["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    rows["keys"].append(keys.view(np.int64))
-                    rows["own"].append(dense_sketch(s, k))
-                    rows["next"].append(dense_sketch(s, k + 1) if higher else None)
+                    rows["keys"].append(np.concatenate([block_keys(s, x) for x in schemes]).view(np.int64))
+                    rows["bits"].append([{"scheme": x, "coarse": dense_sketch(s, x, COARSE), "fine": dense_sketch(s, x, FINE)} for x in schemes])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[i:j],
                         pa.array(rows["n"], pa.int64()),
                         pa.array(rows["digest"], pa.binary()),
                         pa.array(rows["keys"], pa.list_(pa.int64())),
-                        pa.array(rows["own"], pa.binary()),
-                        pa.array(rows["next"], pa.binary()),
+                        pa.array(rows["bits"], bits),
                     ],
-                    ["id", "n", "digest", "keys", "own", "next"],
+                    ["id", "n", "digest", "keys", "bits"],
                 )
 
     return run
@@ -130,68 +139,109 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in a pair: wide rows are left out before they are shuffled."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
+    texts = of_pairs(texts, pairs)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold, shingle), "a long, b long")
 
 
-def _near(threshold: float):
-    """Of sorted chunk pairs, pairs of different components with close sketches."""
+def _words_of(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), U64).reshape(len(sketches), -1)
+
+
+def _far(threshold: float):
+    """Drops pairs whose sketches differ in more bits than linked sets can."""
+    part = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            scheme, most = col["scheme"].to_numpy(), part * (col["n_a"].to_numpy() + col["n_b"].to_numpy()) + 1e-9
+            left, right = col["bits_a"].to_pylist(), col["bits_b"].to_pylist()
+            keep = np.zeros(len(scheme), bool)
+            for k in np.unique(scheme):
+                for at in np.array_split(np.flatnonzero(scheme == k), max(1, (len(scheme) << int(k)) >> 14)):
+                    if len(at):
+                        off = np.bitwise_count(_words_of([left[i] for i in at]) ^ _words_of([right[i] for i in at])).sum(axis=1, dtype=np.int64)
+                        keep[at] = off <= most[at]
+            kept = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([col[c].take(kept) for c in ("a", "b", "scheme")], ["a", "b", "scheme"])
+
+    return run
+
+
+def not_far(pairs: DataFrame, bits: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Of pairs (a, b, scheme), those whose sketches of that kind allow a link."""
+    side = lambda x: bits.select(F.col("id").alias(x), "scheme", F.col("n").alias(f"n_{x}"), F.col(kind).alias(f"bits_{x}"))
+    joined = pairs.join(side("a"), ["a", "scheme"]).join(side("b"), ["b", "scheme"])
+    size = F.least("n_a", "n_b") + 1e-9 >= threshold * F.greatest("n_a", "n_b")
+    return joined.where(size).mapInArrow(_far(threshold), "a long, b long, scheme int")
+
+
+def _near(threshold: float, nearest: int):
+    """Of sorted chunk pairs, pairs of different components whose coarse sketches allow a link.
+
+    A set names its nearest partners; more tells that it has others.
+    """
     part = (1 - threshold) / (1 + threshold)
-    ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-
-    def compare(rows: dict) -> dict | None:
-        side = rows["side"]
-        left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side >= 0)
-        width = max(1, len(rows["bits"][0]) if len(side) else 1)
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(side), width)
-        out = [[], [], [], [], []]
+
+    def compare(rows: dict) -> list[np.ndarray] | None:
+        ids, n, component, side = (rows[c] for c in ("id", "n", "component", "side"))
+        bits = _words_of(rows["coarse"])
+        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes = n[right]
+        out: list[list] = [[], [], []]
         for x in left:
-            y = right[rows["id"][right] > rows["id"][x]] if side[x] == 0 else right
-            y = y[rows["component"][y] != rows["component"][x]]
-            n, m = rows["n"][x], rows["n"][y]
-            y = y[np.minimum(n, m) + 1e-9 >= threshold * np.maximum(n, m)]
+            span = slice(*np.searchsorted(sizes, [threshold * n[x] - 1e-6, n[x] / threshold + 1e-6]))
+            y = right[span]
+            y = y[component[y] != component[x]]
             if not len(y):
                 continue
-            off = ones[bits[y] ^ bits[x]].sum(axis=1, dtype=np.int64)
-            y, off = y[off <= part * (n + rows["n"][y]) + 1e-9], off[off <= part * (n + rows["n"][y]) + 1e-9]
-            swap = rows["id"][y] < rows["id"][x]
-            for to, l, r in ((0, "id", "id"), (2, "component", "component")):
-                mine, other = np.full(len(y), rows[l][x]), rows[r][y]
-                out[to].append(np.where(swap, other, mine))
-                out[to + 1].append(np.where(swap, mine, other))
-            out[4].append(off)
+            off = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            close = off <= part * (n[x] + n[y]) + 1e-9
+            y, off = y[close], off[close]
+            more = len(y) > nearest
+            if more:
+                y = y[np.argpartition(off, nearest)[:nearest]]
+            out[2].append(np.full(len(y), more))
+            out[0].append(np.minimum(ids[y], ids[x]))
+            out[1].append(np.maximum(ids[y], ids[x]))
         return [np.concatenate(c) for c in out] if out[0] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "ca", "cb", "off"]
-        held, name = [], None  # parts of the chunk pair that is being read: two chunks at most
+        held, name = [], None  # the chunk pair that is being read: two chunks at most
 
         def done():
             if not held:
                 return
             t = pa.Table.from_batches(held)
-            rows = {c: t[c].to_numpy() for c in ("side", "id", "component", "n")} | {"bits": t["bits"].to_pylist()}
+            rows = {c: t[c].to_numpy() for c in ("side", "id", "component", "n")} | {"coarse": t["coarse"].to_pylist()}
             found = compare(rows)
             if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names)
+                same = [pa.array(np.full(len(found[0]), name[0] & 63, np.int32)), pa.array(np.full(len(found[0]), name[0], np.int64))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), *same], ["a", "b", "more", "scheme", "key"])
 
         for batch in batches:
-            at = list(zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "i", "j"))))
-            i = 0
-            while i < len(at):
-                j = i + 1
-                while j < len(at) and at[j] == at[i]:
-                    j += 1
-                if at[i] != name:
+            at = np.stack([batch.column(batch.schema.names.index(c)).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), at.shape[1]]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j > i and (now := tuple(at[:, i].tolist())) != name:
                     yield from done()
-                    held, name = [], at[i]
-                held.append(batch.slice(i, j - i))
-                i = j
+                    held, name = [], now
+                if j > i:
+                    held.append(batch.slice(i, j - i))
         yield from done()
 
     return run
@@ -220,49 +270,44 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     null component.
     """
     docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    sketches = stored(
-        docs.mapInArrow(
-            _sketches(threshold, shingle),
-            "id long, n long, digest binary, keys array<long>, own binary, next binary",
-        )
-    )
+    sketches = stored(docs.mapInArrow(_sketches(threshold, shingle), SKETCH))
     alike = sketches.where("n > 0 and id is not null")
     classes = stored(alike.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = alike.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keys = reps.select("id", F.explode("keys").alias("key"))
     runs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_run"), F.min("id").alias("lead")).where("n_run > 1")
-    shared = stored(keys.join(runs, "key"))
-
-    stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(stars, docs, threshold, shingle))
+    shared = stored(keys.join(runs, "key").withColumn("scheme", F.col("key").bitwiseAND(63).cast("int")))
+    bits = sketches.select("id", "n", F.explode("bits").alias("s")).select("id", "n", "s.*")
+
+    stars = shared.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.min("scheme").alias("scheme"))
+    stars = stored(stars)
+    close = stored(not_far(stars, bits, "coarse", threshold))
+    close = stored(not_far(close, of_pairs(bits, close), "fine", threshold))
+    links = stored(verified(close, docs, threshold, shingle))
     found = stored(components(links))
 
     # runs of two are settled; of the others, those that still hold several components
-    named = shared.where("n_run > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
-    named = named.withColumn("component", F.coalesce("component", "id"))
-    open_runs = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = named.join(open_runs.select("key"), "key", "left_semi")
-    # a scheme's sketches have its own length: it is told by the block's partner sizes
-    both = reps.select("id", "n", F.explode(F.array("own", "next")).alias("bits")).where("bits is not null")
-    rest = rest.join(both, "id").withColumn("key", F.struct("key", F.length("bits").alias("width")))
-    pairs = _chunk_pairs(rest).select("key", "i", "j", "side", "id", "component", "n", "bits")
-    pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = pairs.withColumn("key", F.concat_ws(":", "key.key", "key.width")).mapInArrow(_near(threshold), "a long, b long, ca long, cb long, off long")
-    near = stored(near.dropDuplicates(["a", "b"]).join(stars, ["a", "b"], "left_anti"))
-
-    while not near.isEmpty():
-        # most of these link; a few of each pair of components tell, and one link is enough
-        order = F.row_number().over(_by_pair())
-        tried = stored(near.withColumn("r", order).where(F.col("r") <= TRIES).drop("r"))
-        new = stored(verified(tried, docs, threshold, shingle))
-        links = links.union(new)
-        found = stored(components(links))
-        near = near.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "off")
-        for x in ("a", "b"):
-            side = found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-            near = near.join(side, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
-        near = stored(near.where("ca <> cb").select("a", "b", low.alias("ca"), high.alias("cb"), "off"))
+    rows, tested, nearest = shared.where("n_run > 2"), stars.select("a", "b"), NEAREST
+    while True:
+        named = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
+        named = named.withColumn("component", F.coalesce("component", "id"))
+        open_runs = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        rest = named.join(open_runs.select("key"), "key", "left_semi")
+        rest = rest.join(bits.select("id", "scheme", "n", "coarse"), ["id", "scheme"])
+        pairs = _chunk_pairs(rest).select("key", "i", "j", "side", "id", "component", "n", "coarse")
+        pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        near = stored(pairs.mapInArrow(_near(threshold, nearest), "a long, b long, more boolean, scheme int, key long"))
+        new = near.groupBy("a", "b").agg(F.min("scheme").alias("scheme")).join(tested, ["a", "b"], "left_anti")
+        new = stored(new)
+        if not new.isEmpty():
+            close = stored(not_far(new, of_pairs(bits, new), "fine", threshold))
+            links = links.union(stored(verified(close, docs, threshold, shingle)))
+            found = stored(components(links))
+            tested = tested.union(new.select("a", "b"))
+        again = near.where("more").select("key").distinct()
+        if again.isEmpty():
+            break
+        rows, nearest = stored(rows.join(again, "key", "left_semi")), nearest * 16
 
     member = sketches.select("id", "n", "digest").join(classes, "digest", "left")
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -271,12 +316,6 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def _by_pair():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("ca", "cb").orderBy("off", "a", "b")
-
-
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75) -> DataFrame:
     """The documents that are the smallest id of their component; all columns kept."""
     classes = ngram_classes(only(docs, id_column, text_column), id_column, text_column, threshold)
