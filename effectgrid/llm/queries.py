@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectgrid.llm import archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join
+from effectgrid.llm import (
+    archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join, quality, toxicity,
+)
 from effectgrid.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +23,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(read(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.page_records(read(spark, sf_dir, "pages"))
 
@@ -50,12 +56,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("target", F.round("target", 6))
 
 
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_quality_ranking": op10_quality_ranking,
 }
