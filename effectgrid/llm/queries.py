@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectgrid.llm import (
-    archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join, quality, toxicity,
+    archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join, personal_data, quality, toxicity,
 )
 from effectgrid.llm.tables import read
 
@@ -36,6 +36,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("longest_match")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages: a row of either has its own id and a null for the other's."""
     docs = language.document_rows(read(spark, sf_dir, "documents")).withColumn("kind", F.lit("document"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
