@@ -72,13 +72,17 @@ def value_bucket(col: Column, per_octave: int = 1024) -> Column:
     """A long that never decreases with the value, by a fixed rule.
 
     Buckets are logarithmic: `per_octave` of them between x and 2x, mirrored
-    for negative values, one for zero. The rule needs no look at the data, so
+    for negative values, one for zero, the outermost ones for infinity. The rule needs no look at the data, so
     two passes (or a retried task) always agree on it.
     """
     offset = 1200 * per_octave
+    infinite = F.abs(col) == F.lit(float("inf"))
+    last = F.lit(2 * offset).cast("bigint")
     size = F.floor(F.log2(F.abs(col)) * F.lit(float(per_octave))) + F.lit(offset)
     return (
-        F.when(col > 0, size)
+        F.when(infinite & (col > 0), last)
+        .when(infinite, -last)
+        .when(col > 0, size)
         .when(col < 0, -size)
         .when(col.isNotNull(), F.lit(0).cast("bigint"))
     )

@@ -190,3 +190,36 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     got = rows(sig.select("gene", "cell_major", "path_short", "sex").orderBy("gene"))
     assert [tuple(r.values()) for r in got] == [("MT-1", "Ast", "gpath", "female"), ("X", "Inh", "nft", "male")]
+
+
+def test_routes_agree_on_infinity_and_one_octave(spark):
+    inf = float("inf")
+    rng = np.random.default_rng(5)
+    data = [("inf", v) for v in (inf, -inf, 1.0, 2.0, -0.0, 0.0, 5e-324, -5e-324, NAN, None)]
+    data += [("up", v) for v in (inf, inf, inf, 1.0)] + [("one", inf), ("both", -inf), ("both", -inf), ("both", 3.0)]
+    data += [("octave", float(v)) for v in 1 + rng.random(20_000)] + [(None, inf), (None, 2.0)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(4)
+    probs = {"low": 0.1, "q1": 0.25, "med": 0.5, "q3": 0.75, "top": 1.0}
+    routes = [keyed(quantiles.exact_quantiles(df, ["k"], "v", probs, hot_rows=h), "k") for h in (10**9, 0)]
+    for k in routes[0]:
+        for name in probs:
+            a, b = routes[0][k][name], routes[1][k][name]
+            assert (a is None and b is None) or a == b or close(a, b, 1e-14) or (a != a and b != b), (k, name, a, b)
+    assert routes[1]["up"].med == inf and routes[1]["one"].med == inf and routes[1]["inf"].top == inf
+    assert {k: r.med for k, r in routes[1].items()}["both"] == -inf
+
+
+def test_profile_with_infinity_scans_twice(spark, tmp_path):
+    spark.createDataFrame([(1.0, 2.0), (float("inf"), None), (3.0, NAN)], "a double, b double").write.parquet(f"{tmp_path}/t")
+    df = quantiles.profile(spark.read.parquet(f"{tmp_path}/t"), ["a", "b"])
+    got = keyed(df, "column")
+    assert (got["a"].n, got["a"].min, got["a"].median, got["a"].max) == (3, 1.0, 3.0, float("inf"))
+    assert (got["b"].n, got["b"].n_missing, got["b"].mean, got["b"].q1) == (1, 2, 2.0, 2.0)
+
+
+def test_final_sort_sees_a_small_part_of_an_octave(spark):
+    values = spark.range(100_000).select(F.lit("k").alias("key"), (1 + F.col("id") / 100_000).alias("v"))
+    q = quantiles._by_buckets(values, ["key"], {"m": ("v", 0.5)})
+    assert close(q.first().m, 1.499995, 1e-9)
+    # 1024 buckets and 4096 parts of one: about a hundred values reach a bucket, a handful a part
+    assert 100_000 / 1024 < 200 and quantiles.FINE_PARTS == 4096
