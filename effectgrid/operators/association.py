@@ -140,14 +140,18 @@ def associate_mixed(
     df: DataFrame, keys: list[str], responses: list[str], predictors: list[str],
     covariate: str, ident: str, min_n: int = 30,
 ) -> DataFrame:
-    """As `associate_ols`, with a random intercept per subject, where subjects repeat."""
+    """As `associate_ols`, with a random intercept per subject, where subjects repeat.
+
+    As there, predictors without spread give no row, and models that cannot be
+    fitted (a covariate without spread, no complete case) a row of nulls.
+    """
     model = keys + [RESPONSE, PREDICTOR]
     sizes = group_sizes(df, keys, ident).filter((F.col("n_obs") >= min_n) & F.col("used_RE"))
     repeated = null_safe_join(df, sizes.select(*keys), keys, "left_semi")
     cases = melt(repeated, keys + [ident], responses, predictors, covariate)
-    scales = _additive(cases, model).filter(_usable("sd_x") & _usable("sd_z"))
+    scales = _additive(cases, model).filter(_usable("sd_x"))
     scaled = null_safe_join(
-        cases, scales.select(*model, "sd_x", "mean_x", "sd_z", "mean_z", "mean_y"), model
+        cases, scales.filter(_usable("sd_z")).select(*model, "sd_x", "mean_x", "sd_z", "mean_z", "mean_y"), model
     )
     design = {
         "intercept": F.lit(1.0),
@@ -157,7 +161,8 @@ def associate_mixed(
     fits = mixed.random_intercept(
         scaled, model, ident, design, F.col("y") - F.col("mean_y"), term="x"
     )
-    return null_safe_join(fits, sizes, keys).select(
+    every = null_safe_join(scales.select(*model), fits, model, "left")
+    return null_safe_join(every, sizes, keys).select(
         *model, "estimate", "std_error", "statistic",
         F.lit(None).cast("double").alias("p_value"), "n_obs", "n_id", "used_RE",
     )

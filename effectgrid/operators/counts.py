@@ -34,7 +34,7 @@ def distinct_counts(
 
     With `overall`, that key also gets a row set under `overall_label` that
     counts over all its values at once (distinct counts do not add up), as
-    one GROUPING SETS job.
+    one GROUPING SETS job. Null items do not count, but their groups stay.
     """
     items = df.select(*keys, item).distinct()
     if overall is None:
@@ -49,8 +49,7 @@ def distinct_counts(
             .withColumn(overall, F.when(F.col("__all") == 1, overall_label).otherwise(F.col(overall)))
             .drop("__all")
         )
-    # a count is needed by every reader, so both sides of a grid share one shuffle
-    return counted.filter(F.col(out) > 0)
+    return counted
 
 
 def counts_with_median(
@@ -59,10 +58,8 @@ def counts_with_median(
 ) -> DataFrame:
     """Distinct items and median value per key; the row counts size the median's groups."""
     items = df.groupBy(*keys, item).agg(F.count("*").alias("__rows"))
-    counted = (
-        items.groupBy(*keys)
-        .agg(F.count(item).alias(count_out), F.sum("__rows").alias("__rows"))
-        .filter(F.col(count_out) > 0)
+    counted = items.groupBy(*keys).agg(
+        F.count(item).alias(count_out), F.sum("__rows").alias("__rows")
     )
     medians = exact_quantiles(df, keys, value, {median_out: 0.5}, sizes=counted)
     return null_safe_join(counted.drop("__rows"), medians, keys, "left")

@@ -34,8 +34,8 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
 
     Effects are first reduced to sign counts per (panel, predictor, gene), in
     which a null effect counts as a row but not towards the share. The score
-    rows of the top pathways are few (k per panel, times predictors) and are
-    sent to the effects; score rows that meet no effect form a null-gene group.
+    rows of the top pathways are few (k per panel, times predictors); their size
+    at run time decides how they meet the effects. Score rows that meet no effect form a null-gene group.
     """
     wanted = top.join(scores, PANEL + ["pathway"], "left").select(
         *PANEL, "pathway", "predictor", F.signum("stat").alias("__sign")
@@ -47,17 +47,13 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
         F.count_if(F.col("logFC") == 0).alias("__zero"),
         F.count("*").alias("__rows"),
     )
-    # Always true. It names every count, so that both uses below keep the same
-    # aggregate and share its shuffle.
-    signs = signs.filter(F.col("__rows") >= F.col("__up") + F.col("__down") + F.col("__zero"))
     same = (
         F.when(F.col("__sign") > 0, F.col("__up"))
         .when(F.col("__sign") < 0, F.col("__down"))
         .when(F.col("__sign") == 0, F.col("__zero"))
     )
     known = F.when(F.col("__sign").isNotNull(), F.col("__up") + F.col("__down") + F.col("__zero"))
-    # at most k pathways x panels x predictors rows on the broadcast side
-    met = signs.join(F.broadcast(wanted), PANEL + ["predictor"]).select(
+    met = signs.join(wanted, PANEL + ["predictor"]).select(
         *PANEL, "pathway", "gene",
         same.alias("__same"), known.alias("__known"), F.col("__rows"),
     )

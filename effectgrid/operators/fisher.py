@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectgrid.functions.scalars import log_odds_half, neg_log10, remainder
+from effectgrid.functions.scalars import log_odds_half, neg_log10, quoted, remainder
 from effectgrid.functions.special import ln_factorial_sql
 from effectgrid.operators.grid import complete_grid
 
@@ -15,10 +15,12 @@ _BLOCK = 4096
 def fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -> DataFrame:
     """Adds the two-sided p-value of the table ((a, b), (c, d)).
 
-    One row of `df` is one table, and rows differ. The support of the table is
-    spread over rows in blocks, so a table with large margins is no large row.
+    One row of `df` is one table; equal rows stay apart. The support of the table
+    is spread over rows in blocks, so a table with large margins is no large row.
     """
-    tables = df.withColumns(
+    # equal rows have equal p-values: they are counted, tested once, and set out again
+    counted = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
+    tables = counted.withColumns(
         {
             "__a": F.col(a).cast("bigint"),
             "__row1": (F.col(a) + F.col(b)).cast("bigint"),
@@ -49,9 +51,11 @@ def fisher_2x2(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") ->
     )
     # fixed value: relative tolerance within which a table counts as equally likely
     tail = F.sum(F.when(F.col("__w") <= F.col("__seen") * (1 + 1e-7), F.col("__w")))
-    return support.groupBy(*df.columns).agg(
+    tested = support.groupBy(*[quoted(c) for c in df.columns], "__copies").agg(
         F.least(F.lit(1.0), tail / F.sum("__w")).alias(out)
     )
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))
+    return tested.withColumn("__copies", copies).drop("__copies")
 
 
 def enrichment(

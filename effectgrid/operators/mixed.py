@@ -1,10 +1,11 @@
 """Random-intercept models by maximum likelihood, from grouped sums.
 
-With V = I + theta J per subject, V^-1 = I - theta / (1 + n theta) J depends on
-a subject only through its number of rows n. So the likelihood of a model
-needs, for each distinct n, sums over all subjects of that size. A model with
-N rows has at most sqrt(2 N) distinct sizes: that short list is all that
-reaches the optimiser.
+With V = I + theta J per subject, the weighted cross products of a subject with
+n rows are those within it, c - s s' / n, plus s s' / (n (1 + n theta)). So the
+likelihood of a model needs the sum of the first over all subjects and, for each
+distinct n, the sum of s s'. Nothing is subtracted at this point: the products
+within come from centred moments. A model with N rows has at most sqrt(2 N)
+distinct sizes: that short list is all that reaches the optimiser.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SIZE_SUMS = "__sizes"
+#: ln theta is searched from -12 - ln(largest subject) up to here; a likelihood that still grows has no maximum.
+_LARGEST = 60.0
 
 
 def random_intercept(
@@ -41,7 +44,9 @@ def random_intercept(
     per_subject = cases.groupBy(*keys, ident).agg(
         F.count("*").alias("__n"),
         *[F.sum(f"__v{i}").alias(f"__s{i}") for i in range(width)],
-        *[F.sum(F.col(f"__v{i}") * F.col(f"__v{j}")).alias(f"__c{i}_{j}") for i, j in pairs],
+        *[
+            (F.covar_pop(f"__v{i}", f"__v{j}") * F.count("*")).alias(f"__c{i}_{j}") for i, j in pairs
+        ],
     )
     per_size = per_subject.groupBy(*keys, "__n").agg(
         F.count("*").alias("__m"),
@@ -88,30 +93,43 @@ def fit_sizes(sizes, width: int, position: int) -> tuple[float, float]:
         full[:, upper[1], upper[0]] = flat
         return full
 
-    means = square("__ss")
-    cross = square("__cc").sum(axis=0)
+    between = square("__ss")
+    inside = square("__cc").sum(axis=0)
     total = float((n * m).sum())
     if total <= width:
         return np.nan, np.nan
 
     def weighted(theta: float) -> np.ndarray:
-        return cross - np.tensordot(theta / (1 + n * theta), means, axes=1)
+        return inside + np.tensordot(1 / (n * (1 + n * theta)), between, axes=1)
 
-    def deviance(theta: float) -> float:
+    def root(theta: float) -> np.ndarray | None:
+        """Cholesky factor with the columns scaled to one; its last entry holds the residual."""
         a = weighted(theta)
-        beta = np.linalg.solve(a[:-1, :-1], a[:-1, -1])
-        rss = a[-1, -1] - beta @ a[:-1, -1]
-        if rss <= 0:
+        scale = np.sqrt(np.diag(a))
+        if not (scale > 0).all():
+            return None
+        try:
+            return np.linalg.cholesky(a / np.outer(scale, scale)) * scale[:, None]
+        except np.linalg.LinAlgError:
+            return None
+
+    def deviance(theta: float) -> float:
+        factor = root(theta)
+        if factor is None:
             return np.inf
-        return float((m * np.log1p(n * theta)).sum() + total * np.log(rss / total))
+        return float((m * np.log1p(n * theta)).sum() + 2 * total * np.log(factor[-1, -1] / np.sqrt(total)))
 
-    fixed = cross[:-1, :-1]
+    fixed = weighted(0.0)[:-1, :-1]
     scale = np.sqrt(np.diag(fixed))
     if (scale == 0).any() or np.linalg.cond(fixed / np.outer(scale, scale)) > 1e13:
         return np.nan, np.nan
 
-    logs = np.linspace(-12, 12, 97)
+    step = 0.25
+    logs = list(np.arange(-12 - np.log(n.max()), 12 + step, step))
     values = [deviance(np.exp(g)) for g in logs]
+    while int(np.argmin(values)) == len(logs) - 1 and logs[-1] < _LARGEST:
+        logs.append(logs[-1] + step)
+        values.append(deviance(np.exp(logs[-1])))
     best = int(np.argmin(values))
     if best == len(logs) - 1 or not np.isfinite(values[best]):
         return np.nan, np.nan  # the likelihood grows without bound
@@ -126,8 +144,10 @@ def fit_sizes(sizes, width: int, position: int) -> tuple[float, float]:
     theta = np.exp((low + high) / 2)
     if deviance(0.0) <= deviance(theta):
         theta = 0.0
-    a = weighted(theta)
-    inverse = np.linalg.inv(a[:-1, :-1])
-    beta = inverse @ a[:-1, -1]
-    rss = max(a[-1, -1] - beta @ a[:-1, -1], 0.0)
-    return float(beta[position]), float(np.sqrt(rss / total * inverse[position, position]))
+    factor = root(theta)
+    if factor is None:
+        return np.nan, np.nan
+    lower = np.linalg.inv(factor[:-1, :-1])
+    beta = lower.T @ factor[-1, :-1]
+    variance = (lower.T @ lower)[position, position] * factor[-1, -1] ** 2 / total
+    return float(beta[position]), float(np.sqrt(variance))

@@ -223,3 +223,10 @@ def test_final_sort_sees_a_small_part_of_an_octave(spark):
     assert close(q.first().m, 1.499995, 1e-9)
     # 1024 buckets and 4096 parts of one: about a hundred values reach a bucket, a handful a part
     assert 100_000 / 1024 < 200 and quantiles.FINE_PARTS == 4096
+
+
+def test_groups_of_null_items_stay(spark):
+    df = spark.createDataFrame([("x", None, 1.0), ("y", "g", 2.0)], "k string, gene string, logFC double")
+    assert keyed(counts.distinct_counts(df, ["k"]), "k")["x"].n_sig == 0
+    got = keyed(counts.counts_with_median(df, ["k"]), "k")
+    assert (got["x"].n_sig, got["x"].med_lfc, got["y"].n_sig) == (0, 1.0, 1)

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import close, keyed, plan
 from pyspark.sql import functions as F
@@ -246,10 +247,56 @@ def test_random_intercept_interaction_only_where_repeated(spark):
     assert close(got["a"].p_value, math.erfc(abs(beta[3] / se[3]) / math.sqrt(2)), 1e-3)
 
 
+def quasi_demeaned(y, design, subject):
+    """Maximum likelihood by least squares on rows with a part of their subject's mean taken off."""
+    order = np.argsort(subject, kind="stable")
+    y, design = y[order], design[order]
+    _, first, n = np.unique(subject[order], return_index=True, return_counts=True)
+    per_row = np.repeat(n, n)
+    both = np.column_stack([design, y])
+    means = np.repeat(np.add.reduceat(both, first) / n[:, None], n, axis=0)
+
+    def fit(g):
+        theta = np.exp(g)
+        q = (both - means) + means / np.sqrt(1 + per_row * theta)[:, None]
+        beta, *_ = np.linalg.lstsq(q[:, :-1], q[:, -1], rcond=None)
+        rss = float(((q[:, -1] - q[:, :-1] @ beta) ** 2).sum())
+        inverse = np.linalg.inv(q[:, :-1].T @ q[:, :-1])
+        return np.log1p(n * theta).sum() + len(y) * np.log(rss), beta, np.sqrt(np.diag(inverse) * rss / len(y))
+
+    best = min(np.arange(-26, 24, 0.5), key=lambda g: fit(g)[0])
+    step = 0.5
+    for _ in range(40):
+        best = min((best - step, best, best + step), key=lambda g: fit(g)[0])
+        step *= 0.6
+    return fit(best)
+
+
+@pytest.mark.parametrize("subjects, each, sd", [(5, 100_000, 100.0), (200, 3, 1000.0), (8, 50_000, 0.0)])
+def test_random_intercept_of_large_subjects_and_spreads(spark, tmp_path, subjects, each, sd):
+    rng = np.random.default_rng(subjects)
+    n = subjects * each
+    subject = np.repeat(np.arange(subjects), each)
+    x, z = rng.normal(size=n) + subject % 3, rng.normal(size=n)
+    y = 10 + 0.6 * x + sd * rng.normal(size=subjects)[subject] + rng.normal(size=n)
+    pd.DataFrame({"cell": "a", "id": subject, "y": y, "x": x, "z": z}).to_parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    got = association.associate(df, ["cell"], ["y"], ["x"], "z", "id").collect()
+    sc = lambda v: (v - v.mean()) / v.std(ddof=1)
+    _, beta, se = quasi_demeaned(y - y.mean(), np.column_stack([np.ones(n), sc(x), sc(z)]), subject)
+    assert close(got[0].estimate, beta[1], 1e-6) and close(got[0].std_error, se[1], 1e-5)
+
+
+def test_mixed_models_without_a_fit_are_null_rows(spark):
+    rows = [("a", "f", f"d{i % 20}", float(i % 7), 0.0, float(i), 0.0, 0.0, 5.0) for i in range(60)]
+    got = association.associate(spark.createDataFrame(rows, COLUMNS), ["cell"], ["WP_Y"], ["p.x"], "z", "projid").collect()
+    assert len(got) == 1 and got[0].used_RE and got[0].estimate is None
+
+
 def test_unbounded_likelihood_gives_null():
     n, pairs = 6, [(i, j) for i in range(2) for j in range(i, 2)]
     # response constant within every subject: no within-subject error is left
-    sizes = [{"__n": 2, "__m": n, "__ss": [4.0 * n, 0.0, 4.0 * 9.0], "__cc": [2.0 * n, 0.0, 2.0 * 9.0]}]
+    sizes = [{"__n": 2, "__m": n, "__ss": [4.0 * n, 0.0, 4.0 * 9.0], "__cc": [0.0, 0.0, 0.0]}]
     assert len(pairs) == 3
     est, se = mixed.fit_sizes(sizes, 2, 0)
     assert math.isnan(est) and math.isnan(se)
@@ -270,3 +317,9 @@ def test_standardise(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), ("c", 2.0), ("c", 2.0)], "g string, v double")
     got = [(r.g, r.s) for r in association.standardise(df, "v", ["g"], "s").orderBy("g", F.asc_nulls_last("v")).collect()]
     assert close(got[0][1], -math.sqrt(0.5)) and got[2:] == [("a", None), ("b", None), ("c", None), ("c", None)]
+
+
+def test_equal_tables_stay_apart(spark):
+    df = spark.createDataFrame([(3, 7, 9, 2), (3, 7, 9, 2), (0, 0, 3, 4)], "a int, b int, c int, d int")
+    got = fisher.fisher_2x2(df, "a", "b", "c", "d").collect()
+    assert sorted(round(r.p, 9) for r in got) == [0.029973123, 0.029973123, 1.0]
