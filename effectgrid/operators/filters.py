@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 from effectgrid.functions.scalars import quoted
 
 
-def significant(
-    df: DataFrame, alpha: float = 0.05, lfc_min: float = 0.2, p: str = "adj_p", eff: str = "logFC"
-) -> DataFrame:
+def is_significant(alpha: float = 0.05, lfc_min: float = 0.2, p: str = "adj_p", eff: str = "logFC") -> Column:
     """Adjusted p strictly below alpha, absolute effect at least lfc_min.
 
     Plain comparisons on the stored columns, so the Parquet scan gets them.
     NaN sorts above every number: it fails the first test but not the second.
     """
-    return df.filter(
+    return (
         (quoted(p) < alpha)
         & ((quoted(eff) >= lfc_min) | (quoted(eff) <= -lfc_min))
         & ~F.isnan(quoted(eff))
     )
 
 
+def significant(
+    df: DataFrame, alpha: float = 0.05, lfc_min: float = 0.2, p: str = "adj_p", eff: str = "logFC"
+) -> DataFrame:
+    return df.filter(is_significant(alpha, lfc_min, p, eff))
+
+
+def is_of_pathologies(names: list[str], column: str = "pathology") -> Column:
+    """Whether the pathology is listed, with or without the suffix, on the stored column."""
+    return quoted(column).isin([*names, *[f"{n}.scaled" for n in names]])
+
+
 def of_pathologies(df: DataFrame, names: list[str], column: str = "pathology") -> DataFrame:
-    """Rows whose pathology is listed, with or without the suffix, on the stored column."""
-    return df.filter(quoted(column).isin([*names, *[f"{n}.scaled" for n in names]]))
+    return df.filter(is_of_pathologies(names, column))
 
 
 def in_set(df: DataFrame, members: DataFrame, column: str, member: str = "symbol") -> DataFrame:

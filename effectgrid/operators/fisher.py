@@ -67,9 +67,15 @@ def enrichment(
     `totals` has n_total and `hits` has n_sig per (by, group). Hits without
     totals are dropped, totals without hits count as zero hits.
     """
-    tab = complete_grid(
-        totals.join(hits, [by, group], "left"), {by: None, group: None}, {"n_total": 0, "n_sig": 0}
-    )
+    return enrichment_of(totals.join(hits, [by, group], "left"), by, group, first, second)
+
+
+def enrichment_of(
+    counted: DataFrame, by: str = "cell_major", group: str = "sex",
+    first: str = "female", second: str = "male",
+) -> DataFrame:
+    """As `enrichment`, from one table with n_total and n_sig per (by, group)."""
+    tab = complete_grid(counted, {by: None, group: None}, {"n_total": 0, "n_sig": 0})
 
     def side(measure: str, value: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(group) == value, F.col(measure))), F.lit(0).cast("bigint"))

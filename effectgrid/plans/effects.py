@@ -147,9 +147,21 @@ def sex_enrichment(effects: DataFrame, annot: DataFrame, study: Study) -> DataFr
     restricted to the listed ones.
     """
     keys = ["cell_major", "sex"]
-    totals = counts.distinct_counts(in_gene_set(effects, annot, study), keys, out="n_total")
-    hits = counts.distinct_counts(significant_rows(effects, annot, study), keys, out="n_sig")
-    return fisher.enrichment(totals, hits)
+    counted = (
+        filters.is_significant(study.alpha, study.lfc_min)
+        & filters.is_of_pathologies(study.pathologies)
+        & F.col("cell_major").isin(study.cell_levels)
+    )
+    # one row per item first: both tallies come from one scan
+    items = in_gene_set(effects, annot, study).groupBy(*keys, "gene").agg(
+        F.coalesce(F.bool_or(counted), F.lit(False)).alias("__hit")
+    )
+    return fisher.enrichment_of(
+        items.groupBy(*keys).agg(
+            F.count("gene").alias("n_total"),
+            F.count_if(F.col("__hit") & F.col("gene").isNotNull()).alias("n_sig"),
+        )
+    )
 
 
 def effect_cells(effects: DataFrame, annot: DataFrame, study: Study) -> DataFrame:

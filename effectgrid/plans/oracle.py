@@ -631,4 +631,11 @@ SELECT {LEAD_COLUMNS}, path_clean FROM named
 WHERE cell_major = 'AUTOMOBILE' AND regexp_matches(path_clean, '^REACTOME_PRICE$', 'i')""",
     "driver_examples": f"""WITH {LEAD} SELECT DISTINCT {_label('pathway')} AS path_clean FROM lead
 WHERE cell_major = 'AUTOMOBILE' ORDER BY path_clean LIMIT 10""",
+    "contrast_files": """SELECT 'customer' AS list_name, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS customers, CAST(NULL AS BIGINT) AS suppliers FROM customer
+UNION ALL SELECT 'supplier', count(*), NULL, CAST(sum(s_suppkey) AS BIGINT) FROM supplier""",
+    "source_fallback": """SELECT 'view' AS source, count(*) AS n FROM nation UNION ALL SELECT 'path', count(*) FROM part
+UNION ALL SELECT 'derived', count(DISTINCT c_nationkey) FROM customer""",
 }
+ORACLES["interaction_top_fallback"] = ORACLES["interaction_top"].replace(
+    f"max_abs >= {S.interaction_threshold}", "max_abs >= 1e9"
+)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from effectgrid.operators import (
     association, checks, counts, drivers, fdr, filters, genesets, matrix,
@@ -101,10 +104,39 @@ def gene_set_algebra(effects: DataFrame, annot: DataFrame) -> DataFrame:
 
 
 def set_members_by_cell(effects: DataFrame, annot: DataFrame) -> DataFrame:
-    """Effect rows of a ready-made gene set, counted per cell type and sex."""
+    """Effect rows of a ready-made gene set, counted per cell type and sex.
+
+    Rows are counted per gene before they meet the set, so no raw row is shuffled.
+    """
     members = gene_set_members(effects, annot)
-    rows = filters.in_set(fx.conform(effects, STUDY), members, "gene")
-    return counts.frequency(rows, ["cell_major", "sex"])
+    keys = ["cell_major", "sex"]
+    per_gene = counts.frequency(fx.conform(effects, STUDY), [*keys, "gene"])
+    return filters.in_set(per_gene, members, "gene").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def contrast_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables read as a list of named files or folders in one scan, counted by name."""
+    schema = T.StructType(
+        [T.StructField("c_custkey", T.LongType()), T.StructField("s_suppkey", T.LongType())]
+    )
+    rows = tables.read_contrasts(spark, [f"{sf}/customer.parquet", f"{sf}/supplier.parquet"], schema)
+    return rows.groupBy("list_name").agg(
+        F.count("*").alias("n"), F.sum("c_custkey").alias("customers"), F.sum("s_suppkey").alias("suppliers")
+    )
+
+
+def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a view, of a path where the view is absent, of a derived table where both are."""
+    views.table(spark, sf, "nation").createOrReplaceTempView("effectgrid_nations")
+    derived = views.table(spark, sf, "customer").select("c_nationkey").distinct()
+    absent = f"{sf}/no_such_table.parquet"
+    found = {
+        "view": tables.first_available(spark, "effectgrid_nations", f"{sf}/part.parquet", derived),
+        "path": tables.first_available(spark, "effectgrid_absent", f"{sf}/part.parquet", derived),
+        "derived": tables.first_available(spark, "effectgrid_absent", absent, derived),
+    }
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("source"), "n") for k, df in found.items()]
+    return functools.reduce(DataFrame.unionByName, counted)
 
 
 def term_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,6 +285,13 @@ def interaction_top(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table, estimate=4, std_error=4, p_value=6, FDR=6, stat=5, max_abs=5)
 
 
+def interaction_top_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """No pathway reaches this threshold, so the strongest ones count as they are."""
+    study = dataclasses.replace(STUDY, interaction_threshold=1e9)
+    table = sc.interaction_top(_interaction_scores(spark, sf), study)
+    return rounded(table, estimate=4, std_error=4, p_value=6, FDR=6, stat=5, max_abs=5)
+
+
 def interaction_top_rows(spark: SparkSession, sf: str) -> DataFrame:
     return checks.row_count(sc.interaction_top(_interaction_scores(spark, sf), STUDY))
 
@@ -302,6 +341,8 @@ QUERIES: dict[str, Query] = {
         lambda e, a: genesets.gene_set_sizes(e, a, STUDY.terms, STUDY.prefix)
     ),
     "term_closure": term_closure,
+    "contrast_files": contrast_files,
+    "source_fallback": source_fallback,
     "sig_rows": _on_sig(sig_rows),
     "sig_by_cell": _on_sig(fx.sig_by_cell),
     "sig_by_cell_path": _on_sig(lambda s: fx.sig_by_cell_path(s, STUDY)),
@@ -356,6 +397,7 @@ QUERIES: dict[str, Query] = {
     "interaction_mixed": interaction_mixed,
     "interaction_fdr": interaction_fdr,
     "interaction_top": interaction_top,
+    "interaction_top_fallback": interaction_top_fallback,
     "interaction_top_rows": interaction_top_rows,
     "drivers": lead,
     "drivers_as_written": lead_as_written,

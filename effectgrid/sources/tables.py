@@ -21,14 +21,26 @@ def stack_named(tables: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def read_contrasts(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
-    """One effect table per Parquet file, stacked in a single scan.
+def read_contrasts(
+    spark: SparkSession, folder: str | list[str], schema: T.StructType | None = None
+) -> DataFrame:
+    """One effect table per Parquet file or folder of part files, stacked in a single scan.
 
-    `list_name` is the file name without folder and extension.
+    `folder` holds the tables, or is a list of their paths. `list_name` is the
+    name of the table's file or folder without extension, one name for all its
+    parts. Without a schema those of all files are merged.
     """
     reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
-    name = F.regexp_replace(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1), r"\.parquet$", "")
-    stacked = reader.parquet(folder).withColumn("list_name", name)
+    paths = folder if isinstance(folder, list) else [folder]
+    stacked = reader.option("recursiveFileLookup", "true").parquet(*paths)
+    file = F.col("_metadata.file_path")
+    if isinstance(folder, list):  # the folder of the part files, or else the file, has the table's name
+        ends = "|".join(re.escape(p.rstrip("/").rsplit("/", 1)[-1]) for p in paths)
+        name = F.regexp_extract(file, rf"/({ends})(?:/[^/]*)*$", 1)
+    else:
+        top = re.escape(folder.rstrip("/").rsplit("/", 1)[-1])
+        name = F.regexp_extract(file, rf"/{top}/([^/]+)(?:/[^/]*)*$", 1)
+    stacked = stacked.withColumn("list_name", F.regexp_replace(name, r"\.parquet$", ""))
     return nan_columns_to_null(stacked.withColumn("idx", F.col("list_name")))
 
 
@@ -41,9 +53,10 @@ def r_name(name: str) -> str:
 def read_wide_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Header CSV, plain or gzipped, types inferred unless a schema is given.
+    """Header CSV, plain or gzipped.
 
-    A gzip file is one split, so its rows are spread after the scan, by size
+    Without a schema the types are inferred, which reads the whole file once
+    more; give one for large files. A gzip file is one split, so its rows are spread after the scan, by size
     unless a partition count is given.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA").option("nanValue", "NaN")
@@ -72,6 +85,15 @@ def first_available(
     raise ValueError(f"no source found: table={table!r}, path={path!r}")
 
 
+def rename_if_absent(df: DataFrame, old: str, new: str) -> DataFrame:
+    """`old` becomes `new` where there is no `new`; an error where there is neither."""
+    if new in df.columns:
+        return df
+    if old not in df.columns:
+        raise ValueError(f"neither {new!r} nor {old!r} in {df.columns}")
+    return df.withColumnRenamed(old, new)
+
+
 def literal_table(spark: SparkSession, values: dict[str, int], key: str, value: str) -> DataFrame:
     """Two-column table of a dict given in code."""
     schema = T.StructType(

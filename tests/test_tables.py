@@ -27,6 +27,23 @@ def test_read_contrasts(spark, tmp_path):
     assert (got["g"].list_name, got["g"].logFC, got["h"].idx, got["h"].sex) == ("one", None, "two", "male")
 
 
+def test_read_contrasts_of_part_files(spark, tmp_path):
+    frame = spark.createDataFrame([("g", 1.0), ("h", 2.0)], "gene string, logFC double")
+    frame.repartition(2).write.parquet(str(tmp_path / "first.parquet"))
+    frame.limit(1).write.parquet(str(tmp_path / "second"))
+    for source in (str(tmp_path), [str(tmp_path / "first.parquet"), str(tmp_path / "second")]):
+        got = tables.read_contrasts(spark, source).groupBy("list_name").count().collect()
+        assert sorted(map(tuple, got)) == [("first", 2), ("second", 1)]
+
+
+def test_rename_if_absent(spark):
+    df = spark.createDataFrame([(1, 2)], "response int, n int")
+    assert tables.rename_if_absent(df, "response", "pathway").columns == ["pathway", "n"]
+    assert tables.rename_if_absent(df, "response", "n") is df
+    with pytest.raises(ValueError):
+        tables.rename_if_absent(df, "a", "b")
+
+
 def test_gzip_csv(spark, tmp_path):
     path = str(tmp_path / "obs.csv.gz")
     with gzip.open(path, "wt") as f:
