@@ -1,12 +1,15 @@
 """Grouped linear models from sufficient statistics.
 
-Responses and predictors are unpivoted and every model becomes one row of a
-single grouped aggregation of counts, variances and covariances, which Spark
-combines before the shuffle. The coefficients follow in closed form.
+Responses are unpivoted, predictors stay columns, so that one row feeds the
+models of all predictors. Every model's counts, variances and covariances are
+grouped aggregates, which Spark combines before the shuffle; the aggregated row
+is then set out by predictor. The coefficients follow in closed form.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from effectgrid.operators import mixed
 from effectgrid.operators.joins import null_safe_join
 
 RESPONSE, PREDICTOR = "pathway", "predictor"
+# predictors in one aggregate
+_BLOCK = 4
 # fixed value: a regressor this close to collinear has no coefficient
 _COLLINEAR = 1e-14
 
@@ -40,18 +45,58 @@ def melt(
     return by_response.select(*ids, "z", RESPONSE, "y", stacked(predictors, PREDICTOR, "x"))
 
 
-def _moments(x: Column, z: Column, y: Column, keep: Column, tag: str = "") -> list[Column]:
+def _by_response(
+    df: DataFrame, ids: list[str], responses: list[str], predictors: list[str], covariate: str,
+    clean=lambda c: c,
+) -> DataFrame:
+    """One row per (row of df, response): ids, pathway, y, z, and predictor i as __x{i}."""
+    def number(c: str) -> Column:
+        return nan_to_null(quoted(c).cast("double"))
+
+    pairs = [F.struct(F.lit(c).alias(RESPONSE), clean(number(c)).alias("y")) for c in responses]
+    return df.select(
+        *ids,
+        number(covariate).alias("z"),
+        *[clean(number(c)).alias(f"__x{i}") for i, c in enumerate(predictors)],
+        F.inline(F.array(*pairs)),
+    )
+
+
+def _per_model(rows: DataFrame, by: list[str], predictors: list[str], sums) -> DataFrame:
+    """Aggregates of every model: `sums(x)` names them for a predictor column.
+
+    A block of predictors shares a pass; its size bounds the generated code.
+    """
+    blocks = []
+    for start in range(0, len(predictors), _BLOCK):
+        block = range(start, min(start + _BLOCK, len(predictors)))
+        found = {i: sums(F.col(f"__x{i}")) for i in block}
+        table = rows.groupBy(*by).agg(
+            *[c.alias(f"__{name}_{i}") for i, named in found.items() for name, c in named.items()]
+        )
+        models = [
+            F.struct(
+                F.lit(predictors[i]).alias(PREDICTOR),
+                *[F.col(f"__{name}_{i}").alias(name) for name in named],
+            )
+            for i, named in found.items()
+        ]
+        blocks.append(table.select(*by, F.inline(F.array(*models))))
+    return functools.reduce(DataFrame.unionByName, blocks)
+
+
+def _moments(x: Column, z: Column, y: Column, keep: Column, tag: str = "") -> dict[str, Column]:
     """Count, variances and covariances over the rows in `keep`."""
     x, z, y = F.when(keep, x), F.when(keep, z), F.when(keep, y)
-    return [
-        F.count(x).alias(f"n{tag}"),
-        F.var_samp(x).alias(f"xx{tag}"),
-        F.var_samp(z).alias(f"zz{tag}"),
-        F.var_samp(y).alias(f"yy{tag}"),
-        F.covar_samp(x, z).alias(f"xz{tag}"),
-        F.covar_samp(x, y).alias(f"xy{tag}"),
-        F.covar_samp(z, y).alias(f"zy{tag}"),
-    ]
+    return {
+        f"n{tag}": F.count(x),
+        f"xx{tag}": F.var_samp(x),
+        f"zz{tag}": F.var_samp(z),
+        f"yy{tag}": F.var_samp(y),
+        f"xz{tag}": F.covar_samp(x, z),
+        f"xy{tag}": F.covar_samp(x, y),
+        f"zy{tag}": F.covar_samp(z, y),
+    }
 
 
 def standardise(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
@@ -77,18 +122,24 @@ def group_sizes(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
     ).withColumn("used_RE", F.col("n_obs") > F.col("n_id"))
 
 
-def _additive(cases: DataFrame, model: list[str]) -> DataFrame:
+def _additive(
+    df: DataFrame, keys: list[str], responses: list[str], predictors: list[str], covariate: str
+) -> DataFrame:
     """Per model: sd of x over its non-null rows, then y ~ x + z on complete cases."""
-    x, z, y = F.col("x"), F.col("z"), F.col("y")
-    complete = x.isNotNull() & z.isNotNull() & y.isNotNull()
-    return cases.groupBy(*model).agg(
-        F.stddev_samp(x).alias("sd_x"),
-        F.avg(x).alias("mean_x"),
-        F.stddev_samp(z).alias("sd_z"),
-        F.avg(z).alias("mean_z"),
-        F.avg(F.when(complete, y)).alias("mean_y"),
-        *_moments(x, z, y, complete),
-    )
+    def sums(x: Column) -> dict[str, Column]:
+        z, y = F.col("z"), F.col("y")
+        complete = x.isNotNull() & z.isNotNull() & y.isNotNull()
+        return {
+            "sd_x": F.stddev_samp(x),
+            "mean_x": F.avg(x),
+            "sd_z": F.stddev_samp(z),
+            "mean_z": F.avg(z),
+            "mean_y": F.avg(F.when(complete, y)),
+            **_moments(x, z, y, complete),
+        }
+
+    rows = _by_response(df, keys, responses, predictors, covariate)
+    return _per_model(rows, [*keys, RESPONSE], predictors, sums)
 
 
 def _usable(sd: str) -> Column:
@@ -108,9 +159,7 @@ def associate_ols(
     """
     model = keys + [RESPONSE, PREDICTOR]
     sizes = group_sizes(df, keys, ident).filter(F.col("n_obs") >= min_n)
-    fits = _additive(melt(df, keys + [ident], responses, predictors, covariate), model).filter(
-        _usable("sd_x")
-    )
+    fits = _additive(df, keys, responses, predictors, covariate).filter(_usable("sd_x"))
     return _with_additive_terms(null_safe_join(fits, sizes, keys)).select(
         *model, "estimate", "std_error", "statistic", "p_value", "n_obs", "n_id", "used_RE"
     )
@@ -149,7 +198,7 @@ def associate_mixed(
     sizes = group_sizes(df, keys, ident).filter((F.col("n_obs") >= min_n) & F.col("used_RE"))
     repeated = null_safe_join(df, sizes.select(*keys), keys, "left_semi")
     cases = melt(repeated, keys + [ident], responses, predictors, covariate)
-    scales = _additive(cases, model).filter(_usable("sd_x"))
+    scales = _additive(repeated, keys, responses, predictors, covariate).filter(_usable("sd_x"))
     scaled = null_safe_join(
         cases, scales.filter(_usable("sd_z")).select(*model, "sd_x", "mean_x", "sd_z", "mean_z", "mean_y"), model
     )
@@ -182,23 +231,28 @@ def associate(
 
 
 def _interaction_moments(
-    cases: DataFrame, model: list[str], group: str, levels: list[str]
+    df: DataFrame, keys: list[str], group: str, levels: list[str], responses: list[str],
+    predictors: list[str], covariate: str,
 ) -> DataFrame:
     """Scale of x over all rows with finite x and y, and the moments of each level."""
-    x, z, y = F.col("x"), F.col("z"), F.col("y")
-    usable = x.isNotNull() & y.isNotNull() & F.col(group).isin(levels)
-    aggs = [
-        F.avg(F.when(usable, x)).alias("mean_x"),
-        F.stddev_samp(F.when(usable, x)).alias("sd_x"),
-        F.avg(F.when(usable, z)).alias("mean_z"),
-        F.stddev_samp(F.when(usable, z)).alias("sd_z"),
-        F.avg(F.when(usable, y)).alias("mean_y"),
-    ]
-    for i, level in enumerate(levels):
-        here = usable & (F.col(group) == level)
-        aggs.append(F.count_if(here).alias(f"rows{i}"))
-        aggs += _moments(x, z, y, here & z.isNotNull(), str(i))
-    return cases.groupBy(*model).agg(*aggs)
+    def sums(x: Column) -> dict[str, Column]:
+        z, y = F.col("z"), F.col("y")
+        usable = x.isNotNull() & y.isNotNull() & F.col(group).isin(levels)
+        named = {
+            "mean_x": F.avg(F.when(usable, x)),
+            "sd_x": F.stddev_samp(F.when(usable, x)),
+            "mean_z": F.avg(F.when(usable, z)),
+            "sd_z": F.stddev_samp(F.when(usable, z)),
+            "mean_y": F.avg(F.when(usable, y)),
+        }
+        for i, level in enumerate(levels):
+            here = usable & (F.col(group) == level)
+            named[f"rows{i}"] = F.count_if(here)
+            named |= _moments(x, z, y, here & z.isNotNull(), str(i))
+        return named
+
+    rows = _by_response(df, keys + [group], responses, predictors, covariate, finite_or_null)
+    return _per_model(rows, [*keys, RESPONSE], predictors, sums)
 
 
 def _finite(cases: DataFrame) -> DataFrame:
@@ -216,8 +270,7 @@ def interact_ols(
     a level three normal equations remain. A single level gives a null row.
     """
     model = keys + [RESPONSE, PREDICTOR]
-    cases = _finite(melt(df, keys + [ident, group], responses, predictors, covariate))
-    fits = _interaction_moments(cases, model, group, levels)
+    fits = _interaction_moments(df, keys, group, levels, responses, predictors, covariate)
 
     def sums(name: str, i: int) -> Column:
         return (F.col(f"n{i}") - 1) * F.col(f"{name}{i}")
@@ -273,12 +326,8 @@ def interact_mixed(
     """As `interact_ols` with a random intercept, for models in which a subject repeats."""
     model = keys + [RESPONSE, PREDICTOR]
     repeats = group_sizes(df, keys, ident).filter("used_RE").select(*keys)
-    cases = _finite(
-        melt(
-            null_safe_join(df, repeats, keys, "left_semi"),
-            keys + [ident, group], responses, predictors, covariate,
-        )
-    )
+    own = null_safe_join(df, repeats, keys, "left_semi")
+    cases = _finite(melt(own, keys + [ident, group], responses, predictors, covariate))
     cases = cases.filter(
         F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(group).isin(levels)
     )
@@ -287,7 +336,7 @@ def interact_mixed(
         cases.groupBy(*model, ident).agg(F.count("*").alias("__k"))
         .groupBy(*model).agg(F.max("__k").alias("__k")).filter(F.col("__k") > 1).select(*model)
     )
-    scales = _interaction_moments(cases, model, group, levels).filter(
+    scales = _interaction_moments(own, keys, group, levels, responses, predictors, covariate).filter(
         (F.col("rows0") > 0) & (F.col("rows1") > 0) & _usable("sd_x") & _usable("sd_z")
     )
     scales = null_safe_join(scales, repeated, model, "left_semi")

@@ -10,9 +10,12 @@ from effectgrid.operators.quantiles import exact_medians
 from effectgrid.sources.tables import first_row_per
 
 
-def pseudobulk(df: DataFrame, keys: list[str], score_cols: list[str], qc_cols: list[str]) -> DataFrame:
+def pseudobulk(
+    df: DataFrame, keys: list[str], score_cols: list[str], qc_cols: list[str],
+    max_group_rows: int | None = None,
+) -> DataFrame:
     """Exact median of every score and quality column per key."""
-    return exact_medians(df, keys, score_cols + qc_cols)
+    return exact_medians(df, keys, score_cols + qc_cols, max_group_rows=max_group_rows)
 
 
 def donor_rows(df: DataFrame, donor: str, phenotypes: list[str]) -> DataFrame:

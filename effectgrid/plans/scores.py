@@ -12,6 +12,7 @@ from effectgrid.operators import (
 from effectgrid.operators.fdr import bh_adjust
 from effectgrid.operators.joins import null_safe_join
 from effectgrid.operators.quantiles import profile
+from effectgrid.sources.tables import rename_if_absent
 from effectgrid.study import Study
 
 BULK_KEYS = ["projid", "cell_major", "sex"]
@@ -49,7 +50,9 @@ def obs_profile(obs: DataFrame, study: Study) -> DataFrame:
 def pseudobulk_table(obs: DataFrame, study: Study) -> DataFrame:
     table = conform(obs, study)
     qc, _ = filters.split_columns(table, study.qc_columns)
-    return pseudobulk.pseudobulk(table, BULK_KEYS, score_columns(table, study), qc)
+    return pseudobulk.pseudobulk(
+        table, BULK_KEYS, score_columns(table, study), qc, study.max_cells_per_donor
+    )
 
 
 def donor_pheno(obs: DataFrame, study: Study) -> DataFrame:
@@ -87,7 +90,7 @@ def adjusted(assoc: DataFrame, max_group_rows: int | None = None) -> DataFrame:
     """
     z = F.coalesce(F.col("statistic"), F.try_divide("estimate", "std_error"))
     ready = (
-        assoc.withColumns({"sex": F.lower("sex"), "z": z})
+        rename_if_absent(assoc, "response", "pathway").withColumns({"sex": F.lower("sex"), "z": z})
         .withColumn("p", F.coalesce(F.col("p_value"), special.normal_two_sided("z")))
         .withColumnsRenamed({"estimate": "beta", "std_error": "se"})
     )

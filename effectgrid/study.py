@@ -67,6 +67,8 @@ class Study:
     keywords: str = KEYWORDS
     driver_keywords: str = DRIVER_KEYWORDS
     focus_cells: list[str] = field(default_factory=lambda: FOCUS_CELLS)
+    # cells of one donor, type and sex at most, where that is known: saves a counting pass
+    max_cells_per_donor: int | None = None
     min_n: int = 30
     top_strength: float = 1.3
     top_n: int = 25
@@ -98,6 +100,7 @@ TABLES_STUDY = Study(
     keywords="(PRICE|MITOPHAGY|order[_ ]?share)",
     driver_keywords="(PRICE|DISCOUNT|SHARE)",
     focus_cells=["AUTOMOBILE", "BUILDING", "FURNITURE"],
+    max_cells_per_donor=10_000,
     top_strength=0.02,
     interaction_threshold=0.05,
 )
