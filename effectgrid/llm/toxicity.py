@@ -359,12 +359,17 @@ def _scored(model: bytes):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], sample: tuple[int, int]) -> DataFrame:
-    """(id, text, label) of a bounded sample of labelled rows outside the fold, by a hash of their ids."""
+    """(id, text, label) of a bounded sample of labelled rows outside the fold, by a hash of their ids.
+
+    Of repeated labels of an id the larger counts, of repeated texts the smaller.
+    """
     modulus, rest = fold
-    own = labels.where(F.col("label").isin(0, 1)).where(F.crc32(F.col("id").cast("string")) % modulus != rest).dropDuplicates(["id"])
+    own = labels.where(F.col("label").isin(0, 1)).where(F.crc32(F.col("id").cast("string")) % modulus != rest)
+    own = own.groupBy("id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     some = own.where("label = 1").orderBy(*order).limit(sample[0]).unionAll(own.where("label = 0").orderBy(*order).limit(sample[1]))
-    return docs.join(F.broadcast(some), "id").dropDuplicates(["id"])  # at most the sample's rows
+    found = docs.join(F.broadcast(some), "id")  # at most the sample's rows
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def toxicity(
