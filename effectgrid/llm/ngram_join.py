@@ -21,11 +21,16 @@ Equal sets are one class before any join. In a run of sets that share a block,
 all are first held against the smallest id alone. Whatever links falls into a
 component; only runs that still hold several components are compared in full,
 in pairs of bounded chunks. Dense sketches, whose Hamming distance is a lower
-bound too, discard most pairs before their texts are needed: coarse ones inside
-a chunk, finer ones for each pair that is left. A set first names its nearest
-partners in other components only, since one link is enough to join it to
-them; runs in which it has more to name are compared again, with more partners,
-as long as they hold several components, until none has.
+bound too, discard most pairs before their texts are needed.
+
+A pair that shares several blocks is named in the run of the smallest of them
+only, and by a set outside the chunk's most frequent component. A set names its
+nearest partners in other components first, since one link is enough to join
+it to them: in a first round in its largest runs alone, in a second in all that
+are still open. Runs in which a set has more partners to name are compared
+again, with more of them, as long as they hold several components. The rounds
+end when every pair that the sketches allow has been verified or lies in one
+component.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectgrid.llm.components import components
@@ -47,11 +52,13 @@ BLOCKS = 64
 #: Sets in one of the two chunks that a task compares at a time.
 CHUNK = 2048
 #: Partners that a set of a run names in the first round; each further round takes 16 times as many.
-NEAREST = 2
+NEAREST = 8
+#: Of a set's open runs, those that the first round compares.
+FIRST_RUNS = 2
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Bits of a coarse and of a fine sketch for each member that a set of the scheme has at most.
-COARSE, FINE = 1, 4
+#: Bits of a dense sketch for each member that a set of the scheme has at most.
+PART = 2
 
 
 def scheme_of(size: int) -> int:
@@ -76,19 +83,19 @@ def block_keys(tokens: np.ndarray, scheme: int) -> np.ndarray:
     return names & ~U64(63) | U64(scheme)  # the low six bits tell the scheme
 
 
-def dense_sketch(tokens: np.ndarray, scheme: int, part: int) -> bytes:
-    """`part` bits for each member that a set of the scheme has at most, flipped by its tokens."""
-    bits = part * LOWEST_BAND << scheme
+def dense_sketch(tokens: np.ndarray, scheme: int) -> bytes:
+    """PART bits for each member that a set of the scheme has at most, flipped by its tokens."""
+    bits = PART * LOWEST_BAND << scheme
     at = (mix(tokens ^ salt(7)) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
 
 
-SKETCH = "id long, n long, digest binary, keys array<long>, bits array<struct<scheme int, coarse binary, fine binary>>"
+SKETCH = "id long, n long, digest binary, keys array<long>, bits array<struct<scheme int, sketch binary>>"
 
 
 def _sketches(threshold: float, shingle: int):
     reach = 1 / threshold
-    bits = pa.list_(pa.struct([("scheme", pa.int32()), ("coarse", pa.binary()), ("fine", pa.binary())]))
+    bits = pa.list_(pa.struct([("scheme", pa.int32()), ("sketch", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +107,7 @@ def _sketches(threshold: float, shingle: int):
                     rows["n"].append(len(s))
                     rows["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     rows["keys"].append(np.concatenate([block_keys(s, x) for x in schemes]).view(np.int64))
-                    rows["bits"].append([{"scheme": x, "coarse": dense_sketch(s, x, COARSE), "fine": dense_sketch(s, x, FINE)} for x in schemes])
+                    rows["bits"].append([{"scheme": x, "sketch": dense_sketch(s, x)} for x in schemes])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[i:j],
@@ -168,7 +175,7 @@ def _far(threshold: float):
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             scheme, most = col["scheme"].to_numpy(), part * (col["n_a"].to_numpy() + col["n_b"].to_numpy()) + 1e-9
-            left, right = col["bits_a"].to_pylist(), col["bits_b"].to_pylist()
+            left, right = col["sketch_a"].to_pylist(), col["sketch_b"].to_pylist()
             keep = np.zeros(len(scheme), bool)
             for k in np.unique(scheme):
                 for at in np.array_split(np.flatnonzero(scheme == k), max(1, (len(scheme) << int(k)) >> 14)):
@@ -176,42 +183,51 @@ def _far(threshold: float):
                         off = np.bitwise_count(_words_of([left[i] for i in at]) ^ _words_of([right[i] for i in at])).sum(axis=1, dtype=np.int64)
                         keep[at] = off <= most[at]
             kept = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([col[c].take(kept) for c in ("a", "b", "scheme")], ["a", "b", "scheme"])
+            yield pa.RecordBatch.from_arrays([col[c].take(kept) for c in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def not_far(pairs: DataFrame, bits: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Of pairs (a, b, scheme), those whose sketches of that kind allow a link."""
-    side = lambda x: bits.select(F.col("id").alias(x), "scheme", F.col("n").alias(f"n_{x}"), F.col(kind).alias(f"bits_{x}"))
+def not_far(pairs: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b, scheme), those (a, b) whose sketches allow a link."""
+    side = lambda x: bits.select(F.col("id").alias(x), "scheme", F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     joined = pairs.join(side("a"), ["a", "scheme"]).join(side("b"), ["b", "scheme"])
     size = F.least("n_a", "n_b") + 1e-9 >= threshold * F.greatest("n_a", "n_b")
-    return joined.where(size).mapInArrow(_far(threshold), "a long, b long, scheme int")
+    return joined.where(size).mapInArrow(_far(threshold), "a long, b long")
 
 
 def _near(threshold: float, nearest: int):
-    """Of sorted chunk pairs, pairs of different components whose coarse sketches allow a link.
+    """Of sorted chunk pairs, pairs of different components whose sketches allow a link.
 
-    A set names its nearest partners; more tells that it has others.
+    A set names its nearest partners; more tells that it has others. runs are
+    the keys of all runs that a set is in, in ascending order.
     """
     part = (1 - threshold) / (1 + threshold)
 
-    def compare(rows: dict) -> list[np.ndarray] | None:
+    def compare(rows: dict, key: int) -> list[np.ndarray] | None:
         ids, n, component, side = (rows[c] for c in ("id", "n", "component", "side"))
-        bits = _words_of(rows["coarse"])
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        right = right[np.argsort(n[right], kind="stable")]
-        sizes = n[right]
+        bits, runs = _words_of(rows["sketch"]), rows["runs"]
+        values, counts = np.unique(component, return_counts=True)
+        most = values[counts.argmax()]
+        by_size = {k: np.flatnonzero(side == k) for k in (-1, 0, 1)}
+        by_size = {k: v[np.argsort(n[v], kind="stable")] for k, v in by_size.items()}
+        sizes = {k: n[v] for k, v in by_size.items()}
         out: list[list] = [[], [], []]
-        for x in left:
-            span = slice(*np.searchsorted(sizes, [threshold * n[x] - 1e-6, n[x] / threshold + 1e-6]))
-            y = right[span]
-            y = y[component[y] != component[x]]
+        for x in np.flatnonzero(component != most):
+            other = -side[x]
+            span = slice(*np.searchsorted(sizes[other], [threshold * n[x] - 1e-6, n[x] / threshold + 1e-6]))
+            y = by_size[other][span]
+            # of two that both name, the one with the smaller id does
+            y = y[(component[y] != component[x]) & ((component[y] == most) | (ids[y] > ids[x]))]
             if not len(y):
                 continue
             off = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
             close = off <= part * (n[x] + n[y]) + 1e-9
             y, off = y[close], off[close]
+            mine = runs[x][: np.searchsorted(runs[x], key)]
+            if len(mine) and len(y):  # pairs that share an earlier block are named there
+                first = np.array([not np.isin(runs[i][: np.searchsorted(runs[i], key)], mine, assume_unique=True).any() for i in y])
+                y, off = y[first], off[first]
             more = len(y) > nearest
             if more:
                 y = y[np.argpartition(off, nearest)[:nearest]]
@@ -227,8 +243,11 @@ def _near(threshold: float, nearest: int):
             if not held:
                 return
             t = pa.Table.from_batches(held)
-            rows = {c: t[c].to_numpy() for c in ("side", "id", "component", "n")} | {"coarse": t["coarse"].to_pylist()}
-            found = compare(rows)
+            rows = {c: t[c].to_numpy() for c in ("side", "id", "component", "n")} | {"sketch": t["sketch"].to_pylist()}
+            lists = t["runs"].combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            rows["runs"] = [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+            found = compare(rows, name[0])
             if found is not None and len(found[0]):
                 same = [pa.array(np.full(len(found[0]), name[0] & 63, np.int32)), pa.array(np.full(len(found[0]), name[0], np.int64))]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, found), *same], ["a", "b", "more", "scheme", "key"])
@@ -281,33 +300,38 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     stars = shared.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.min("scheme").alias("scheme"))
     stars = stored(stars)
-    close = stored(not_far(stars, bits, "coarse", threshold))
-    close = stored(not_far(close, of_pairs(bits, close), "fine", threshold))
+    close = stored(not_far(stars, bits, threshold))
     links = stored(verified(close, docs, threshold, shingle))
     found = stored(components(links))
 
     # runs of two are settled; of the others, those that still hold several components
-    rows, tested, nearest = shared.where("n_run > 2"), stars.select("a", "b"), NEAREST
+    rows, tested, nearest, first = shared.where("n_run > 2"), stars.select("a", "b"), NEAREST, True
     while True:
         named = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id"))
         open_runs = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         rest = named.join(open_runs.select("key"), "key", "left_semi")
-        rest = rest.join(bits.select("id", "scheme", "n", "coarse"), ["id", "scheme"])
-        pairs = _chunk_pairs(rest).select("key", "i", "j", "side", "id", "component", "n", "coarse")
+        if first:
+            largest = Window.partitionBy("id").orderBy(F.desc("n_run"), "key")
+            rest = rest.withColumn("r", F.row_number().over(largest)).where(F.col("r") <= FIRST_RUNS).drop("r")
+        rest = stored(rest)
+        # at most all blocks of one set
+        lists = rest.groupBy("id", "scheme").agg(F.sort_array(F.collect_list("key")).alias("runs"))
+        lists = lists.join(bits.select("id", "scheme", "n", "sketch"), ["id", "scheme"])
+        pairs = _chunk_pairs(rest.join(lists, ["id", "scheme"])).select("key", "i", "j", "side", "id", "component", "n", "sketch", "runs")
         pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         near = stored(pairs.mapInArrow(_near(threshold, nearest), "a long, b long, more boolean, scheme int, key long"))
-        new = near.groupBy("a", "b").agg(F.min("scheme").alias("scheme")).join(tested, ["a", "b"], "left_anti")
-        new = stored(new)
+        new = stored(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            close = stored(not_far(new, of_pairs(bits, new), "fine", threshold))
-            links = links.union(stored(verified(close, docs, threshold, shingle)))
+            links = links.union(stored(verified(new, docs, threshold, shingle)))
             found = stored(components(links))
-            tested = tested.union(new.select("a", "b"))
-        again = near.where("more").select("key").distinct()
-        if again.isEmpty():
-            break
-        rows, nearest = stored(rows.join(again, "key", "left_semi")), nearest * 16
+            tested = tested.union(new)
+        if not first:
+            again = near.where("more").select("key").distinct()
+            if again.isEmpty():
+                break
+            rows, nearest = stored(rows.join(again, "key", "left_semi")), nearest * 16
+        first = False
 
     member = sketches.select("id", "n", "digest").join(classes, "digest", "left")
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")

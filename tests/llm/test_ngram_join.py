@@ -91,11 +91,13 @@ def test_sketch_distance_is_a_lower_bound():
     for n, m in ((10, 3), (60, 60), (200, 11)):
         a = rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
         b = np.r_[a[m // 2 :], rng.integers(0, 2**64 - 1, m, dtype=np.uint64)]
-        x, y = (np.frombuffer(dense_sketch(s, 2, 1), np.uint8) for s in (a, b))
+        x, y = (np.frombuffer(dense_sketch(s, 2), np.uint8) for s in (a, b))
         assert np.unpackbits(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("links_in_a_task", [10**6, 7])
+def test_components_of_paths_and_stars(spark, monkeypatch, links_in_a_task):
+    monkeypatch.setattr("effectgrid.llm.components.TASK_LINKS", links_in_a_task)
     rng, links = random.Random(2), [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     rng.shuffle(links)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
