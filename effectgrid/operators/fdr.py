@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from effectgrid.functions.scalars import quoted, value_bucket
 from effectgrid.operators.joins import null_safe_join
 
+# value buckets between p and 2p: a bucket has one in so many of an octave's
+# distinct p-values, and a group at most so many rows per octave in the windows
+# that carry ranks and minima between buckets
+BUCKETS = 1 << 16
 # a single window per group is used only where the caller states a smaller bound
 WINDOW_ROWS = 1_000_000
 
@@ -53,14 +57,14 @@ def _bh_spread(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
     """q(p) = min over p' >= p of p' n / rank(p'), on distinct p-values.
 
     Ranks and suffix minima are taken inside buckets of the p-value and
-    carried over between buckets through tables of one row per bucket, so no
-    task ever holds a whole group.
+    carried over between buckets through tables of one row per bucket. A task
+    holds a bucket, or the bucket rows of a group, never a group's values.
     """
     counts = (
         df.filter(quoted(p).isNotNull())
         .groupBy(*by, quoted(p).alias("__p"))
         .agg(F.count("*").alias("__c"))
-        .withColumn("__b", value_bucket(F.col("__p"), per_octave=64))
+        .withColumn("__b", value_bucket(F.col("__p"), per_octave=BUCKETS))
     )
     group = Window.partitionBy(*by)
     before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

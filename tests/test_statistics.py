@@ -7,6 +7,7 @@ import pytest
 from helpers import close, keyed, plan
 from pyspark.sql import functions as F
 
+from effectgrid.functions.scalars import value_bucket
 from effectgrid.operators import association, contrast, fdr, fisher, mixed
 
 
@@ -323,3 +324,14 @@ def test_equal_tables_stay_apart(spark):
     df = spark.createDataFrame([(3, 7, 9, 2), (3, 7, 9, 2), (0, 0, 3, 4)], "a int, b int, c int, d int")
     got = fisher.fisher_2x2(df, "a", "b", "c", "d").collect()
     assert sorted(round(r.p, 9) for r in got) == [0.029973123, 0.029973123, 1.0]
+
+
+def test_adjustment_routes_agree_on_many_distinct_values(spark):
+    df = spark.range(30_000).select((F.xxhash64("id") % 1_000_003 / 1_000_003.0).alias("p"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("p", F.abs("p"))
+    a = fdr._bh_window(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
+    b = fdr._bh_spread(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
+    assert len(a) == len(b) and all(x.p == y.p and close(x.FDR, y.FDR, 1e-12) for x, y in zip(a, b))
+    # a bucket of the spread route holds a small part of the distinct values
+    largest = df.groupBy("g", value_bucket(F.col("p"), fdr.BUCKETS).alias("b")).agg(F.countDistinct("p").alias("n"))
+    assert largest.agg(F.max("n")).first()[0] <= 8
