@@ -137,16 +137,16 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFra
     def evidence(column: str) -> DataFrame:
         known = scored.where(tagged & F.col(column).isNotNull())
         table = known.groupBy(column).agg(*_sums(count))
-        whole = table.agg(F.count(F.lit(1)).alias("values"), *(F.sum(f"s{i}").alias(f"t{i}") for i in range(count)))
-        logs = [F.log((F.col(f"s{i}") + 1.0) / (F.col(f"t{i}") + F.col("values") + 1.0)) for i in range(count)]
-        return table.crossJoin(F.broadcast(whole)).select(column, F.array(*logs).alias(f"{column}_logs"))  # whole: one row
+        values, *totals = table.agg(F.count(F.lit(1)), *(F.sum(f"s{i}") for i in range(count))).first()  # one row of numbers
+        logs = [F.log((F.col(f"s{i}") + 1.0) / F.lit((totals[i] or 0.0) + values + 1.0)) for i in range(count)]
+        return table.select(column, F.array(*logs).alias(f"{column}_logs"))
 
     # host to domain to all rows; text posteriors are summed, combined in the map tasks
     def level(column: str) -> DataFrame:
         return scored.where(tagged & F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(f"{column}_n"), F.array(*_sums(count)).alias(f"{column}_p"))
 
-    whole = scored.where(tagged).agg(F.count(F.lit(1)).alias("all_n"), F.array(*_sums(count)).alias("all_p"))
-    out = scored.crossJoin(F.broadcast(whole))  # one row
+    n, *sums = scored.where(tagged).agg(F.count(F.lit(1)), *_sums(count)).first()  # one row of numbers
+    out = scored.withColumns({"all_n": F.lit(n), "all_p": F.array(*(F.lit(x or 0.0) for x in sums))})
     for table, column in ((evidence("declared"), "declared"), (evidence("suffix"), "suffix"), (level("host"), "host"), (level("domain"), "domain")):
         out = out.join(table, column, "left")
 
