@@ -639,3 +639,16 @@ UNION ALL SELECT 'derived', count(DISTINCT c_nationkey) FROM customer""",
 ORACLES["interaction_top_fallback"] = ORACLES["interaction_top"].replace(
     f"max_abs >= {S.interaction_threshold}", "max_abs >= 1e9"
 )
+
+
+def _revised(sql: str) -> str:
+    return sql.replace(
+        "c_acctbal AS acctbal", "c_acctbal + CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 0.0 END AS acctbal, l_orderkey * 10 + l_linenumber AS row_order"
+    )
+
+
+ORACLES["donor_check_revised"] = _revised(ORACLES["donor_check"])
+ORACLES["bulk_pheno_revised"] = _revised(ORACLES["bulk_pheno"])
+ORACLES["donor_pheno_first_revised"] = f"""WITH {_revised(OBS)}
+SELECT projid, {', '.join(f'round({c}, 6) AS {c}' for c in PHENOS)} FROM obs_v
+QUALIFY row_number() OVER (PARTITION BY projid ORDER BY row_order) = 1"""

@@ -43,6 +43,10 @@ def _on_sig(plan) -> Query:
     return lambda spark, sf: plan(_sig(spark, sf))
 
 
+def _on_revised(plan) -> Query:
+    return lambda spark, sf: plan(views.revised_observations(spark, sf))
+
+
 def _on_obs(plan) -> Query:
     return lambda spark, sf: plan(views.observations(spark, sf))
 
@@ -381,6 +385,9 @@ QUERIES: dict[str, Query] = {
     "donor_pheno": _on_obs(donor_pheno),
     "donor_pheno_first": _on_obs(donor_pheno_first),
     "donor_check": _on_obs(donor_check),
+    "donor_check_revised": _on_revised(donor_check),
+    "donor_pheno_first_revised": _on_revised(donor_pheno_first),
+    "bulk_pheno_revised": _on_revised(bulk_pheno),
     "missing_phenotypes": missing_phenotypes,
     "bulk_pheno": _on_obs(bulk_pheno),
     "standardised": _on_obs(standardised),

@@ -109,6 +109,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def revised_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations in which the balance was revised at a seventh line of an order.
+
+    Donors with such a line and others have two phenotype rows.
+    """
+    later = F.when(F.col("l_linenumber") == 7, 1.0).otherwise(0.0)
+    return observations(spark, sf_dir).withColumn("acctbal", F.col("acctbal") + later)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings in long form; entries of small size count as missing."""
     return (

@@ -47,5 +47,9 @@ def test_without_sql(spark, sf_mid, name):
     assert rows and all(r.estimate is not None for r in rows)
 
 
+def test_revised_donors_have_two_rows(spark, sf_small):
+    assert QUERIES["donor_check_revised"](spark, sf_small).first().n_repeated > 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
