@@ -63,10 +63,9 @@ def components(links: DataFrame) -> DataFrame:
     links is no hot task; no node's neighbours are gathered.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = stored(edges.distinct().mapInArrow(_contract, "u long, v long").distinct())
-    if edges.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
-        after = stored(edges.coalesce(1).mapInArrow(_contract, "u long, v long"))
-        return _stars(after)
+    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return _stars(stored(edges.coalesce(1).mapInArrow(_contract, "u long, v long")))
+    edges = stored(edges.mapInArrow(_contract, "u long, v long").distinct())
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -55,8 +55,8 @@ CHUNK = 2048
 NEAREST = 8
 #: Of a set's open runs, those that the first round compares.
 FIRST_RUNS = 2
-#: Ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of ids that may be broadcast, about 20 MB; more are joined by a shuffle.
+BROADCAST_IDS = 300_000
 #: Bits of a dense sketch for each member that a set of the scheme has at most.
 PART = 2
 
@@ -146,11 +146,15 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Stored rows of ids, to be broadcast if they have been counted to be few."""
+    few = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return F.broadcast(rows) if few else rows
+
+
 def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows whose id is in a pair: wide rows are left out before they are shuffled."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return rows.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -307,7 +311,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # runs of two are settled; of the others, those that still hold several components
     rows, tested, nearest, first = shared.where("n_run > 2"), stars.select("a", "b"), NEAREST, True
     while True:
-        named = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
+        named = rows.join(sized(found.withColumnRenamed("node", "id")), "id", "left")
         named = named.withColumn("component", F.coalesce("component", "id"))
         open_runs = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         rest = named.join(open_runs.select("key"), "key", "left_semi")
@@ -321,7 +325,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         pairs = _chunk_pairs(rest.join(lists, ["id", "scheme"])).select("key", "i", "j", "side", "id", "component", "n", "sketch", "runs")
         pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         near = stored(pairs.mapInArrow(_near(threshold, nearest), "a long, b long, more boolean, scheme int, key long"))
-        new = stored(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        new = stored(near.select("a", "b").join(sized(tested), ["a", "b"], "left_anti"))
         if not new.isEmpty():
             links = links.union(stored(verified(new, docs, threshold, shingle)))
             found = stored(components(links))
