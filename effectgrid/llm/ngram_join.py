@@ -57,6 +57,8 @@ NEAREST = 8
 FIRST_RUNS = 2
 #: Rows of ids that may be broadcast, about 20 MB; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
+#: Rows with texts that a task's Python gets at a time.
+TEXTS = 500
 #: Bits of a dense sketch for each member that a set of the scheme has at most.
 PART = 2
 
@@ -293,7 +295,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     null component.
     """
     docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    sketches = stored(docs.mapInArrow(_sketches(threshold, shingle), SKETCH))
+    sketches = stored(docs.mapInArrow(_sketches(threshold, shingle), SKETCH), TEXTS)
     alike = sketches.where("n > 0 and id is not null")
     classes = stored(alike.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = alike.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -305,7 +307,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     stars = shared.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.min("scheme").alias("scheme"))
     stars = stored(stars)
     close = stored(not_far(stars, bits, threshold))
-    links = stored(verified(close, docs, threshold, shingle))
+    links = stored(verified(close, docs, threshold, shingle), TEXTS)
     found = stored(components(links))
 
     # runs of two are settled; of the others, those that still hold several components
@@ -327,7 +329,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         near = stored(pairs.mapInArrow(_near(threshold, nearest), "a long, b long, more boolean, scheme int, key long"))
         new = stored(near.select("a", "b").join(sized(tested), ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            links = links.union(stored(verified(new, docs, threshold, shingle)))
+            links = links.union(stored(verified(new, docs, threshold, shingle), TEXTS))
             found = stored(components(links))
             tested = tested.union(new)
         if not first:

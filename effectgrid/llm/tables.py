@@ -27,14 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back.
 
     This cuts the lineage, survives lost executors, and unlike checkpoint()
-    keeps columns that can be pruned.
+    keeps columns that can be pruned. batch_rows bounds the rows that Python gets
+    at a time while they are written; the session's setting stays as it was.
     """
     path = f"{shared_folder(df.sparkSession)}/effectgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        if batch_rows:
+            conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
