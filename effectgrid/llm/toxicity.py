@@ -3,8 +3,8 @@
 A word is read twice: as an embedding of its hash, and byte by byte by a
 bidirectional GRU whose states are pooled by attention. Both make its input to
 a second bidirectional GRU over a window of words, pooled by attention into one
-logit. A text is scored on all its overlapping windows; its largest window
-counts, shifted so that the cut that is best on the training documents is 0.7.
+logit. A text is scored on all its overlapping windows, one from each word on
+that has a whole window ahead; its largest window counts, shifted so that the cut that is best on the training documents is 0.7.
 
 The network is trained in numpy, in one task, on a bounded sample of labelled
 rows. Only documents are labelled, so a toxic document is trained on the window
@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 
 from effectgrid.llm.words import ALNUM_CUT, U64, Words, pieces
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 1
 #: Bytes of one word input; longer words are several inputs.
 WORD_BYTES = 16
 BUCKETS = 4096
 HIDDEN = 8
 #: Labelled rows used at most: of label 1, and of label 0.
 SAMPLE = (1500, 3000)
-#: Windows of one sampled document that training may draw from, spread evenly.
-TRAIN_WINDOWS = 64
 #: Batches of training; small samples are gone through more often.
 STEPS, LEAST_EPOCHS = 480, 16
 CUT = 0.7
@@ -73,6 +71,7 @@ class Inputs:
         self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         # windows: every STRIDE words, the last one ends with the text; one empty window for a text without words
         count = np.diff(first)
+        self.count = count
         n = np.maximum(1, 1 + np.ceil((count - WINDOW) / STRIDE).astype(np.int64))
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         last = np.maximum(0, np.repeat(count, n) - WINDOW)
@@ -184,7 +183,8 @@ def projections(p: dict, inputs: Inputs, rows: np.ndarray | None = None, most: i
     return out
 
 
-def window_logits(p: dict, inputs: Inputs, table: np.ndarray, windows: np.ndarray, most: int = 4096) -> np.ndarray:
+def short_logits(p: dict, inputs: Inputs, table: np.ndarray, windows: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Logits of windows that may be short of words."""
     out = np.zeros(len(windows), np.float32)
     for i in range(0, len(windows), most):
         at = windows[i : i + most]
@@ -196,6 +196,67 @@ def window_logits(p: dict, inputs: Inputs, table: np.ndarray, windows: np.ndarra
     return out
 
 
+def whole_logits(p: dict, table: np.ndarray, word: np.ndarray, most: int = 1024) -> np.ndarray:
+    """Logits of the window of WINDOW words from every place of a row of word numbers.
+
+    Of a state only its products with the attention and the output weights are
+    kept: the pooled output is the weighted mean of the latter.
+    """
+    h, n = HIDDEN, len(word) - WINDOW + 1
+    out = np.empty(n, np.float32)
+    turned = np.repeat([-1.0, -2.0], [2 * h, h]).astype(np.float32)[:, None]  # gates from exp(-x), tanh from exp(-2x)
+    ways = []
+    for k, way in enumerate("fb"):
+        own = slice(k * h, (k + 1) * h)
+        ways.append((slice(k * 3 * h, (k + 1) * 3 * h), np.concatenate([p[f"Uw{way}"].T * turned, p["vw"][None, own], p["out"][None, own]]).astype(np.float32)))
+    table = table * np.tile(turned[:, 0], 2)
+    for lo in range(0, n, most):
+        m = min(most, n - lo)
+        x = np.ascontiguousarray(table[word[lo : lo + m + WINDOW - 1]].T)
+        told = np.zeros((WINDOW, 2, m), np.float32)  # products with attention and output
+        for k, (rows, u) in enumerate(ways):
+            own, hid = x[rows], np.zeros((h, m), np.float32)
+            g, zr = np.zeros((3 * h + 2, m), np.float32), np.empty((2 * h, m), np.float32)
+            z, r, new = zr[:h], zr[h:], g[2 * h : 3 * h]
+            for t in range(WINDOW - 1, -1, -1) if k else range(WINDOW):
+                with np.errstate(over="ignore"):
+                    np.exp(np.add(own[: 2 * h, t : t + m], g[: 2 * h], out=zr), out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                new *= r
+                new += own[2 * h :, t : t + m]
+                with np.errstate(over="ignore"):
+                    np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                hid -= new
+                hid *= z
+                hid += new
+                np.matmul(u, hid, out=g)
+                told[t] += g[3 * h :]
+        score = told[:, 0]
+        a = np.exp(score - score.max(axis=0))
+        out[lo : lo + m] = (a * told[:, 1]).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
+    return out
+
+
+def window_logits(p: dict, inputs: Inputs, table: np.ndarray) -> np.ndarray:
+    """The logit of every window."""
+    out = np.empty(len(inputs.begin), np.float32)
+    long = inputs.count >= WINDOW
+    whole = np.repeat(long, np.diff(inputs.first))
+    short = np.flatnonzero(~whole)
+    out[short] = short_logits(p, inputs, table, short)
+    if long.any():
+        # texts of whole windows one after another; places whose window runs into the next text are left out
+        word = inputs.word[np.repeat(long, inputs.count)]
+        end = np.cumsum(inputs.count[long])
+        ahead = np.repeat(end, inputs.count[long]) - np.arange(len(word))
+        out[whole] = whole_logits(p, table, word)[(ahead >= WINDOW)[: len(word) - WINDOW + 1]]
+    return out
+
+
 def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, weight: np.ndarray, rng) -> tuple[float, dict]:
     """Loss and gradients of a batch of windows. Hash embeddings are dropped at random, so bytes count too."""
     word, mask = inputs.words(windows)
@@ -257,8 +318,11 @@ def leaning_windows(inputs: Inputs, owner: np.ndarray, label: np.ndarray) -> np.
         pos = np.bincount(k[label[d] == 1], minlength=len(inputs.names))
         neg = np.bincount(k[label[d] == 0], minlength=len(inputs.names)) * (label.sum() / max(1, (label == 0).sum()))
         lean = np.maximum(lean, ((pos - neg) / np.sqrt(pos + neg + 1))[name])
-    word, mask = inputs.words(np.arange(len(owner)))
-    return np.where(mask, lean[word], -1).max(axis=0)
+    out = np.empty(len(owner))
+    for i in range(0, len(owner), 1 << 16):
+        word, mask = inputs.words(np.arange(i, min(i + (1 << 16), len(owner))))
+        out[i : i + (1 << 16)] = np.where(mask, lean[word], -1).max(axis=0)
+    return out
 
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = 1) -> dict[str, np.ndarray]:
@@ -272,30 +336,24 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: in
     parts = list(pieces(pa.array(texts, pa.string()), 1 << 62))
     inputs = Inputs(*parts[0][2:])
     owner = np.repeat(np.arange(len(label)), np.diff(inputs.first))
-    lean = leaning_windows(inputs, owner, label)
-    place = np.arange(len(owner)) - inputs.first[owner]
-    n = np.diff(inputs.first)[owner]
-    allowed = np.flatnonzero((n <= TRAIN_WINDOWS) | (place * TRAIN_WINDOWS // n != (place - 1) * TRAIN_WINDOWS // n))
-    score = lean[allowed]
-    owner_a = owner[allowed]
+    score = leaning_windows(inputs, owner, label)
+    begin, n = inputs.first[:-1], np.diff(inputs.first)
     m = {k: np.zeros_like(x) for k, x in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
     size, step = 256 if len(label) > 1000 else 64, 0
     epochs = max(LEAST_EPOCHS, -(-steps * size // (2 * len(label))))
 
-    def top_of(score):
-        order = np.lexsort((-score, owner_a))
-        lead = order[np.r_[True, owner_a[order][1:] != owner_a[order][:-1]]]
-        return lead  # one window per document, in document order
+    def top_of(score):  # the first of the largest windows of each document, in document order
+        at = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, begin), n))
+        return at[np.unique(owner[at], return_index=True)[1]]
 
     for epoch in range(epochs):
         if epoch and epoch % 4 == 0:
-            score = window_logits(p, inputs, projections(p, inputs), allowed)
+            score = window_logits(p, inputs, projections(p, inputs))
         lead = top_of(score)
-        # documents come in the order of their numbers; any window of a clean one may be drawn
-        chance = top_of(rng.random(len(allowed)))
-        clean = label[owner_a[chance]] == 0
-        windows = np.r_[allowed[lead], allowed[chance[clean]]]
+        # any window of a clean document may be drawn
+        chance = begin + (rng.random(len(n)) * n).astype(np.int64)
+        windows = np.r_[lead, chance[label == 0]]
         y = label[owner[windows]]
         weight = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()) * 0.5, 1.0)
         order = rng.permutation(len(windows))
@@ -310,7 +368,7 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: in
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
                 p[k] = p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    score = window_logits(p, inputs, projections(p, inputs), np.arange(len(owner)))
+    score = window_logits(p, inputs, projections(p, inputs))
     largest = np.maximum.reduceat(score, inputs.first[:-1])
     return p | {"shift": np.array([best_cut(largest, label)])}
 
@@ -340,7 +398,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_logits(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inputs = Inputs(data, offsets)
-    score = window_logits(p, inputs, projections(p, inputs), np.arange(inputs.first[-1]))
+    score = window_logits(p, inputs, projections(p, inputs))
     return np.maximum.reduceat(score, inputs.first[:-1])
 
 

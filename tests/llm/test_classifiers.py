@@ -85,6 +85,36 @@ def test_windows_cover_every_word():
         assert all(0 < b - a <= toxicity.STRIDE < toxicity.WINDOW for a, b in zip(begins, begins[1:]))
 
 
+def test_every_window_is_scored():
+    """A text scores as its worst run of WINDOW words, wherever that begins."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 50, 150)]
+    p = {k: v * 3 for k, v in toxicity.initial(4).items()}
+    one = lambda text: toxicity.text_logits(p, *next(pieces(pa.array([text])))[2:])[0]
+    runs = [" ".join(words[i : i + toxicity.WINDOW]) for i in range(len(words) - toxicity.WINDOW + 1)]
+    (_, _, data, offsets), = pieces(pa.array(runs))
+    inputs = toxicity.Inputs(data, offsets)
+    each = toxicity.short_logits(p, inputs, toxicity.projections(p, inputs), np.arange(len(runs)))
+    assert np.ptp(each) > 0.1
+    for n in range(toxicity.WINDOW, len(words) + 1, 7):
+        assert one(" ".join(words[:n])) == pytest.approx(each[: n - toxicity.WINDOW + 1].max(), abs=1e-4)
+
+
+def test_training_looks_at_every_window():
+    """The one toxic passage of a long text is what training sees first, wherever it lies."""
+    clean = [" ".join(f"w{(7 * i + k) % 90}" for k in range(3000)) for i in range(6)]
+    for at in (5, 777, 1600, 2990):
+        words = clean[0].split()
+        words[at] = "zork"
+        (_, _, data, offsets), = pieces(pa.array([" ".join(words), *clean[1:]]))
+        inputs = toxicity.Inputs(data, offsets)
+        owner = np.repeat(np.arange(6), np.diff(inputs.first))
+        lean = toxicity.leaning_windows(inputs, owner, np.array([1, 0, 0, 0, 0, 0]))
+        best = inputs.begin[np.flatnonzero((owner == 0) & (lean == lean.max()))]
+        assert len(best) == min(at, 3000 - toxicity.WINDOW) - max(0, at - toxicity.WINDOW + 1) + 1
+        assert ((best <= at) & (at < best + toxicity.WINDOW)).all()
+
+
 def test_gradients_against_differences():
     texts = ["one two three four five", "six one", "seven longerwordthanonepiece eight nine", ""]
     (_, _, data, offsets), = pieces(pa.array(texts))
