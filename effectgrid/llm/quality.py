@@ -4,8 +4,8 @@ A document beats another with the chance sigmoid(w . (features - features')).
 The weights minimise the logistic loss over preference pairs, each of a
 document labelled good and one labelled bad, drawn from a bounded sample of the
 labelled rows. A document's worth is w . features; the threshold is the quantile
-of the training documents' worths at their share of bad ones, and the score
-puts that quantile at 0.3.
+of the worths of all labelled documents outside the fold at their share of bad
+ones, and the score puts that quantile at 0.3.
 
 Features are shares and rates over the whole text. They are standardised by the
 sample's mean and spread.
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectgrid.llm.toxicity import sigmoid, training_rows
+from effectgrid.llm.cuts import labelled_scores, lowest_share_cut
+from effectgrid.llm.tables import stored
+from effectgrid.llm.toxicity import allowed_labels, sigmoid, training_rows
 from effectgrid.llm.words import SPACE_CUT, Words, pieces
 
 #: Labelled rows used at most: good, and bad.
@@ -127,11 +129,15 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 1) ->
     return {"w": w, "mean": mean, "spread": spread, "threshold": np.array([(low + high) / 2])}
 
 
+def worths(p: dict, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - p["mean"]) / p["spread"], -8, 8) @ p["w"]
+
+
 def scores(p: dict, x: np.ndarray) -> np.ndarray:
+    """Scores with the threshold of the fitted rows themselves."""
     if "constant" in p:
         return np.full(len(x), p["constant"][0])
-    worth = np.clip((x - p["mean"]) / p["spread"], -8, 8) @ p["w"]
-    return sigmoid(worth - p["threshold"][0] + LIKELY)
+    return sigmoid(worths(p, x) - p["threshold"][0] + LIKELY)
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +157,8 @@ def _scored(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = dict(np.load(io.BytesIO(model)))
         for batch in batches:
-            score = np.round(scores(p, all_features(batch.column(1))), 9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["id", "score"])
+            worth = np.zeros(len(batch)) if "constant" in p else worths(p, all_features(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worth, pa.float64())], ["id", "logit"])
 
     return run
 
@@ -169,7 +175,8 @@ def quality(
     """One row per document: id, held_out, score, predicted.
 
     Labels are learnt from at most sample[0] good and sample[1] bad rows, none
-    of which has a crc32 of its id with remainder fold[1] by fold[0]. Null and
+    of which has a crc32 of its id with remainder fold[1] by fold[0]; the
+    threshold is taken over all such rows, at their share of bad ones. Null and
     empty texts have no words and a feature that says so; if only one label
     occurs, or none, all scores are its smoothed rate. Nothing but the text is
     an input of a score.
@@ -180,7 +187,15 @@ def quality(
     trained = rows.repartition(1).mapInArrow(_trained, "model binary").first()  # bounded rows, one short job
     model = trained["model"] if trained else next(_trained(iter([]))).column(0)[0].as_py()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(lambda it, h=held: _scored(h.value)(it), "id long, score double")
+    scored = docs.mapInArrow(lambda it, h=held: _scored(h.value)(it), "id long, logit double")
+    p = np.load(io.BytesIO(model))
+    if "constant" in p:
+        score = F.lit(float(p["constant"][0]))
+    else:
+        scored = stored(scored)
+        cut = lowest_share_cut(labelled_scores(scored, allowed_labels(labels, fold)))
+        score = 1 / (1 + F.exp(cut - LIKELY - F.col("logit")))
+    scored = scored.select("id", F.round(score, 9).alias("score"))
     return scored.select(
         F.col("id").alias(id_column),
         (F.crc32(F.col("id").cast("string")) % fold[0] == fold[1]).alias("held_out"),

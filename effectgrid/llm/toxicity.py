@@ -4,7 +4,8 @@ A word is read twice: as an embedding of its hash, and byte by byte by a
 bidirectional GRU whose states are pooled by attention. Both make its input to
 a second bidirectional GRU over a window of words, pooled by attention into one
 logit. A text is scored on all its overlapping windows, one from each word on
-that has a whole window ahead; its largest window counts, shifted so that the cut that is best on the training documents is 0.7.
+that has a whole window ahead; its largest window counts, shifted so that the cut with the best F1 on all labelled documents
+outside the fold is 0.7.
 
 The network is trained in numpy, in one task, on a bounded sample of labelled
 rows. Only documents are labelled, so a toxic document is trained on the window
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from effectgrid.llm.cuts import best_f1_cut, labelled_scores
+from effectgrid.llm.tables import stored
 from effectgrid.llm.words import ALNUM_CUT, U64, Words, pieces
 
 WINDOW, STRIDE = 32, 1
@@ -326,7 +329,7 @@ def leaning_windows(inputs: Inputs, owner: np.ndarray, label: np.ndarray) -> np.
 
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: int = 1) -> dict[str, np.ndarray]:
-    """The parameters, with the shift of the cut; a constant score unless both labels occur."""
+    """The parameters; a constant score unless both labels occur."""
     label = np.array(labels, np.int64)
     p = initial(seed)
     if not len(label) or label.min() == label.max():
@@ -368,21 +371,7 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, seed: in
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
                 p[k] = p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    score = window_logits(p, inputs, projections(p, inputs))
-    largest = np.maximum.reduceat(score, inputs.first[:-1])
-    return p | {"shift": np.array([best_cut(largest, label)])}
-
-
-def best_cut(score: np.ndarray, label: np.ndarray) -> float:
-    """The score between those where the F1 of the training documents is largest; the middle of ties."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    last = np.r_[s[1:] != s[:-1], True]
-    f1 = np.where(last, f1, -1)
-    k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else s[k] - 1)) / 2)
+    return p
 
 
 # ---- Spark jobs -----------------------------------------------------------
@@ -407,23 +396,25 @@ def _scored(model: bytes):
         p = dict(np.load(io.BytesIO(model)))
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(1), 1 << 23):
-                if "constant" in p:
-                    score = np.full(j - i, p["constant"][0])
-                else:
-                    score = sigmoid(text_logits(p, data, offsets).astype(np.float64) - p["shift"][0] + LIKELY)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.round(score, 9))], ["id", "score"])
+                score = np.zeros(j - i) if "constant" in p else text_logits(p, data, offsets).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(score)], ["id", "logit"])
 
     return run
 
 
+def allowed_labels(labels: DataFrame, fold: tuple[int, int]) -> DataFrame:
+    """(id, label) of all labelled rows outside the fold; of repeated labels of an id the larger counts."""
+    modulus, rest = fold
+    own = labels.where(F.col("label").isin(0, 1)).where(F.crc32(F.col("id").cast("string")) % modulus != rest)
+    return own.groupBy("id").agg(F.max("label").alias("label"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, fold: tuple[int, int], sample: tuple[int, int]) -> DataFrame:
     """(id, text, label) of a bounded sample of labelled rows outside the fold, by a hash of their ids.
 
     Of repeated labels of an id the larger counts, of repeated texts the smaller.
     """
-    modulus, rest = fold
-    own = labels.where(F.col("label").isin(0, 1)).where(F.crc32(F.col("id").cast("string")) % modulus != rest)
-    own = own.groupBy("id").agg(F.max("label").alias("label"))
+    own = allowed_labels(labels, fold)
     order = [F.xxhash64("id"), F.col("id")]
     some = own.where("label = 1").orderBy(*order).limit(sample[0]).unionAll(own.where("label = 0").orderBy(*order).limit(sample[1]))
     found = docs.join(F.broadcast(some), "id")  # at most the sample's rows
@@ -443,7 +434,7 @@ def toxicity(
 
     Labels are learnt from at most sample[0] rows of label 1 and sample[1] of
     label 0, none of which has a crc32 of its id with remainder fold[1] by
-    fold[0]. Null and empty texts get the score of an empty window; if only one
+    fold[0]; the cut is taken over all such rows. Null and empty texts get the score of an empty window; if only one
     label occurs, or none, all scores are its smoothed rate. Nothing but the
     text is an input of a score.
     """
@@ -453,7 +444,15 @@ def toxicity(
     trained = rows.repartition(1).mapInArrow(_trained, "model binary").first()  # bounded rows, one short job
     model = trained["model"] if trained else next(_trained(iter([]))).column(0)[0].as_py()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(lambda it, h=held: _scored(h.value)(it), "id long, score double")
+    scored = docs.mapInArrow(lambda it, h=held: _scored(h.value)(it), "id long, logit double")
+    p = np.load(io.BytesIO(model))
+    if "constant" in p:
+        score = F.lit(float(p["constant"][0]))
+    else:
+        scored = stored(scored)
+        cut = best_f1_cut(labelled_scores(scored, allowed_labels(labels, fold)))
+        score = 1 / (1 + F.exp(cut - LIKELY - F.col("logit")))
+    scored = scored.select("id", F.round(score, 9).alias("score"))
     return scored.select(
         F.col("id").alias(id_column),
         (F.crc32(F.col("id").cast("string")) % fold[0] == fold[1]).alias("held_out"),

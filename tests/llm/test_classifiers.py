@@ -48,6 +48,18 @@ def test_held_out_texts_are_told_apart(spark):
     assert got[5000].score == got[5001].score < 0.7
 
 
+def test_cut_is_best_at_the_shares_of_all_labelled_rows(spark):
+    """The sample is capped by class, the cut is not."""
+    rows = corpus(300)
+    rows = [x for x in rows if not x[2] or x[0] % 2]
+    docs = spark.createDataFrame([(i, t, "x", "s") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, y, 1, "") for i, _, y in rows], LABELS)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, sample=(20, 10)).collect()}
+    score, y = (np.array(x) for x in zip(*((got[i], y) for i, _, y in rows if fold(i, 3) != 1)))
+    f1 = lambda cut: 2 * (y[score >= cut]).sum() / ((score >= cut).sum() + y.sum())
+    assert f1(0.7) >= max(f1(c) for c in score) - 1e-12
+
+
 def test_labels_of_the_fold_change_nothing(spark):
     rows = corpus(120)
     docs = spark.createDataFrame([(i, t, "x", "s") for i, t, _ in rows], SCHEMA)
@@ -196,6 +208,29 @@ def test_held_out_quality(spark):
     assert sum(r.predicted == y for r, y in held) >= 0.95 * len(held) and len(held) > 50
 
 
+@pytest.mark.parametrize("sample", [(60, 60), (20, 60), (6000, 6000)])
+def test_quality_cut_is_the_quantile_of_all_labelled_rows(spark, sample):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = [r for r in quality.quality(docs, labels, sample=sample).collect() if not r.held_out and truth.get(r.doc_id) in (0, 1)]
+    bad = sum(truth[r.doc_id] == 0 for r in got)
+    assert len(got) > 300 and 0 < bad < len(got) / 3
+    assert abs(sum(r.predicted == 0 for r in got) - bad) <= 1
+
+
+def test_quantile_in_buckets(spark):
+    """Against sorting, with ties and far values that leave most rows in one bucket."""
+    from effectgrid.llm import cuts
+
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=300), np.r_[rng.normal(size=300) * 1e-7, 1e6, -1e6], np.repeat([1.0, 2.0], 50), np.full(9, 3.0)):
+        label = (rng.random(len(x)) < 0.8).astype(int)
+        rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, label)], "logit double, label int")
+        ordered, k = np.sort(x), int((label == 0).sum())
+        assert ordered[k - 1] <= cuts.lowest_share_cut(rows) <= ordered[min(k, len(x) - 1)]
+
+
 def test_ranking_prefers_good_pairs():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 4))
