@@ -7,10 +7,14 @@ characters outside of links,
     C / T * log_b(C / LC * T / LT),   b = ln(C / NLC * LC + C * LC(body) / C(body) + e),
 
 zeros in denominators counting as one. A node's sum is that of its children's
-densities. The node with the largest sum holds the main text, and the least
-density on its path to the body is the threshold. It is widened to the article
-element around it; where it spans several articles, those that reach the
-threshold are taken.
+densities. The least density on the path from the node with the largest sum to
+the body is the threshold. From the body down, every node that reaches the
+threshold gives the node with the largest sum inside it; a node of which its own
+text is the half or more is given whole. Given nodes are widened to the article
+or main element around them, or narrowed to the articles in them that reach the
+threshold and hold most of them; where such an element is around the largest
+sum, only those count. Headings are too short for a density, so those
+beside a given node come with it.
 
 Nodes that are no article by their element, role or class names (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, styles,
@@ -40,6 +44,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr caption ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key ends open elements of these kinds, no further out than `_SCOPE`.
 _ENDS = {
     "li": {"li"},
@@ -63,7 +68,7 @@ _NAMES = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "gone", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "parts", "gone", "chars", "tags", "link_chars", "link_tags", "density", "sum", "own", "top")
 
     def __init__(self, tag: str, parent: Node | None, gone: bool = False):
         self.tag, self.parent, self.gone = tag, parent, gone
@@ -168,7 +173,7 @@ def _inside(node: Node, body: Node) -> bool:
     return False
 
 
-def _measure(body: Node) -> None:
+def _measure(body: Node) -> list[Node]:
     """Characters and tags of every node, from the leaves up; those of unwanted nodes do not count."""
     order, stack = [], [body]
     while stack:
@@ -177,8 +182,8 @@ def _measure(body: Node) -> None:
         order.append(node)
         stack += node.children
     for node in reversed(order):
-        own = sum(len("".join(p.split())) for p in node.parts if type(p) is str)
-        node.chars = own + sum(c.chars for c in node.children)
+        node.own = sum(len("".join(p.split())) for p in node.parts if type(p) is str)
+        node.chars = node.own + sum(c.chars for c in node.children)
         node.tags = sum(c.tags + 1 for c in node.children)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
@@ -192,8 +197,73 @@ def _measure(body: Node) -> None:
         ratio = c / max(1, node.link_chars) * t / max(1, node.link_tags)
         node.density = c / t * log(ratio) / log(base) if ratio > 1 else 0.0
         node.sum = sum(x.density for x in node.children)
-    for form in [n for n in order if n.tag == "form"]:  # unless a form is what wraps the page
+        node.top = node  # the first of the largest sums in page order
+        for child in node.children:
+            if child.top.sum > node.top.sum:
+                node.top = child.top
+    return order
+
+
+def _measured(body: Node) -> None:
+    """Measures without forms, unless a form is what wraps the page."""
+    forms = [n for n in _measure(body) if n.tag == "form"]
+    for form in forms:
         form.gone = 2 * form.chars < body.chars
+    if any(form.gone for form in forms):
+        _measure(body)
+
+
+def _around(node: Node) -> Node | None:
+    """The outermost article around a node, else the nearest main."""
+    found = None
+    while node is not None:
+        if node.tag == "article" or (node.tag == "main" and found is None):
+            found = node
+        node = node.parent
+    return found
+
+
+def _articles(node: Node, threshold: float) -> list[Node]:
+    """The articles in a node that reach the threshold, if they hold most of it, else the node."""
+    found, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if x.tag == "article":
+            found.append(x)
+        else:
+            stack += x.children
+    found = [x for x in found if x.density >= threshold and x.chars]
+    return found if 2 * sum(x.chars for x in found) >= node.chars and found else [node]
+
+
+def _chosen(body: Node) -> list[Node]:
+    """The nodes of the main text, in page order."""
+    threshold, up = body.density, body.top
+    while up is not body:
+        threshold = min(threshold, up.density)
+        up = up.parent
+    taken, stack = set(), [body]
+    while stack:
+        node = stack.pop()
+        if node.density < threshold or not node.chars or node in taken:
+            continue
+        top = node if 2 * node.own >= node.chars else node.top
+        taken.add(top)
+        if top is not node:
+            stack += node.children
+    if _around(body.top):
+        taken = {x for x in map(_around, taken) if x}
+    else:
+        taken = {x for node in taken for x in ([_around(node)] if _around(node) else _articles(node, threshold))}
+        taken |= {x for node in taken if node is not body for x in node.parent.children if x.tag in _HEADINGS}
+    out, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if node in taken:
+            out.append(node)
+        else:
+            stack += reversed(node.children)
+    return out
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
@@ -219,31 +289,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     body = parse(page)
-    _measure(body)
-    best, stack = body, [body]
-    while stack:  # the first of equal sums in page order
-        node = stack.pop()
-        if node.sum > best.sum:
-            best = node
-        stack += reversed([c for c in node.children if not c.gone])
-    threshold, up, around = best.density, best, None
-    while up is not None and up is not body.parent:
-        threshold = min(threshold, up.density)
-        if up.tag == "article" or (up.tag == "main" and around is None):
-            around = up
-        up = up.parent
-    chosen = [around] if around else []
-    if not chosen:
-        stack = [best]
-        while stack:
-            node = stack.pop()
-            if node.tag == "article":
-                chosen.append(node)
-            else:
-                stack += reversed([c for c in node.children if not c.gone])
-        chosen = [n for n in chosen if n.density >= threshold and n.chars] or [best]
+    _measured(body)
     out: list[list[str]] = [[]]
-    for node in chosen:
+    for node in _chosen(body):
         _blocks(node, out)
         out.append([])
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in out)

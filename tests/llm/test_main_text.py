@@ -48,6 +48,26 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = "A sentence of the text that is long enough to be read, and then some. " * 3
+HALVES = [f"<div>{''.join(f'<p>{LONG}{k}{i}' for i in range(10))}</div>" for k in "ab"]
+LINES = [[f"{LONG}{k}{i}" for i in range(10)] for k in "ab"]
+
+
+@pytest.mark.parametrize(
+    "page, lines",
+    [
+        (f"<div id=content><h1>Title</h1>{HALVES[0]}{HALVES[1]}</div>", ["Title", *LINES[0], *LINES[1]]),
+        (f"<ul>{LINKS}</ul><div>{HALVES[0]}</div><ul>{LINKS}</ul><div><div>{HALVES[1]}</div></div><p><a href=/>x</a></p>", [*LINES[0], *LINES[1]]),
+        (f"<article>{HALVES[0]}</article><article>{HALVES[1]}</article>", [*LINES[0], *LINES[1]]),
+        (f"<p>Read also</p><article>{HALVES[0]}</article><article>{HALVES[1]}</article>", [*LINES[0], *LINES[1]]),
+        (HALVES[0] + HALVES[1].replace("div>", "article>"), [*LINES[0], *LINES[1]]),
+        (f"<div>{LONG}<span><b>x</b></span></div>", [LONG + "x"]),
+    ],
+)
+def test_text_in_several_containers(page, lines):
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == lines
+
+
 def test_given_pages(spark, sf_mid):
     """The given pages keep their text in one article; a plain reading of it is the same."""
 
