@@ -16,9 +16,11 @@ threshold and hold most of them; where such an element is around the largest
 sum, only those count. Headings are too short for a density, so those
 beside a given node come with it.
 
-Nodes that are no article by their element, role or class names (menus, page
-headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are taken off before.
+Nodes that are no article by their element or role (menus, page headers and
+footers, sidebars, forms, scripts, styles) are taken off before. Class names and
+ids (sidebars, notices, adverts, reader comments) are a weak sign: such a node
+stays if it holds an article or main element, or most of the characters outside
+of links of the element around it, or of a page that has no such element.
 """
 
 from __future__ import annotations
@@ -68,31 +70,32 @@ _NAMES = frozenset(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "gone", "chars", "tags", "link_chars", "link_tags", "density", "sum", "own", "top")
+    __slots__ = ("tag", "parent", "children", "parts", "gone", "weak", "chars", "tags", "link_chars", "link_tags", "density", "sum", "own", "top")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.gone = tag, parent, gone
+    def __init__(self, tag: str, parent: Node | None, sign: str = ""):
+        self.tag, self.parent, self.gone, self.weak = tag, parent, sign == "gone", sign == "weak"
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
 
 
-def _unwanted(tag: str, attributes: str, within_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, within_article: bool) -> str:
+    """Whether a node is "gone", "weak" by its names only, or neither."""
     if tag in _NEVER or (tag == "header" and not within_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        if tag != "article" or not attributes:
-            return False
+        return "gone"
+    if not attributes or tag in ("html", "body", "main"):
+        return ""
+    found = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             names = re.split(r"[^a-z0-9]+", value)
             if not _NAMES.isdisjoint(names) or ("header" in names and not within_article):
-                return True
+                found = "weak"
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "gone"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "gone"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -204,9 +207,32 @@ def _measure(body: Node) -> list[Node]:
     return order
 
 
+def _drop_named(order: list[Node], body: Node) -> bool:
+    """Drops nodes unwanted by their names, unless what they hold speaks against it."""
+    plain = {n for n in order if n.tag in ("article", "main") and not n.weak}
+    holders = set()
+    for node in plain:
+        while node is not None and node not in holders:
+            holders.add(node)
+            node = node.parent
+    dropped = False
+    for node in order:
+        if node.weak and node not in holders:
+            around = node.parent
+            while around is not None and around not in plain:
+                around = around.parent
+            around = around or (None if plain else body)
+            node.gone = around is None or 2 * (node.chars - node.link_chars) < around.chars - around.link_chars or node.chars == node.link_chars
+            dropped |= node.gone
+    return dropped
+
+
 def _measured(body: Node) -> None:
-    """Measures without forms, unless a form is what wraps the page."""
-    forms = [n for n in _measure(body) if n.tag == "form"]
+    """Measures without nodes unwanted by their names, and without forms unless a form is what wraps the page."""
+    order = _measure(body)
+    if _drop_named(order, body):
+        order = _measure(body)
+    forms = [n for n in order if n.tag == "form"]
     for form in forms:
         form.gone = 2 * form.chars < body.chars
     if any(form.gone for form in forms):

@@ -68,6 +68,20 @@ def test_text_in_several_containers(page, lines):
     assert main_text(f"<html><body>{page}</body></html>").split("\n") == lines
 
 
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "class=has-menu", "id='page-nav-wrap'", "class='page-header'"])
+@pytest.mark.parametrize("wrap", ["<div {}><article>{}</article></div>", "<div {}><main>{}</main></div>", "<div {}>{}</div>", "<article><div {}>{}</div></article>", "<article {}>{}</article>"])
+def test_names_of_wrappers_do_not_drop_the_text(name, wrap):
+    around = f"<div class=sidebar><ul>{LINKS}</ul></div>"
+    assert main_text(f"<html><body>{around}{wrap.format(name, BODY)}{around}</body></html>") == TEXT
+
+
+def test_named_parts_of_an_article_go():
+    extra = "<div class=share><p>Tell others of it</p></div><div class='related'><p>Another text of ours</p></div>"
+    assert main_text(f"<div class=has-sidebar><article>{BODY}{extra}</article></div>") == TEXT
+    comments = f"<div id=comments><article class=comment><p>{LONG}</p></article><p>{LONG}</p></div>"
+    assert main_text(f"<article>{BODY}</article>{comments}") == TEXT
+
+
 def test_given_pages(spark, sf_mid):
     """The given pages keep their text in one article; a plain reading of it is the same."""
 
