@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from effectgrid.llm.url_rules import url_sql
+
 #: A-Z to a-z and nothing else.
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -120,10 +122,56 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM f"""
 
 
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+words AS (SELECT n, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT n) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, (SELECT count(*) FROM kept k WHERE k.lang = x.lang) AS v,
+    coalesce((SELECT sum(c.c) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) x
+),
+l AS (SELECT lang, max(v) AS v, sum(n) AS n FROM g GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (g.n + 2 * g.v)::HUGEINT AS p
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+),
+q AS (
+  SELECT l.lang, term, 1 + (1000000000::HUGEINT * (t.c + 2)) // (l.n + 2 * l.v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(c.c) AS c FROM c GROUP BY ALL) t JOIN l USING (lang)
+),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+),
+terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": classes_sql("documents"),
     "op4_warc": RECORDS,
     "op5_decontamination": contamination_sql("documents"),
     "op8_exact_dedup": copies_sql("documents"),
     "op9_mixing": mixing_sql("documents"),
+    "op11_url_filters": url_sql(),
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectgrid.llm import (
-    archives, decontaminate, exact_dedup, language, main_text, mixing, ngram_join, personal_data, quality, toxicity,
+    archives, decontaminate, divergence, exact_dedup, language, main_text, mixing, ngram_join, personal_data, quality, toxicity,
+    url_rules, whitening,
 )
 from effectgrid.llm.tables import read
 
@@ -64,6 +65,18 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(read(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_html_extraction": op2_html_extraction,
@@ -75,4 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality_ranking": op10_quality_ranking,
+    "op11_url_filters": op11_url_filters,
+    "op12_whitening": op12_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
