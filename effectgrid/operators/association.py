@@ -1,28 +1,27 @@
 """Grouped linear models from sufficient statistics.
 
-Responses are unpivoted, predictors stay columns, so that one row feeds the
-models of all predictors. Every model's counts, variances and covariances are
-grouped aggregates, which Spark combines before the shuffle; the aggregated row
-is then set out by predictor. The coefficients follow in closed form.
+Responses and predictors stay columns: the moments of all models of a key come
+from blocked matrix products over its rows (`gram`), read once. The coefficients
+follow in closed form. Only models with a random intercept, whose sums are by
+subject, unpivot their rows, and only of keys in which a subject repeats.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import finite_or_null, nan_to_null, quoted
 from effectgrid.functions.special import normal_two_sided, t_two_sided
-from effectgrid.operators import mixed
+from effectgrid.operators import gram, mixed
 from effectgrid.operators.joins import null_safe_join
+from effectgrid.session import checkpointed
 
 RESPONSE, PREDICTOR = "pathway", "predictor"
-# predictors in one aggregate
-_BLOCK = 4
-# fixed value: a regressor this close to collinear has no coefficient
+# fixed values: a regressor this close to collinear has no coefficient, nor has one whose
+# complete cases have no more than this part of its variance
 _COLLINEAR = 1e-14
+_FLAT = 1e-13
 
 
 def melt(
@@ -45,60 +44,6 @@ def melt(
     return by_response.select(*ids, "z", RESPONSE, "y", stacked(predictors, PREDICTOR, "x"))
 
 
-def _by_response(
-    df: DataFrame, ids: list[str], responses: list[str], predictors: list[str], covariate: str,
-    clean=lambda c: c,
-) -> DataFrame:
-    """One row per (row of df, response): ids, pathway, y, z, and predictor i as __x{i}."""
-    def number(c: str) -> Column:
-        return nan_to_null(quoted(c).cast("double"))
-
-    pairs = [F.struct(F.lit(c).alias(RESPONSE), clean(number(c)).alias("y")) for c in responses]
-    return df.select(
-        *ids,
-        number(covariate).alias("z"),
-        *[clean(number(c)).alias(f"__x{i}") for i, c in enumerate(predictors)],
-        F.inline(F.array(*pairs)),
-    )
-
-
-def _per_model(rows: DataFrame, by: list[str], predictors: list[str], sums) -> DataFrame:
-    """Aggregates of every model: `sums(x)` names them for a predictor column.
-
-    A block of predictors shares a pass; its size bounds the generated code.
-    """
-    blocks = []
-    for start in range(0, len(predictors), _BLOCK):
-        block = range(start, min(start + _BLOCK, len(predictors)))
-        found = {i: sums(F.col(f"__x{i}")) for i in block}
-        table = rows.groupBy(*by).agg(
-            *[c.alias(f"__{name}_{i}") for i, named in found.items() for name, c in named.items()]
-        )
-        models = [
-            F.struct(
-                F.lit(predictors[i]).alias(PREDICTOR),
-                *[F.col(f"__{name}_{i}").alias(name) for name in named],
-            )
-            for i, named in found.items()
-        ]
-        blocks.append(table.select(*by, F.inline(F.array(*models))))
-    return functools.reduce(DataFrame.unionByName, blocks)
-
-
-def _moments(x: Column, z: Column, y: Column, keep: Column, tag: str = "") -> dict[str, Column]:
-    """Count, variances and covariances over the rows in `keep`."""
-    x, z, y = F.when(keep, x), F.when(keep, z), F.when(keep, y)
-    return {
-        f"n{tag}": F.count(x),
-        f"xx{tag}": F.var_samp(x),
-        f"zz{tag}": F.var_samp(z),
-        f"yy{tag}": F.var_samp(y),
-        f"xz{tag}": F.covar_samp(x, z),
-        f"xy{tag}": F.covar_samp(x, y),
-        f"zy{tag}": F.covar_samp(z, y),
-    }
-
-
 def standardise(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """(value - mean) / sd over the non-null rows of the group; null if sd is 0.
 
@@ -122,24 +67,32 @@ def group_sizes(df: DataFrame, keys: list[str], ident: str) -> DataFrame:
     ).withColumn("used_RE", F.col("n_obs") > F.col("n_id"))
 
 
+def _sd(products: Column, n: Column) -> Column:
+    return F.when(n > 1, F.sqrt(products / (n - 1)))
+
+
+def _sample(n: Column, **products: Column) -> dict[str, Column]:
+    """Sample (co)variances of centred products; null below two rows."""
+    return {name: F.when(n > 1, c / (n - 1)) for name, c in products.items()}
+
+
 def _additive(
     df: DataFrame, keys: list[str], responses: list[str], predictors: list[str], covariate: str
 ) -> DataFrame:
     """Per model: sd of x over its non-null rows, then y ~ x + z on complete cases."""
-    def sums(x: Column) -> dict[str, Column]:
-        z, y = F.col("z"), F.col("y")
-        complete = x.isNotNull() & z.isNotNull() & y.isNotNull()
-        return {
-            "sd_x": F.stddev_samp(x),
-            "mean_x": F.avg(x),
-            "sd_z": F.stddev_samp(z),
-            "mean_z": F.avg(z),
-            "mean_y": F.avg(F.when(complete, y)),
-            **_moments(x, z, y, complete),
-        }
-
-    rows = _by_response(df, keys, responses, predictors, covariate)
-    return _per_model(rows, [*keys, RESPONSE], predictors, sums)
+    found = gram.model_moments(df, keys, responses, predictors, covariate, (RESPONSE, PREDICTOR))
+    n = F.col("n")
+    products = {c: F.col(c) for c in ("xx", "zz", "yy", "xz", "xy", "zy")}
+    return found.select(
+        *keys, RESPONSE, PREDICTOR,
+        _sd(F.col("x_xx"), F.col("x_n")).alias("sd_x"),
+        F.when(F.col("x_n") > 0, F.col("x_mean")).alias("mean_x"),
+        _sd(F.col("z_zz"), F.col("z_n")).alias("sd_z"),
+        F.when(F.col("z_n") > 0, F.col("z_mean")).alias("mean_z"),
+        F.when(n > 0, F.col("my")).alias("mean_y"),
+        n.cast("bigint").alias("n"),
+        *[c.alias(name) for name, c in _sample(n, **products).items()],
+    )
 
 
 def _usable(sd: str) -> Column:
@@ -149,16 +102,17 @@ def _usable(sd: str) -> Column:
 
 def associate_ols(
     df: DataFrame, keys: list[str], responses: list[str], predictors: list[str],
-    covariate: str, ident: str, min_n: int = 30,
+    covariate: str, ident: str, min_n: int = 30, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """y ~ scale(x) + scale(z) per (keys, response, predictor); the term of x.
 
     Scaling uses all non-null rows of the group, the fit complete cases; it
     only rescales the coefficient, so the fit runs on the raw columns. Groups
-    below `min_n` rows and predictors without spread give no row.
+    below `min_n` rows and predictors without spread give no row. `sizes` are
+    the keys' `group_sizes`, if they are known.
     """
     model = keys + [RESPONSE, PREDICTOR]
-    sizes = group_sizes(df, keys, ident).filter(F.col("n_obs") >= min_n)
+    sizes = (group_sizes(df, keys, ident) if sizes is None else sizes).filter(F.col("n_obs") >= min_n)
     fits = _additive(df, keys, responses, predictors, covariate).filter(_usable("sd_x"))
     return _with_additive_terms(null_safe_join(fits, sizes, keys)).select(
         *model, "estimate", "std_error", "statistic", "p_value", "n_obs", "n_id", "used_RE"
@@ -168,7 +122,8 @@ def associate_ols(
 def _with_additive_terms(fits: DataFrame) -> DataFrame:
     xx, zz, yy, xz, xy, zy = (F.col(c) for c in ("xx", "zz", "yy", "xz", "xy", "zy"))
     det = xx * zz - xz * xz
-    full_rank = (det > F.lit(_COLLINEAR) * xx * zz) & (F.col("n") > 3)
+    flat = (xx <= _FLAT * F.col("sd_x") ** 2) | (zz <= _FLAT * F.col("sd_z") ** 2)
+    full_rank = (det > F.lit(_COLLINEAR) * xx * zz) & (F.col("n") > 3) & ~flat
     slope, other = (zz * xy - xz * zy), (xx * zy - xz * xy)
     fits = fits.withColumn("__det", F.when(full_rank, det))
     fits = fits.withColumns(
@@ -221,13 +176,17 @@ def associate(
     df: DataFrame, keys: list[str], responses: list[str], predictors: list[str],
     covariate: str, ident: str, min_n: int = 30,
 ) -> DataFrame:
-    """Least squares where each subject has one row, a random intercept where not."""
+    """Least squares where each subject has one row, a random intercept where not.
+
+    Whether a subject repeats is counted first (`df` is read for it): without
+    one, no random intercept is planned.
+    """
     args = (df, keys, responses, predictors, covariate, ident, min_n)
-    return (
-        associate_ols(*args)
-        .filter(~F.col("used_RE"))
-        .unionByName(associate_mixed(*args))
-    )
+    sizes = checkpointed(group_sizes(df, keys, ident))
+    plain = associate_ols(*args, sizes).filter(~F.col("used_RE"))
+    if sizes.filter("used_RE").isEmpty():
+        return plain
+    return plain.unionByName(associate_mixed(*args))
 
 
 def _interaction_moments(
@@ -235,24 +194,35 @@ def _interaction_moments(
     predictors: list[str], covariate: str,
 ) -> DataFrame:
     """Scale of x over all rows with finite x and y, and the moments of each level."""
-    def sums(x: Column) -> dict[str, Column]:
-        z, y = F.col("z"), F.col("y")
-        usable = x.isNotNull() & y.isNotNull() & F.col(group).isin(levels)
-        named = {
-            "mean_x": F.avg(F.when(usable, x)),
-            "sd_x": F.stddev_samp(F.when(usable, x)),
-            "mean_z": F.avg(F.when(usable, z)),
-            "sd_z": F.stddev_samp(F.when(usable, z)),
-            "mean_y": F.avg(F.when(usable, y)),
-        }
-        for i, level in enumerate(levels):
-            here = usable & (F.col(group) == level)
-            named[f"rows{i}"] = F.count_if(here)
-            named |= _moments(x, z, y, here & z.isNotNull(), str(i))
-        return named
-
-    rows = _by_response(df, keys + [group], responses, predictors, covariate, finite_or_null)
-    return _per_model(rows, [*keys, RESPONSE], predictors, sums)
+    found = gram.model_moments(df, [*keys, group], responses, predictors, covariate, (RESPONSE, PREDICTOR), finite_or_null)
+    planes = (*gram.PAIRED, *gram.COMPLETE)
+    own = {f"{c}{i}": F.max(F.when(F.col(group) == level, F.col(c))) for i, level in enumerate(levels) for c in planes}
+    wide = found.groupBy(*keys, RESPONSE, PREDICTOR).agg(*[c.alias(f"__{name}") for name, c in own.items()])
+    wide = wide.na.fill(0.0, [f"__{c}{i}" for i in range(len(levels)) for c in ("pair_n", "n")])
+
+    def pooled(count: str, mean: str, products: str) -> tuple[Column, Column]:
+        """Mean and sd over both levels."""
+        n = [F.col(f"__{count}{i}") for i in (0, 1)]
+        m = [F.coalesce(F.when(k > 0, F.col(f"__{mean}{i}")), F.lit(0.0)) for i, k in enumerate(n)]
+        within = [F.when(k > 0, F.col(f"__{products}{i}")).otherwise(0.0) for i, k in enumerate(n)]
+        total = n[0] + n[1]
+        between = (m[0] - m[1]) ** 2 * F.try_divide(n[0] * n[1], total)
+        return F.try_divide(n[0] * m[0] + n[1] * m[1], total), _sd(within[0] + within[1] + between, total)
+
+    mean_x, sd_x = pooled("pair_n", "pair_mx", "pair_xx")
+    mean_z, sd_z = pooled("n", "mz", "zz")
+    mean_y, _ = pooled("pair_n", "pair_my", "pair_xx")
+    named = {"mean_x": mean_x, "sd_x": sd_x, "mean_z": mean_z, "sd_z": sd_z, "mean_y": mean_y}
+    for i in range(len(levels)):
+        n = F.col(f"__n{i}")
+        named |= {f"rows{i}": F.col(f"__pair_n{i}").cast("bigint"), f"n{i}": n.cast("bigint")}
+        products = {f"{c}{i}": F.col(f"__{c}{i}") for c in ("xx", "zz", "yy", "xz", "xy", "zy")}
+        # what has no spread in a level but rounding has none
+        for c in ("xx", "zz"):
+            sd = sd_x if c == "xx" else sd_z
+            products[f"{c}{i}"] = F.when(products[f"{c}{i}"] <= _FLAT * n * sd**2, 0.0).otherwise(products[f"{c}{i}"])
+        named |= _sample(n, **products)
+    return wide.select(*keys, RESPONSE, PREDICTOR, *[c.alias(name) for name, c in named.items()])
 
 
 def _finite(cases: DataFrame) -> DataFrame:
@@ -367,8 +337,10 @@ def interact(
     """Interaction term per model: random intercept where a subject repeats, else least squares."""
     args = (df, keys, group, levels, responses, predictors, covariate, ident)
     model = keys + [RESPONSE, PREDICTOR]
-    with_re = interact_mixed(*args).withColumn("__re", F.lit(True))
     without = interact_ols(*args)
+    if group_sizes(df, keys, ident).filter("used_RE").isEmpty():
+        return without.select(*model, "estimate", "std_error", "p_value")
+    with_re = interact_mixed(*args).withColumn("__re", F.lit(True))
     chosen = null_safe_join(
         without,
         with_re.withColumnsRenamed({c: f"__{c}" for c in ("estimate", "std_error", "p_value")}),
