@@ -6,6 +6,10 @@ likelihood of a model needs the sum of the first over all subjects and, for each
 distinct n, the sum of s s'. Nothing is subtracted at this point: the products
 within come from centred moments. A model with N rows has at most sqrt(2 N)
 distinct sizes: that short list is all that reaches the optimiser.
+
+The models of an Arrow batch are searched together, as arrays: on a grid of ln
+theta first, then by bisection on the sign of the likelihood's slope, which finds
+the maximum to full precision where the likelihood itself is flat.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import types as T
 _SIZE_SUMS = "__sizes"
 #: ln theta is searched from -12 - ln(largest subject) up to here; a likelihood that still grows has no maximum.
 _LARGEST = 60.0
+#: Numbers that the models searched together hold.
+_HELD = 1 << 22
 
 
 def random_intercept(
@@ -65,10 +71,8 @@ def random_intercept(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fits = [fit_sizes(sizes, width, position) for sizes in batch[_SIZE_SUMS]]
             out = batch[keys].copy()
-            out["estimate"] = [f[0] for f in fits]
-            out["std_error"] = [f[1] for f in fits]
+            out["estimate"], out["std_error"] = fit_models(list(batch[_SIZE_SUMS]), width, position)
             out["statistic"] = out["estimate"] / out["std_error"]
             yield out
 
@@ -79,75 +83,129 @@ def random_intercept(
 
 
 def fit_sizes(sizes, width: int, position: int) -> tuple[float, float]:
-    """Maximise the profile likelihood over theta; one coefficient and its error."""
-    upper = np.triu_indices(width)
-    n = np.array([s["__n"] for s in sizes], dtype=float)
-    m = np.array([s["__m"] for s in sizes], dtype=float)
-    order = np.argsort(n)
-    n, m = n[order], m[order]
-
-    def square(field: str) -> np.ndarray:
-        full = np.zeros((len(sizes), width, width))
-        flat = np.array([s[field] for s in sizes], dtype=float)[order]
-        full[:, upper[0], upper[1]] = flat
-        full[:, upper[1], upper[0]] = flat
-        return full
-
-    between = square("__ss")
-    inside = square("__cc").sum(axis=0)
-    total = float((n * m).sum())
-    if total <= width:
-        return np.nan, np.nan
-
-    def weighted(theta: float) -> np.ndarray:
-        return inside + np.tensordot(1 / (n * (1 + n * theta)), between, axes=1)
-
-    def root(theta: float) -> np.ndarray | None:
-        """Cholesky factor with the columns scaled to one; its last entry holds the residual."""
-        a = weighted(theta)
-        scale = np.sqrt(np.diag(a))
-        if not (scale > 0).all():
-            return None
-        try:
-            return np.linalg.cholesky(a / np.outer(scale, scale)) * scale[:, None]
-        except np.linalg.LinAlgError:
-            return None
-
-    def deviance(theta: float) -> float:
-        factor = root(theta)
-        if factor is None:
-            return np.inf
-        return float((m * np.log1p(n * theta)).sum() + 2 * total * np.log(factor[-1, -1] / np.sqrt(total)))
-
-    fixed = weighted(0.0)[:-1, :-1]
-    scale = np.sqrt(np.diag(fixed))
-    if (scale == 0).any() or np.linalg.cond(fixed / np.outer(scale, scale)) > 1e13:
-        return np.nan, np.nan
-
-    step = 0.25
-    logs = list(np.arange(-12 - np.log(n.max()), 12 + step, step))
-    values = [deviance(np.exp(g)) for g in logs]
-    while int(np.argmin(values)) == len(logs) - 1 and logs[-1] < _LARGEST:
-        logs.append(logs[-1] + step)
-        values.append(deviance(np.exp(logs[-1])))
-    best = int(np.argmin(values))
-    if best == len(logs) - 1 or not np.isfinite(values[best]):
-        return np.nan, np.nan  # the likelihood grows without bound
-    low, high = logs[max(best - 1, 0)], logs[best + 1]
-    golden = (np.sqrt(5) - 1) / 2
-    for _ in range(60):
-        left, right = high - golden * (high - low), low + golden * (high - low)
-        if deviance(np.exp(left)) <= deviance(np.exp(right)):
-            high = right
-        else:
-            low = left
-    theta = np.exp((low + high) / 2)
-    if deviance(0.0) <= deviance(theta):
-        theta = 0.0
-    factor = root(theta)
-    if factor is None:
-        return np.nan, np.nan
-    lower = np.linalg.inv(factor[:-1, :-1])
-    beta = lower.T @ factor[-1, :-1]
-    variance = (lower.T @ lower)[position, position] * factor[-1, -1] ** 2 / total
-    return float(beta[position]), float(np.sqrt(variance))
+    """One model of `fit_models`."""
+    estimate, error = fit_models([sizes], width, position)
+    return float(estimate[0]), float(error[0])
+
+
+def fit_models(models: list, width: int, position: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each model one coefficient and its error at the maximum of the likelihood; NaN without one."""
+    estimate, error = np.full(len(models), np.nan), np.full(len(models), np.nan)
+    order = sorted(range(len(models)), key=lambda i: len(models[i]))
+    at = 0
+    while at < len(order):  # models of like length together, so that little is padded
+        longest, end = len(models[order[at]]), at + 1
+        while end < len(order) and (end - at + 1) * len(models[order[end]]) * width**2 <= _HELD and len(models[order[end]]) <= 2 * longest + 8:
+            end += 1
+        own = order[at:end]
+        estimate[own], error[own] = _Batch([models[i] for i in own], width).solved(position)
+        at = end
+    return estimate, error
+
+
+class _Batch:
+    """Models side by side: sizes n and their numbers m by model, padded with m = 0."""
+
+    def __init__(self, models: list, width: int):
+        longest = max(map(len, models))
+        shape = (len(models), longest)
+        self.width, self.n, self.m = width, np.ones(shape), np.zeros(shape)
+        self.between, self.inside = np.zeros((*shape, width, width)), np.zeros((len(models), width, width))
+        upper = np.triu_indices(width)
+        for b, sizes in enumerate(models):
+            k = len(sizes)
+            self.n[b, :k] = [s["__n"] for s in sizes]
+            self.m[b, :k] = [s["__m"] for s in sizes]
+            flat = np.array([s["__ss"] for s in sizes], float), np.array([s["__cc"] for s in sizes], float).sum(axis=0)
+            for full, values in ((self.between[b, :k], flat[0]), (self.inside[b], flat[1])):
+                full[..., upper[0], upper[1]] = values
+                full[..., upper[1], upper[0]] = values
+        self.total = (self.n * self.m).sum(axis=1)
+        self.largest = np.where(self.m > 0, self.n, 0).max(axis=1)
+
+    def weighted(self, theta: np.ndarray) -> np.ndarray:
+        weight = np.where(self.m > 0, 1 / (self.n * (1 + self.n * theta[:, None])), 0.0)
+        return self.inside + np.einsum("bk,bkij->bij", weight, self.between)
+
+    def eliminated(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper triangles left by elimination, and whether all pivots are positive."""
+        a = self.weighted(theta)
+        fine = np.ones(len(a), bool)
+        for k in range(self.width):
+            pivot = a[:, k, k]
+            fine &= pivot > 0
+            if k < self.width - 1:
+                row = a[:, k, k + 1 :] / np.where(pivot > 0, pivot, 1.0)[:, None]
+                a[:, k + 1 :, k + 1 :] -= row[:, :, None] * a[:, k, None, k + 1 :]
+        return a, fine
+
+    def coefficients(self, a: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Back substitution in the regressors' triangle."""
+        p = self.width - 1
+        out = np.zeros((len(a), p))
+        for k in range(p - 1, -1, -1):
+            out[:, k] = (right[:, k] - (a[:, k, k + 1 : p] * out[:, k + 1 :]).sum(axis=1)) / np.where(a[:, k, k] > 0, a[:, k, k], 1.0)
+        return out
+
+    def deviance(self, theta: np.ndarray) -> np.ndarray:
+        a, fine = self.eliminated(theta)
+        rest = np.where(fine, a[:, -1, -1], 1.0)
+        value = (self.m * np.log1p(self.n * theta[:, None])).sum(axis=1) + self.total * np.log(rest / self.total)
+        return np.where(fine, value, np.inf)
+
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        """Of the deviance by theta; the residual's own slope needs no slope of the coefficients."""
+        a, fine = self.eliminated(theta)
+        w = np.concatenate([-self.coefficients(a, a[:, :, -1]), np.ones((len(a), 1))], axis=1)
+        spread = 1 + self.n * theta[:, None]
+        moved = np.einsum("bi,bkij,bj->bk", w, self.between, w)
+        fall = (np.where(self.m > 0, 1 / spread**2, 0.0) * moved).sum(axis=1)
+        rest = np.where(fine, a[:, -1, -1], np.nan)
+        return (self.m * self.n / spread).sum(axis=1) - self.total * fall / rest
+
+    def solved(self, position: int) -> tuple[np.ndarray, np.ndarray]:
+        fixed = self.weighted(np.zeros(len(self.total)))[:, :-1, :-1]
+        scale = np.sqrt(np.diagonal(fixed, axis1=1, axis2=2))
+        able = (self.total > self.width) & (scale > 0).all(axis=1)
+        safe = np.where(able[:, None], scale, 1.0)
+        with np.errstate(all="ignore"):
+            condition = np.linalg.cond(np.where(able[:, None, None], fixed / (safe[:, :, None] * safe[:, None, :]), np.eye(self.width - 1)))
+        able &= condition <= 1e13
+
+        step = 0.25
+        low = -12 - np.log(np.maximum(self.largest, 1))
+        best, value, last, k = low.copy(), np.full(len(low), np.inf), low.copy(), 0
+        while True:
+            g = low + step * k
+            # beyond e^12 only models whose likelihood still grows go on
+            more = (g < 12 + step) | ((best == last) & (g <= _LARGEST + step) & able)
+            if not more.any():
+                break
+            found = np.where(more, self.deviance(np.exp(np.minimum(g, _LARGEST + 1))), np.inf)
+            better = found < value
+            best, value = np.where(better, g, best), np.where(better, found, value)
+            last = np.where(more, g, last)
+            k += 1
+        able &= np.isfinite(value) & (best < last)  # else it grows without bound
+        left, right = np.maximum(best - step, low), best + step
+        for _ in range(60):
+            middle = (left + right) / 2
+            falls = self.slope(np.exp(middle)) < 0
+            left, right = np.where(falls, middle, left), np.where(falls, right, middle)
+        theta = np.exp((left + right) / 2)
+        zero = np.zeros(len(theta))
+        theta = np.where(self.deviance(zero) <= self.deviance(theta), 0.0, theta)
+        a, fine = self.eliminated(theta)
+        able &= fine
+        beta = self.coefficients(a, a[:, :, -1])[:, position]
+        # the term's own entry of the inverse
+        p = self.width - 1
+        unit = np.zeros((len(a), p))
+        unit[:, position] = 1.0
+        forward = unit.copy()
+        for k in range(p):
+            forward[:, k + 1 :] -= forward[:, k, None] * a[:, k, k + 1 : p] / np.where(a[:, k, k] > 0, a[:, k, k], 1.0)[:, None]
+        spread = self.coefficients(a, forward)[:, position]
+        with np.errstate(invalid="ignore"):
+            error = np.sqrt(spread * a[:, -1, -1] / np.maximum(self.total, 1))
+        return np.where(able, beta, np.nan), np.where(able, error, np.nan)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from effectgrid.sources.views import SCORE_COLUMNS
+from effectgrid.plans.oracle_mixed import normal_tail, random_intercept_sql
 from effectgrid.study import TABLES_STUDY as S
 
 
@@ -652,3 +653,45 @@ ORACLES["bulk_pheno_revised"] = _revised(ORACLES["bulk_pheno"])
 ORACLES["donor_pheno_first_revised"] = f"""WITH {_revised(OBS)}
 SELECT projid, {', '.join(f'round({c}, 6) AS {c}' for c in PHENOS)} FROM obs_v
 QUALIFY row_number() OVER (PARTITION BY projid ORDER BY row_order) = 1"""
+
+SITED = f"""{BULK},
+sited AS (SELECT b.*, c_nationkey AS site FROM bulk b LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = projid)"""
+
+# every panel of min_n rows has a site twice: there are fewer nations than that
+ORACLES["assoc_mixed"] = f"""WITH {SITED},
+panels AS (
+  SELECT cell_major, sex, count(*) AS n_obs, count(DISTINCT site) AS n_id FROM sited
+  WHERE cell_major IN ({LEVELS}) GROUP BY ALL HAVING count(*) >= {S.min_n}
+),
+long AS (
+  SELECT b.cell_major, b.sex, b.site, r.pathway, p.predictor, r.y, p.x, b.pct_counts_mt AS z
+  FROM sited b JOIN panels USING (cell_major, sex), LATERAL (VALUES {_pairs(SCORE_COLUMNS)}) r(pathway, y),
+       LATERAL (VALUES {_pairs(PHENOS)}) p(predictor, x)
+),
+centred AS (
+  SELECT *, (x - avg(x) OVER g) / stddev_samp(x) OVER g AS xs, (z - avg(z) OVER g) / stddev_samp(z) OVER g AS zs,
+         y - avg(y) OVER g AS ys
+  FROM long WINDOW g AS (PARTITION BY cell_major, sex, pathway, predictor)
+),
+cases AS (SELECT * FROM centred WHERE xs IS NOT NULL AND zs IS NOT NULL AND ys IS NOT NULL),
+{random_intercept_sql("cases", ["cell_major", "sex", "pathway", "predictor"], "site", ["1.0", "zs", "xs"], "ys", "fitted")}
+SELECT cell_major, sex, pathway, predictor, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
+       round(estimate / std_error, 4) AS statistic, CAST(NULL AS DOUBLE) AS p_value, n_obs, n_id, n_obs > n_id AS "used_RE"
+FROM fitted JOIN panels USING (cell_major, sex)"""
+
+ORACLES["interaction_mixed"] = f"""WITH {SITED},
+long AS (
+  SELECT b.cell_major, b.sex, b.site, r.pathway, p.predictor, r.y, p.x, b.pct_counts_mt AS z
+  FROM sited b, LATERAL (VALUES {_pairs(SCORE_COLUMNS)}) r(pathway, y), LATERAL (VALUES {_pairs(PHENOS)}) p(predictor, x)
+  WHERE {FOCUS} AND r.y IS NOT NULL AND p.x IS NOT NULL
+),
+centred AS (
+  SELECT *, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS m, (x - avg(x) OVER g) / stddev_samp(x) OVER g AS xs,
+         (z - avg(z) OVER g) / stddev_samp(z) OVER g AS zs, y - avg(y) OVER g AS ys
+  FROM long WINDOW g AS (PARTITION BY cell_major, pathway, predictor)
+),
+cases AS (SELECT * FROM centred WHERE xs IS NOT NULL AND zs IS NOT NULL),
+{random_intercept_sql("cases", ["cell_major", "pathway", "predictor"], "site", ["1.0", "zs", "m", "xs", "m * xs"], "ys", "fitted")}
+SELECT cell_major, pathway, predictor, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
+       round({normal_tail("estimate / std_error")}, 6) AS p_value
+FROM fitted"""
