@@ -30,10 +30,6 @@ def ln_gamma_sql(x: str) -> str:
     )
 
 
-def ln_factorial_sql(n: str) -> str:
-    return ln_gamma_sql(f"double({n}) + 1D")
-
-
 def ln_gamma(x: str) -> Column:
     return F.expr(ln_gamma_sql(x))
 

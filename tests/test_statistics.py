@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -335,3 +337,59 @@ def test_adjustment_routes_agree_on_many_distinct_values(spark):
     # a bucket of the spread route holds a small part of the distinct values
     largest = df.groupBy("g", value_bucket(F.col("p"), fdr.BUCKETS).alias("b")).agg(F.countDistinct("p").alias("n"))
     assert largest.agg(F.max("n")).first()[0] <= 8
+
+
+def _exact_two_sided(a, b, c, d):
+    row1, row2, col1 = a + b, c + d, a + c
+    low, high = max(0, col1 - row2), min(col1, row1)
+    weights = [math.comb(row1, k) * math.comb(row2, col1 - k) for k in range(low, high + 1)]
+    seen = weights[a - low]
+    return float(Fraction(sum(w for w in weights if w * 10**7 <= seen * (10**7 + 1)), sum(weights)))
+
+
+def test_fisher_against_whole_numbers():
+    rng = random.Random(1)
+    tables = [[rng.randint(0, m) for _ in range(4)] for m in (2, 10, 300) for _ in range(150)]
+    tables += [[900, 1, 2, 800], [0, 900, 800, 0], [5, 1000, 1000, 5], [0, 0, 0, 0], [7, 0, 0, 0], [500, 500, 500, 500]]
+    got = fisher.two_sided(*np.array(tables, float).T)
+    np.testing.assert_allclose(got, [_exact_two_sided(*t) for t in tables], rtol=1e-11)
+
+
+def test_fisher_with_margins_of_a_thousand_million():
+    tables = np.array([[5e8] * 4, [5e8 + 20000, 5e8 - 20000, 5e8, 5e8], [500400000, 499600000, 499600000, 500400000], [1e9, 0, 0, 1e9]])
+    same, some, far, beyond = fisher.two_sided(*tables.T)
+    assert same == 1.0 and beyond == 0.0
+    # the normal tail with continuity correction, as margins are large
+    sd = math.sqrt(1e9 * 1e9 * (1e9 + 20000) * (1e9 - 20000) / (2e9**2 * (2e9 - 1)))
+    assert some == pytest.approx(math.erfc((10000 - 0.5) / sd / math.sqrt(2)), rel=1e-4)
+    assert 1e-300 < far < 1e-270
+
+
+def test_fisher_keeps_rows(spark):
+    rows = [("a", 3, 7, 9, 2), ("a", 3, 7, 9, 2), ("b", None, 1, 1, 1), (None, 0, 0, 3, 4)]
+    df = spark.createDataFrame(rows, "k string, a int, b int, c int, d int")
+    got = sorted((str(r["k"]), None if r["p"] is None else round(r["p"], 12)) for r in fisher.fisher_2x2(df, "a", "b", "c", "d").collect())
+    assert got == [("None", 1.0), ("a", 0.029973122852), ("a", 0.029973122852), ("b", None)]
+    plan = fisher.fisher_2x2(df, "a", "b", "c", "d")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_models_searched_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def model(subjects, width=3):
+        sizes = []
+        for n in range(1, 1 + rng.integers(1, 6)):
+            held = rng.normal(size=(subjects, n, width)) + rng.normal(size=(subjects, 1, width))
+            s = held.sum(axis=1)
+            inside = held - held.mean(axis=1, keepdims=True)
+            at = np.triu_indices(width)
+            sizes.append({"__n": n, "__m": subjects, "__ss": (s.T @ s)[at], "__cc": np.einsum("bni,bnj->ij", inside, inside)[at]})
+        return sizes
+
+    models = [model(int(rng.integers(2, 9))) for _ in range(40)]
+    together = np.array(mixed.fit_models(models, 3, 1))
+    alone = np.array([mixed.fit_sizes(m, 3, 1) for m in models]).T
+    np.testing.assert_allclose(together, alone, rtol=1e-9)
+    monkeypatch.setattr(mixed, "_HELD", 200)
+    np.testing.assert_allclose(np.array(mixed.fit_models(models, 3, 1)), alone, rtol=1e-9)
