@@ -83,25 +83,30 @@ def keep_gene_set(effects: DataFrame, annot: DataFrame, terms: list[str], prefix
 def descendants(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(root, term) for every root and each term below it, the root included.
 
-    One distributed join per level of the hierarchy. Terms met before are
-    dropped, so shared sub-trees and cycles cost nothing. Each level is
-    checkpointed, which keeps the plan short and survives lost executors; the
-    result is the union of the levels.
+    By doubling: `jumps` holds the ends of all walks of 2^k steps, `found` what
+    walks of fewer steps reach. Found terms and where the jumps take them are what
+    twice as many steps reach, so a hierarchy of n levels takes about log2(n)
+    rounds of two joins. A round without a new term ends it: a term further away
+    has one on its shortest path in reach of that round, cycles or not. Both tables
+    are checkpointed each round, which keeps the plan short and survives lost
+    executors.
     """
-    tree = edges.select(F.col(child).alias("__child"), F.col(parent).alias("__parent")).distinct()
-    frontier = checkpointed(
-        roots.select(F.col("term").alias("root"), F.col("term").alias("term")).distinct()
+    jumps = checkpointed(
+        edges.select(F.col(parent).alias("__from"), F.col(child).alias("__to")).dropna().distinct()
     )
-    found = frontier
-    while not frontier.isEmpty():
-        below = (
-            tree.join(frontier, tree["__parent"] == frontier["term"])
-            .select("root", F.col("__child").alias("term"))
-            .distinct()
+    found = checkpointed(roots.select(F.col("term").alias("root"), F.col("term").alias("term")).distinct())
+    while True:
+        reached = (
+            found.join(jumps, found["term"] == jumps["__from"]).select("root", F.col("__to").alias("term")).distinct()
+        )
+        fresh = checkpointed(reached.join(found, ["root", "term"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = checkpointed(found.union(fresh))
+        further = jumps.select(F.col("__from").alias("__via"), F.col("__to").alias("__end"))
+        jumps = checkpointed(
+            jumps.join(further, F.col("__to") == F.col("__via")).select("__from", F.col("__end").alias("__to")).distinct()
         )
-        frontier = checkpointed(below.join(found, ["root", "term"], "left_anti"))
-        found = found.union(frontier)
-    return found
 
 
 def members_with_descendants(

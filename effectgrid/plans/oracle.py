@@ -695,3 +695,9 @@ cases AS (SELECT * FROM centred WHERE xs IS NOT NULL AND zs IS NOT NULL),
 SELECT cell_major, pathway, predictor, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
        round({normal_tail("estimate / std_error")}, 6) AS p_value
 FROM fitted"""
+
+# the file has the orders by their key
+ORACLES["donor_first_in_file"] = """
+SELECT CAST(o_custkey AS VARCHAR) AS projid, min(o_orderkey) AS o_orderkey, round(arg_min(o_totalprice, o_orderkey), 2) AS o_totalprice,
+       arg_min(o_orderpriority, o_orderkey) AS o_orderpriority
+FROM orders GROUP BY o_custkey"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from effectgrid.operators import (
-    association, checks, counts, drivers, fdr, filters, genesets, matrix,
+    association, checks, counts, drivers, fdr, filters, genesets, matrix, pseudobulk,
 )
 from effectgrid.plans import effects as fx
 from effectgrid.plans import links
@@ -199,6 +199,14 @@ def donor_pheno(obs: DataFrame) -> DataFrame:
     return rounded(sc.donor_pheno(obs, STUDY), **{c: 6 for c in present})
 
 
+def donor_first_in_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Each donor's first order as the file has them: price, priority and date of that row."""
+    rows = tables.read_in_order(spark, f"{sf}/orders.parquet").withColumn("projid", F.col("o_custkey").cast("string"))
+    chosen = ["o_orderkey", "o_totalprice", "o_orderpriority"]
+    first = pseudobulk.donor_first_rows(rows, "projid", chosen, "file_order")
+    return rounded(first, o_totalprice=2)
+
+
 def donor_pheno_first(obs: DataFrame) -> DataFrame:
     """First row per donor in the order of order key and line."""
     present, _ = sc.phenotype_columns(obs, STUDY)
@@ -384,6 +392,7 @@ QUERIES: dict[str, Query] = {
     "pseudobulk": _on_obs(pseudobulk),
     "donor_pheno": _on_obs(donor_pheno),
     "donor_pheno_first": _on_obs(donor_pheno_first),
+    "donor_first_in_file": donor_first_in_file,
     "donor_check": _on_obs(donor_check),
     "donor_check_revised": _on_revised(donor_check),
     "donor_pheno_first_revised": _on_revised(donor_pheno_first),

@@ -67,6 +67,17 @@ def read_wide_csv(
     return nan_columns_to_null(df)
 
 
+def read_in_order(spark: SparkSession, path: str, order: str = "file_order") -> DataFrame:
+    """Parquet rows with their place: the file, then the row's number in it.
+
+    The place is stored data, so it is the same however the scan is split; the
+    first row in file order is the least place of a group, found by an aggregate.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = spark.read.parquet(path)
+    return rows.select(*[quoted(c) for c in rows.columns if c != order], place.alias(order))
+
+
 def first_available(
     spark: SparkSession,
     table: str | None = None,

@@ -214,3 +214,28 @@ def test_missing_p_uses_normal_tail(spark):
         "cell_major string, sex string, pathway string, predictor string, estimate double, std_error double, statistic double, p_value double")
     got = {r.pathway: r for r in sc.adjusted(fits, 2).collect()}
     assert close(got["A"].p, math.erfc(2 / math.sqrt(2)), 1e-10) and got["B"].p == 0.4 and close(got["A"].FDR, 2 * got["A"].p)
+
+
+def test_closure_of_a_thousand_levels_takes_a_dozen_rounds(spark, monkeypatch):
+    chain = [(f"t{i + 1}", f"t{i}") for i in range(1000)] + [("t0", "t1000"), ("t5", "t5"), (None, "t3"), ("t7", None)]
+    edges = spark.createDataFrame(chain, "child string, parent string")
+    roots = spark.createDataFrame([("t0",), ("alone",)], "term string")
+    calls = []
+    own = genesets.checkpointed
+    monkeypatch.setattr(genesets, "checkpointed", lambda df: calls.append(1) or own(df))
+    got = {(r.root, r.term) for r in genesets.descendants(edges, roots).collect()}
+    assert got == {("t0", f"t{i}") for i in range(1001)} | {("alone", "alone")}
+    assert (len(calls) - 2 + 2) // 3 <= 12  # up to three tables a round
+
+
+def test_file_order_is_the_stored_order(spark, tmp_path):
+    folder = str(tmp_path / "rows")
+    rows = [("a", 3.0), ("b", 1.0), ("a", 1.0), ("a", 2.0), ("b", 0.0)]
+    spark.createDataFrame(rows, "projid string, x double").coalesce(1).write.parquet(folder)
+    spark.createDataFrame([("a", 9.0), ("c", 5.0)], "projid string, x double").coalesce(1).write.parquet(folder + "2")
+    for parts in (1, 7):
+        table = tables.read_in_order(spark, folder).repartition(parts)
+        assert sorted(map(tuple, pseudobulk.donor_first_rows(table, "projid", ["x"], "file_order").collect())) == [("a", 3.0), ("b", 1.0)]
+    both = tables.read_in_order(spark, folder + "2").unionByName(tables.read_in_order(spark, folder))
+    got = {r.projid: r.x for r in pseudobulk.donor_first_rows(both, "projid", ["x"], "file_order").collect()}
+    assert got == {"a": 3.0, "b": 1.0, "c": 5.0}  # "rows/" sorts before "rows2/"
