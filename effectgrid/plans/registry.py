@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from effectgrid.operators import (
-    association, checks, counts, drivers, fdr, filters, genesets, matrix, pseudobulk,
+    association, checks, counts, drivers, fdr, filters, genesets, matrix,
 )
+from effectgrid.operators.pseudobulk import donor_first_rows
 from effectgrid.plans import effects as fx
 from effectgrid.plans import links
 from effectgrid.plans import scores as sc
@@ -203,7 +204,7 @@ def donor_first_in_file(spark: SparkSession, sf: str) -> DataFrame:
     """Each donor's first order as the file has them: price, priority and date of that row."""
     rows = tables.read_in_order(spark, f"{sf}/orders.parquet").withColumn("projid", F.col("o_custkey").cast("string"))
     chosen = ["o_orderkey", "o_totalprice", "o_orderpriority"]
-    first = pseudobulk.donor_first_rows(rows, "projid", chosen, "file_order")
+    first = donor_first_rows(rows, "projid", chosen, "file_order")
     return rounded(first, o_totalprice=2)
 
 

@@ -239,3 +239,33 @@ def test_file_order_is_the_stored_order(spark, tmp_path):
     both = tables.read_in_order(spark, folder + "2").unionByName(tables.read_in_order(spark, folder))
     got = {r.projid: r.x for r in pseudobulk.donor_first_rows(both, "projid", ["x"], "file_order").collect()}
     assert got == {"a": 3.0, "b": 1.0, "c": 5.0}  # "rows/" sorts before "rows2/"
+
+
+def test_distances_by_tiles_and_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(23, 40)) * 10.0 ** rng.integers(-3, 4, size=(23, 1)) + 1e4
+    values[rng.random(values.shape) < 0.4] = np.nan
+    values[3] = 7.1  # constant
+    values[4, :] = np.nan
+    values[4, 2] = 1.0
+    values[5, :20], values[6, 20:] = np.nan, np.nan  # nothing shared
+    cells = [(f"i{i}", f"d{d}", float(v)) for i, row in enumerate(values) for d, v in enumerate(row) if not np.isnan(v)]
+    expected = {}
+    for i in range(23):
+        for j in range(23):
+            if f"i{i}" < f"i{j}":
+                both = ~np.isnan(values[i]) & ~np.isnan(values[j])
+                x, y = values[i][both], values[j][both]
+                fine = both.sum() > 1 and np.ptp(x) > 0 and np.ptp(y) > 0
+                expected[f"i{i}", f"i{j}"] = 1 - np.clip(np.corrcoef(x, y)[0, 1], -1, 1) if fine else 1.0
+    df = spark.createDataFrame([*cells, ("i1", None, 1.0), (None, "d1", 1.0), ("i2", "d3", None)], "i string, d string, v double")
+    df = df.dropDuplicates()
+    for tile, block in ((256, 1024), (5, 1024), (4, 7)):
+        monkeypatch.setattr(matrix, "TILE_ITEMS", tile)
+        monkeypatch.setattr(matrix, "BLOCK_DIMS", block)
+        got = {(r.a, r.b): r.dist for r in matrix.pairwise_distance(df, "i", "d", "v").collect()}
+        assert got.keys() == expected.keys()
+        assert all(abs(got[k] - expected[k]) < 1e-8 for k in got)
+    assert matrix.pairwise_distance(df.limit(0), "i", "d", "v").collect() == []
