@@ -2,10 +2,17 @@
 
 A word is read twice: as an embedding of its hash, and byte by byte by a
 bidirectional GRU whose states are pooled by attention. Both make its input to
-a second bidirectional GRU over a window of words, pooled by attention into one
-logit. A text is scored on all its overlapping windows, one from each word on
-that has a whole window ahead; its largest window counts, shifted so that the cut with the best F1 on all labelled documents
-outside the fold is 0.7.
+a second bidirectional GRU over the words, whose states in a window of words are
+pooled by attention into one logit. A text is scored on all its overlapping
+windows, one from each word on that has a whole window ahead; its largest window
+counts, shifted so that the cut with the best F1 on all labelled documents outside
+the fold is 0.7.
+
+States are carried along the text, in stretches of STRETCH words that begin a
+window of words early in either direction, so each word is read about once and a
+state has at least a window of context. A window's attention-weighted mean is the
+quotient of two sliding sums, of exp(attention) and of exp(attention) x output. The
+network is trained in that form: a window with a window of words around it.
 
 The network is trained in numpy, in one task, on a bounded sample of labelled
 rows. Only documents are labelled, so a toxic document is trained on the window
@@ -28,7 +35,8 @@ from effectgrid.llm.cuts import best_f1_cut, labelled_scores
 from effectgrid.llm.tables import stored
 from effectgrid.llm.words import ALNUM_CUT, U64, Words, pieces
 
-WINDOW, STRIDE = 32, 1
+#: Words of a window, a power of two, and of a stretch.
+WINDOW, STRETCH = 32, 256
 #: Bytes of one word input; longer words are several inputs.
 WORD_BYTES = 16
 BUCKETS = 4096
@@ -72,23 +80,25 @@ class Inputs:
         self.length = length
         self.bytes = np.where(np.arange(WORD_BYTES) < length[:, None], w.low[np.minimum(grid, max(0, len(w.low) - 1))] if len(w.low) else 0, 0).astype(np.uint8)
         self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        # windows: every STRIDE words, the last one ends with the text; one empty window for a text without words
+        # windows: from every word with a whole window ahead; one of all words for a text with fewer
         count = np.diff(first)
-        self.count = count
-        n = np.maximum(1, 1 + np.ceil((count - WINDOW) / STRIDE).astype(np.int64))
+        self.count, self.text = count, first[:-1]
+        n = np.maximum(1, 1 + count - WINDOW)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        last = np.maximum(0, np.repeat(count, n) - WINDOW)
-        self.begin = np.repeat(first[:-1], n) + np.minimum(step * STRIDE, last)
+        self.begin = np.repeat(first[:-1], n) + step
         self.size = np.minimum(WINDOW, np.repeat(count, n))
         self.first = np.r_[0, np.cumsum(n)]
-
-    def words(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(time, window) word numbers and whether there is a word."""
-        t = np.arange(WINDOW)[:, None]
-        mask = t < self.size[windows]
+        self.of = np.repeat(np.arange(len(n)), n)
+
+    def words(self, windows: np.ndarray, around: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(time, window) word numbers, with words of the text before and after, and whether there is a word."""
+        t = np.arange(-around, WINDOW + around)[:, None]
+        at = self.begin[windows] + t
+        text = self.of[windows]
+        mask = (at >= self.text[text]) & (at < self.text[text] + self.count[text])
         if not len(self.word):
             return np.zeros(mask.shape, np.int64), mask
-        return self.word[np.minimum(self.begin[windows] + t, len(self.word) - 1)] * mask, mask
+        return self.word[np.clip(at, 0, len(self.word) - 1)] * mask, mask
 
 
 # ---- network --------------------------------------------------------------
@@ -186,49 +196,43 @@ def projections(p: dict, inputs: Inputs, rows: np.ndarray | None = None, most: i
     return out
 
 
-def short_logits(p: dict, inputs: Inputs, table: np.ndarray, windows: np.ndarray, most: int = 4096) -> np.ndarray:
-    """Logits of windows that may be short of words."""
-    out = np.zeros(len(windows), np.float32)
-    for i in range(0, len(windows), most):
-        at = windows[i : i + most]
-        word, mask = inputs.words(at)
-        x = table[word] if len(table) else np.zeros((*word.shape, 6 * HIDDEN), np.float32)
-        ways = [gru(x[:, :, k * 3 * HIDDEN : (k + 1) * 3 * HIDDEN], mask, p[f"Uw{way}"], way == "b") for k, way in enumerate("fb")]
-        pooled, _ = pool(np.concatenate(ways, axis=2), mask, p["vw"])
-        out[i : i + most] = pooled @ p["out"] + p["bias"][0]
-    return out
-
-
-def whole_logits(p: dict, table: np.ndarray, word: np.ndarray, most: int = 1024) -> np.ndarray:
-    """Logits of the window of WINDOW words from every place of a row of word numbers.
-
-    Of a state only its products with the attention and the output weights are
-    kept: the pooled output is the weighted mean of the latter.
-    """
-    h, n = HIDDEN, len(word) - WINDOW + 1
-    out = np.empty(n, np.float32)
+def word_products(p: dict, table: np.ndarray, inputs: Inputs, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the texts the products of its state with the attention and the output weights."""
+    h = HIDDEN
+    attention, output = np.zeros(len(inputs.word)), np.zeros(len(inputs.word))
     turned = np.repeat([-1.0, -2.0], [2 * h, h]).astype(np.float32)[:, None]  # gates from exp(-x), tanh from exp(-2x)
-    ways = []
-    for k, way in enumerate("fb"):
-        own = slice(k * h, (k + 1) * h)
-        ways.append((slice(k * 3 * h, (k + 1) * 3 * h), np.concatenate([p[f"Uw{way}"].T * turned, p["vw"][None, own], p["out"][None, own]]).astype(np.float32)))
-    table = table * np.tile(turned[:, 0], 2)
-    for lo in range(0, n, most):
-        m = min(most, n - lo)
-        x = np.ascontiguousarray(table[word[lo : lo + m + WINDOW - 1]].T)
-        told = np.zeros((WINDOW, 2, m), np.float32)  # products with attention and output
-        for k, (rows, u) in enumerate(ways):
-            own, hid = x[rows], np.zeros((h, m), np.float32)
-            g, zr = np.zeros((3 * h + 2, m), np.float32), np.empty((2 * h, m), np.float32)
+    # a last row for places without a word: its update gate is shut, so the state stays
+    shut = np.repeat([40.0, 0.0], [h, 2 * h]).astype(np.float32)
+    table = np.concatenate([table, np.tile(shut, 2)[None]]) * np.tile(turned[:, 0], 2)
+    number = -(-inputs.count // STRETCH)
+    text = np.repeat(np.arange(len(number)), number)
+    start = inputs.text[text] + STRETCH * (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number))
+    low, high = inputs.text[text], (inputs.text + inputs.count)[text]
+    size = np.minimum(high - start, STRETCH)
+    order = np.argsort(-size, kind="stable")  # stretches of like length side by side
+    for i in range(0, len(order), most):
+        own = order[i : i + most]
+        steps, m = int(size[own[0]]), len(own)
+        for way, u in zip("fb", ("Uwf", "Uwb")):
+            part = slice(0, h) if way == "f" else slice(h, 2 * h)
+            columns = slice(0, 3 * h) if way == "f" else slice(3 * h, 6 * h)
+            weights = np.concatenate([p[u].T * turned, p["vw"][None, part], p["out"][None, part]]).astype(np.float32)
+            # forward from a window before the stretch, backward from a window behind it
+            times = range(-WINDOW, steps) if way == "f" else range(steps + WINDOW - 1, -1, -1)
+            hid, g = np.zeros((h, m), np.float32), np.zeros((3 * h + 2, m), np.float32)
+            zr = np.empty((2 * h, m), np.float32)
             z, r, new = zr[:h], zr[h:], g[2 * h : 3 * h]
-            for t in range(WINDOW - 1, -1, -1) if k else range(WINDOW):
-                with np.errstate(over="ignore"):
-                    np.exp(np.add(own[: 2 * h, t : t + m], g[: 2 * h], out=zr), out=zr)
-                zr += 1
-                np.reciprocal(zr, out=zr)
-                new *= r
-                new += own[2 * h :, t : t + m]
+            for t in times:
+                at = start[own] + t
+                there = (at >= low[own]) & (at < np.minimum(start[own] + size[own], high[own])) if way == "f" else at < high[own]
+                word = np.where(there, inputs.word[np.clip(at, 0, len(inputs.word) - 1)], len(table) - 1)
+                x = table[word, columns].T
                 with np.errstate(over="ignore"):
+                    np.exp(np.add(x[: 2 * h], g[: 2 * h], out=zr), out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    new *= r
+                    new += x[2 * h :]
                     np.exp(new, out=new)
                 new += 1
                 np.divide(2, new, out=new)
@@ -236,35 +240,46 @@ def whole_logits(p: dict, table: np.ndarray, word: np.ndarray, most: int = 1024)
                 hid -= new
                 hid *= z
                 hid += new
-                np.matmul(u, hid, out=g)
-                told[t] += g[3 * h :]
-        score = told[:, 0]
-        a = np.exp(score - score.max(axis=0))
-        out[lo : lo + m] = (a * told[:, 1]).sum(axis=0) / a.sum(axis=0) + p["bias"][0]
-    return out
+                np.matmul(weights, hid, out=g)
+                if 0 <= t < steps:
+                    held = t < size[own]
+                    attention[at[held]] += g[3 * h][held]
+                    output[at[held]] += g[3 * h + 1][held]
+    return attention, output
+
+
+def sliding(values: np.ndarray) -> np.ndarray:
+    """Sums of WINDOW values from each place on, by doubling, so nothing is subtracted."""
+    step = 1
+    while step < WINDOW:
+        values = values + np.r_[values[step:], np.zeros(min(step, len(values)))]
+        step *= 2
+    return values
 
 
 def window_logits(p: dict, inputs: Inputs, table: np.ndarray) -> np.ndarray:
-    """The logit of every window."""
-    out = np.empty(len(inputs.begin), np.float32)
-    long = inputs.count >= WINDOW
-    whole = np.repeat(long, np.diff(inputs.first))
-    short = np.flatnonzero(~whole)
-    out[short] = short_logits(p, inputs, table, short)
-    if long.any():
-        # texts of whole windows one after another; places whose window runs into the next text are left out
-        word = inputs.word[np.repeat(long, inputs.count)]
-        end = np.cumsum(inputs.count[long])
-        ahead = np.repeat(end, inputs.count[long]) - np.arange(len(word))
-        out[whole] = whole_logits(p, table, word)[(ahead >= WINDOW)[: len(word) - WINDOW + 1]]
-    return out
+    """The logit of every window; the bias alone for a text without words."""
+    if not len(inputs.word):
+        return np.full(len(inputs.begin), p["bias"][0], np.float32)
+    attention, output = word_products(p, table, inputs)
+    # texts one after another, a window of nothing between
+    place = np.arange(len(inputs.word)) + WINDOW * inputs.doc
+    weight, product = np.zeros(len(inputs.word) + WINDOW * len(inputs.count)), np.zeros(len(inputs.word) + WINDOW * len(inputs.count))
+    weight[place] = np.exp(np.clip(attention, -60, 60))
+    product[place] = weight[place] * output
+    at = inputs.begin + WINDOW * inputs.of
+    whole, summed = sliding(weight)[at], sliding(product)[at]
+    return (np.where(whole > 0, summed / np.where(whole > 0, whole, 1), 0.0) + p["bias"][0]).astype(np.float32)
 
 
 def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, weight: np.ndarray, rng) -> tuple[float, dict]:
     """Loss and gradients of a batch of windows. Hash embeddings are dropped at random, so bytes count too."""
-    word, mask = inputs.words(windows)
+    word, mask = inputs.words(windows, WINDOW)
     used, word = np.unique(word, return_inverse=True)
     word = word.reshape(mask.shape)
+    # forward over the words before and the window, backward over the window and the words behind
+    reach = {"f": slice(0, 2 * WINDOW), "b": slice(WINDOW, 3 * WINDOW)}
+    inner = {"f": slice(WINDOW, 2 * WINDOW), "b": slice(0, WINDOW)}
     bucket = (inputs.names[used] % U64(BUCKETS)).astype(np.int64)
     keep: dict = {}
     x = word_inputs(p, inputs.bytes[used], inputs.length[used], bucket, keep)
@@ -273,9 +288,11 @@ def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, w
     xs, ways, kept = x[word], [], {}
     for way in "fb":
         kept[way] = []
-        ways.append(gru(xs @ p[f"Ww{way}"] + p[f"bw{way}"], mask, p[f"Uw{way}"], way == "b", kept[way]))
+        own = reach[way]
+        states = gru(xs[own] @ p[f"Ww{way}"] + p[f"bw{way}"], mask[own], p[f"Uw{way}"], way == "b", kept[way])
+        ways.append(states[inner[way]])
     states = np.concatenate(ways, axis=2)
-    pooled, a = pool(states, mask, p["vw"])
+    pooled, a = pool(states, mask[WINDOW : 2 * WINDOW], p["vw"])
     prob = sigmoid(pooled @ p["out"] + p["bias"][0])
     loss = float(-(weight * np.where(label == 1, np.log(prob + 1e-9), np.log(1 - prob + 1e-9))).sum() / weight.sum())
     d = ((prob - label) * weight / weight.sum()).astype(np.float32)
@@ -283,10 +300,12 @@ def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, w
     d_states, g["vw"] = pool_back(d[:, None] * p["out"], states, a, p["vw"])
     d_xs = np.zeros_like(xs)
     for k, way in enumerate("fb"):
-        dx, g[f"Uw{way}"] = gru_back(d_states[:, :, k * HIDDEN : (k + 1) * HIDDEN], p[f"Uw{way}"], kept[way])
-        g[f"Ww{way}"] = np.einsum("tbi,tbj->ij", xs, dx, optimize=True)
+        d = np.zeros((2 * WINDOW, len(windows), HIDDEN), d_states.dtype)
+        d[inner[way]] = d_states[:, :, k * HIDDEN : (k + 1) * HIDDEN]
+        dx, g[f"Uw{way}"] = gru_back(d, p[f"Uw{way}"], kept[way])
+        g[f"Ww{way}"] = np.einsum("tbi,tbj->ij", xs[reach[way]], dx, optimize=True)
         g[f"bw{way}"] = dx.sum(axis=(0, 1))
-        d_xs += dx @ p[f"Ww{way}"].T
+        d_xs[reach[way]] += dx @ p[f"Ww{way}"].T
     d_x = np.zeros_like(x)
     np.add.at(d_x, word.ravel(), d_xs.reshape(-1, d_xs.shape[2]))
     g["word"] = np.zeros_like(p["word"])

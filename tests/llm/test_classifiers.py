@@ -94,22 +94,51 @@ def test_windows_cover_every_word():
         n = int((inputs.doc == k).sum())
         assert covered == set(range(first, first + n)) and n >= words[k]
         begins = [int(inputs.begin[w]) for w in at]
-        assert all(0 < b - a <= toxicity.STRIDE < toxicity.WINDOW for a, b in zip(begins, begins[1:]))
-
-
-def test_every_window_is_scored():
-    """A text scores as its worst run of WINDOW words, wherever that begins."""
+        assert begins == list(range(first, first + len(begins))) and len(begins) == max(1, n - toxicity.WINDOW + 1)
+
+
+def plain_window_logits(p, inputs, text):
+    """Stretch by stretch and window by window, one word at a time."""
+    h, w = toxicity.HIDDEN, toxicity.WINDOW
+    table = toxicity.projections(p, inputs)
+    word = inputs.word[inputs.doc == text]
+    n = len(word)
+    if not n:
+        return [p["bias"][0]]
+    states = np.zeros((n, 2 * h), np.float32)
+    for start in range(0, n, toxicity.STRETCH):
+        end = min(n, start + toxicity.STRETCH)
+        for way, low, high, columns in (("f", max(0, start - w), end, slice(0, 3 * h)), ("b", start, min(n, end + w), slice(3 * h, 6 * h))):
+            x = table[word[low:high], columns][:, None]
+            found = toxicity.gru(x, np.ones((high - low, 1), bool), p[f"Uw{way}"], way == "b")[:, 0]
+            states[start:end, (way == "b") * h : (way == "b") * h + h] = found[start - low : end - low]
+    out = []
+    for begin in range(max(1, n - w + 1)):
+        own = states[begin : begin + w][:, None]
+        out.append(toxicity.pool(own, np.ones(own.shape[:2], bool), p["vw"])[0][0] @ p["out"] + p["bias"][0])
+    return out
+
+
+@pytest.mark.parametrize("stretch", [256, 40])
+def test_every_window_is_scored(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
     rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in rng.integers(0, 50, 150)]
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (0, 1, 31, 32, 33, 150, 256, 257, 700)]
+    (_, _, data, offsets), = pieces(pa.array(texts))
     p = {k: v * 3 for k, v in toxicity.initial(4).items()}
-    one = lambda text: toxicity.text_logits(p, *next(pieces(pa.array([text])))[2:])[0]
-    runs = [" ".join(words[i : i + toxicity.WINDOW]) for i in range(len(words) - toxicity.WINDOW + 1)]
-    (_, _, data, offsets), = pieces(pa.array(runs))
     inputs = toxicity.Inputs(data, offsets)
-    each = toxicity.short_logits(p, inputs, toxicity.projections(p, inputs), np.arange(len(runs)))
+    each = toxicity.window_logits(p, inputs, toxicity.projections(p, inputs))
+    plain = [plain_window_logits(p, inputs, k) for k in range(len(texts))]
+    assert np.diff(inputs.first).tolist() == [len(x) for x in plain]
+    np.testing.assert_allclose(each, np.concatenate(plain), atol=2e-4)
     assert np.ptp(each) > 0.1
-    for n in range(toxicity.WINDOW, len(words) + 1, 7):
-        assert one(" ".join(words[:n])) == pytest.approx(each[: n - toxicity.WINDOW + 1].max(), abs=1e-4)
+    np.testing.assert_allclose(toxicity.text_logits(p, data, offsets), [max(x) for x in plain], atol=2e-4)
+
+
+def test_sliding_sums_keep_small_values_beside_large_ones():
+    values = np.r_[np.full(40, 1e-20), 1e20, np.full(80, 1e-20)]
+    plain = [values[i : i + toxicity.WINDOW].sum() for i in range(len(values))]
+    np.testing.assert_allclose(toxicity.sliding(values), plain, rtol=1e-12)
 
 
 def test_training_looks_at_every_window():
