@@ -12,7 +12,7 @@ States are carried along the text, in stretches of STRETCH words that begin a
 window of words early in either direction, so each word is read about once and a
 state has at least a window of context. A window's attention-weighted mean is the
 quotient of two sliding sums, of exp(attention) and of exp(attention) x output. The
-network is trained in that form: a window with a window of words around it.
+network is trained in that form, on a window with AROUND words before and behind.
 
 The network is trained in numpy, in one task, on a bounded sample of labelled
 rows. Only documents are labelled, so a toxic document is trained on the window
@@ -37,6 +37,8 @@ from effectgrid.llm.words import ALNUM_CUT, U64, Words, pieces
 
 #: Words of a window, a power of two, and of a stretch.
 WINDOW, STRETCH = 32, 256
+#: Words around a window that training reads with it.
+AROUND = 8
 #: Bytes of one word input; longer words are several inputs.
 WORD_BYTES = 16
 BUCKETS = 4096
@@ -272,14 +274,19 @@ def window_logits(p: dict, inputs: Inputs, table: np.ndarray) -> np.ndarray:
     return (np.where(whole > 0, summed / np.where(whole > 0, whole, 1), 0.0) + p["bias"][0]).astype(np.float32)
 
 
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows by their place, n places."""
+    return np.stack([np.bincount(at, column, n) for column in rows.T], axis=1).astype(rows.dtype)
+
+
 def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, weight: np.ndarray, rng) -> tuple[float, dict]:
     """Loss and gradients of a batch of windows. Hash embeddings are dropped at random, so bytes count too."""
-    word, mask = inputs.words(windows, WINDOW)
+    word, mask = inputs.words(windows, AROUND)
     used, word = np.unique(word, return_inverse=True)
     word = word.reshape(mask.shape)
     # forward over the words before and the window, backward over the window and the words behind
-    reach = {"f": slice(0, 2 * WINDOW), "b": slice(WINDOW, 3 * WINDOW)}
-    inner = {"f": slice(WINDOW, 2 * WINDOW), "b": slice(0, WINDOW)}
+    reach = {"f": slice(0, AROUND + WINDOW), "b": slice(AROUND, WINDOW + 2 * AROUND)}
+    inner = {"f": slice(AROUND, AROUND + WINDOW), "b": slice(0, WINDOW)}
     bucket = (inputs.names[used] % U64(BUCKETS)).astype(np.int64)
     keep: dict = {}
     x = word_inputs(p, inputs.bytes[used], inputs.length[used], bucket, keep)
@@ -292,7 +299,7 @@ def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, w
         states = gru(xs[own] @ p[f"Ww{way}"] + p[f"bw{way}"], mask[own], p[f"Uw{way}"], way == "b", kept[way])
         ways.append(states[inner[way]])
     states = np.concatenate(ways, axis=2)
-    pooled, a = pool(states, mask[WINDOW : 2 * WINDOW], p["vw"])
+    pooled, a = pool(states, mask[AROUND : AROUND + WINDOW], p["vw"])
     prob = sigmoid(pooled @ p["out"] + p["bias"][0])
     loss = float(-(weight * np.where(label == 1, np.log(prob + 1e-9), np.log(1 - prob + 1e-9))).sum() / weight.sum())
     d = ((prob - label) * weight / weight.sum()).astype(np.float32)
@@ -300,16 +307,14 @@ def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, w
     d_states, g["vw"] = pool_back(d[:, None] * p["out"], states, a, p["vw"])
     d_xs = np.zeros_like(xs)
     for k, way in enumerate("fb"):
-        d = np.zeros((2 * WINDOW, len(windows), HIDDEN), d_states.dtype)
+        d = np.zeros((AROUND + WINDOW, len(windows), HIDDEN), d_states.dtype)
         d[inner[way]] = d_states[:, :, k * HIDDEN : (k + 1) * HIDDEN]
         dx, g[f"Uw{way}"] = gru_back(d, p[f"Uw{way}"], kept[way])
         g[f"Ww{way}"] = np.einsum("tbi,tbj->ij", xs[reach[way]], dx, optimize=True)
         g[f"bw{way}"] = dx.sum(axis=(0, 1))
         d_xs[reach[way]] += dx @ p[f"Ww{way}"].T
-    d_x = np.zeros_like(x)
-    np.add.at(d_x, word.ravel(), d_xs.reshape(-1, d_xs.shape[2]))
-    g["word"] = np.zeros_like(p["word"])
-    np.add.at(g["word"], bucket, d_x[:, :HIDDEN] * seen)
+    d_x = summed(word.ravel(), d_xs.reshape(-1, d_xs.shape[2]), len(x))
+    g["word"] = summed(bucket, d_x[:, :HIDDEN] * seen, len(p["word"]))
     d_states, g["vc"] = pool_back(d_x[:, HIDDEN:], keep["states"], keep["a"], p["vc"])
     d_e = np.zeros_like(keep["e"])
     for k, way in enumerate("fb"):
@@ -317,8 +322,7 @@ def gradients(p: dict, inputs: Inputs, windows: np.ndarray, label: np.ndarray, w
         g[f"Wc{way}"] = np.einsum("tbi,tbj->ij", keep["e"], dx, optimize=True)
         g[f"bc{way}"] = dx.sum(axis=(0, 1))
         d_e += dx @ p[f"Wc{way}"].T
-    g["byte"] = np.zeros_like(p["byte"])
-    np.add.at(g["byte"], keep["codes"].ravel(), d_e.reshape(-1, d_e.shape[2]))
+    g["byte"] = summed(keep["codes"].ravel(), d_e.reshape(-1, d_e.shape[2]), len(p["byte"]))
     return loss, g
 
 
