@@ -12,6 +12,7 @@ bounded size, each of which fits a task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectgrid.llm.tables import only
+from effectgrid.llm.tables import only, stored
 from effectgrid.llm.words import ALNUM_CUT, U64, Words, pieces
 
 WINDOW = 13
 SHARD_BYTES = 1 << 22
 #: Bytes of benchmark text in one block, more only if one item has more.
 BLOCK_BYTES = 1 << 22
+#: Blocks that a pass over the texts searches.
+PASS_BLOCKS = 8
 #: No word hashes to these: text ends, and the end of the pattern table.
 _END = U64(2**64 - 1)
 
@@ -106,12 +109,11 @@ class Block:
         self.window = np.where(self.room >= window, window, np.where(whole, self.room, 0))
 
 
-def shard_matches(tokens: np.ndarray, block: Block, window: int):
+def shard_matches(tokens: np.ndarray, array: np.ndarray, block: Block, window: int):
     """Every place of every window: pattern, token position, words in common from there.
 
     Also for each item suffix its longest match in the shard (length, position).
     """
-    array = suffix_array(tokens, window)
     every = np.arange(len(block.words))
     seek = np.where(block.window > 0, block.window, np.minimum(block.room, window))
     low, high = search(tokens, array, block.words, every, seek)
@@ -154,22 +156,26 @@ def _spans(pattern, place, doc, block: Block):
 def _shards(batches: Iterator[pa.RecordBatch]):
     """Whole texts, up to SHARD_BYTES together: ids, tokens with an end after each text, begins, word counts."""
     for batch in batches:
-        for i, j, data, offsets in pieces(batch.column(1), SHARD_BYTES):
+        for i, j, data, offsets in pieces(batch.column("text"), SHARD_BYTES):
             w = Words(data, offsets, ALNUM_CUT)
             counts = np.diff(w.first)
             tokens = np.full(len(w.hash) + len(counts), _END, U64)
             tokens[np.arange(len(w.hash)) + np.repeat(np.arange(len(counts)), counts)] = np.minimum(w.hash, _END - U64(1))
             begin = w.first[:-1] + np.arange(len(counts))
-            yield batch.column(0)[i:j], tokens, begin, counts
+            yield batch.slice(i, j - i).select(["row", "id"]), tokens, begin, counts
 
 
-def _match(block: Block, window: int):
+def _match(held: list[Block], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tokens, begin, counts in _shards(batches):
-            spans: list[list] = [[] for _ in range(len(ids))]
-            longest: list[list] = [[] for _ in range(len(ids))]
-            if len(block.words) and counts.any():
-                (pattern, place, _), (length, where) = shard_matches(tokens, block, window)
+            spans: list[list] = [[] for _ in range(ids.num_rows)]
+            longest: list[list] = [[] for _ in range(ids.num_rows)]
+            # one suffix array of the shard, searched for every block
+            array = suffix_array(tokens, window) if counts.any() else None
+            for block in held if counts.any() else []:
+                if not len(block.words):
+                    continue
+                (pattern, place, _), (length, where) = shard_matches(tokens, array, block, window)
                 doc = np.searchsorted(begin, place, "right") - 1
                 for d, item, a, b in zip(*_spans(pattern, place, doc, block)):
                     spans[d].append({"item": block.items[item], "first": int(a - begin[d]), "end": int(b - begin[d])})
@@ -182,20 +188,20 @@ def _match(block: Block, window: int):
             kind = pa.list_(pa.struct([("item", pa.int64()), ("first", pa.int64()), ("end", pa.int64())]))
             kind_long = pa.list_(pa.struct([("item", pa.int64()), ("item_at", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(longest, kind_long)],
-                ["id", "n_words", "spans", "longest"],
+                [*ids.columns, pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(longest, kind_long)],
+                ["row", "id", "n_words", "spans", "longest"],
             )
 
     return run
 
 
-SPANS = "id long, n_words long, spans array<struct<item long, first long, end long>>, longest array<struct<item long, item_at long, at long, length long>>"
+SPANS = "row long, id long, n_words long, spans array<struct<item long, first long, end long>>, longest array<struct<item long, item_at long, at long, length long>>"
 
 
 def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Block]:
-    """The items in blocks of bounded size, one at a time."""
+    """The items in blocks of bounded size, one at a time; those without an id are one item."""
     held, size = [], 0
-    for row in benchmark.where("id is not null").orderBy("id").toLocalIterator():
+    for row in benchmark.orderBy("id", "text").toLocalIterator():
         held.append((row.id, row.text))
         size += len(row.text or "")
         if size >= most:
@@ -205,25 +211,31 @@ def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Block]:
         yield Block(held, window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n_words, spans, longest) of each document, from frames (id, text).
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS
+) -> DataFrame:
+    """(row, id, n_words, spans, longest) of each row of documents, from frames (id, text).
 
     spans: for each item, the word ranges covered by its windows. longest: the
-    longest verbatim match of each item suffix in a shard, with its place.
+    longest verbatim match of each item suffix in a shard, with its place. A pass
+    over the texts searches pass_blocks blocks; a larger benchmark takes several,
+    whose findings meet again by the number of the row, whatever its id.
     """
     spark: SparkSession = docs.sparkSession
-    found = None
-    for block in blocks(benchmark, window, block_bytes):
-        held = spark.sparkContext.broadcast(block)  # at most block_bytes and one item of text
-        part = docs.select("id", "text").mapInArrow(lambda it, h=held: _match(h.value, window)(it), SPANS)
-        found = part if found is None else found.unionAll(part)
-        several = found is not part
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    found, several, every = None, False, blocks(benchmark, window, block_bytes)
+    while held := list(itertools.islice(every, pass_blocks)):
+        if found is None and len(held) == pass_blocks:
+            rows = stored(rows)  # the numbers must not change from pass to pass
+        shared = spark.sparkContext.broadcast(held)  # at most pass_blocks times block_bytes and an item of text each
+        part = rows.mapInArrow(lambda it, h=shared: _match(h.value, window)(it), SPANS)
+        found, several = (part, False) if found is None else (found.unionAll(part), True)
     if found is None:
-        return docs.select("id", "text").mapInArrow(_match(Block([], window), window), SPANS)
+        return rows.mapInArrow(_match([], window), SPANS)
     if not several:
         return found
-    # a row for each document and block: as many rows as blocks meet in a document
-    return found.groupBy("id").agg(
+    return found.groupBy("row").agg(
+        F.max("id").alias("id"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.flatten(F.collect_list("longest")).alias("longest"),
@@ -239,18 +251,20 @@ def contamination(
     item_text_column: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    pass_blocks: int = PASS_BLOCKS,
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match.
 
     A word is hit inside any occurrence of a window (13 consecutive item words,
     or an item of fewer). Contaminated: at least one hit, and hits are a
     20th of all words or more. Null and empty texts have no words; items without words match
-    nothing; no benchmark leaves all documents clean. Integer ids without
-    repeats; other columns are not read.
+    nothing; no benchmark leaves all documents clean. Rows with repeated or null
+    ids are judged one by one. Items without an id match too, and count as one item
+    that items_sha256 does not name. Other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_column}`").cast("long").alias("id"), F.col(f"`{item_text_column}`").alias("text"))
-    found = matches(docs, items, window, block_bytes)
+    found = matches(docs, items, window, block_bytes, pass_blocks)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"))))
     covered = F.aggregate(
         ordered,
@@ -275,6 +289,11 @@ def contamination(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns.
+
+    Of rows with one id all go if one is contaminated; rows with a null id likewise
+    are one document. Ids without repeats lose only their own rows.
+    """
     hit = contamination(only(docs, id_column, text_column), benchmark, id_column, text_column).where("contaminated")
-    return docs.join(hit.select(id_column), id_column, "left_anti")
+    gone = hit.select(F.col(id_column).alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__gone")), "left_anti")

@@ -175,6 +175,10 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(only(docs, id_column, text_column), id_column, text_column).where("kept").select(id_column)
-    return docs.join(kept, id_column, "left_semi")
+    """The documents that stay, with all their columns.
+
+    Rows of one id, null included, stay together if one of them stays.
+    """
+    kept = exact_groups(only(docs, id_column, text_column), id_column, text_column).where("kept")
+    kept = kept.select(F.col(id_column).alias("__kept")).distinct()
+    return docs.join(kept, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__kept")), "left_semi")

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from effectgrid.llm.tables import only, stored
 from effectgrid.llm.words import LOWER, pieces
 
+#: Languages that are always known; others are if this many rows declare them.
 LANGUAGES = ("de", "en", "es", "fr")
+LEAST_DECLARED = 50
 BUCKETS = 1 << 12
 TEMPER = 0.1
 #: Rows that a level's prior weighs against a host's or domain's own.
@@ -117,13 +119,23 @@ def _sums(count: int) -> list[Column]:
     return [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(count)]
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def known_languages(rows: DataFrame, always: tuple[str, ...] = LANGUAGES, least: int = LEAST_DECLARED) -> tuple[str, ...]:
+    """The languages that are always known and all two-letter codes that `least` rows declare, by one grouped count."""
+    declared = rows.select(F.lower(F.substring("declared", 1, 2)).alias("code")).where(F.col("code").rlike("^[a-z]{2}$"))
+    # at most 676 rows
+    found = declared.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()
+    return tuple(sorted({*always, *(r["code"] for r in found)}))
+
+
+def identify(rows: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """Of frames (key, text, declared, suffix, host, domain) one row per row.
 
     Adds language (null if rejected), posterior, text_language and accepted;
     text is left out. Null evidence of any kind says nothing; texts without
-    trigrams are judged by the rest. An empty table gives an empty result.
+    trigrams are judged by the rest. An empty table gives an empty result. Without
+    stated languages the known ones come from the declared codes of all rows.
     """
+    languages = known_languages(rows) if languages is None else languages
     count = len(languages)
     rows = rows.withColumn("declared", F.lower(F.substring("declared", 1, 2)))
     model = text_model(rows, languages)
@@ -218,8 +230,13 @@ def document_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def in_known_language(docs: DataFrame, id_column: str = "doc_id", **names) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns.
+
+    Of rows with one id all go if one is rejected; rows with a null id stay.
+    """
     used = [id_column, *(names.get(k, v) for k, v in (("text_column", "text"), ("declared_column", "lang"), ("source_column", "source")))]
     found = identify(document_rows(only(docs, *dict.fromkeys(used)), id_column, **names))
-    out = found.where(~F.col("accepted")).select(F.col("key").alias(id_column))
-    return docs.join(out, id_column, "left_anti")
+    # written before it is filtered, so that the fusion is computed once for each row
+    found = stored(found.select("key", "accepted"))
+    out = found.where(~F.col("accepted")).select(F.col("key").alias("__gone"))
+    return docs.join(out, F.col(f"`{id_column}`").cast("long") == F.col("__gone"), "left_anti")

@@ -179,7 +179,8 @@ def plan_mix(
     docs = stored(docs)
 
     # prefix sums of block words by source: over groups of blocks, then inside a group
-    key = F.coalesce("source", F.lit("\0"))
+    # no name of a source is that of the null source
+    key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source"))
     block = docs.withColumn("key", key).groupBy("key", "block").agg(F.sum("size").alias("words"))
     block = stored(block.withColumn("group", F.floor(F.col("block") / GROUP)))
     groups = block.groupBy("key", "group").agg(F.sum("words").alias("words"))

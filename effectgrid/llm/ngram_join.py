@@ -347,7 +347,11 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75) -> DataFrame:
-    """The documents that are the smallest id of their component; all columns kept."""
+    """The documents that are the smallest id of their component; all columns kept.
+
+    Rows of one id stay together if one of them stays. A row with a null id stays
+    unless its shingles are those of a row with an id; all such rows stay if one does.
+    """
     classes = ngram_classes(only(docs, id_column, text_column), id_column, text_column, threshold)
-    stay = classes.where(F.col("component_id") == F.col(id_column)).select(id_column)
-    return docs.join(stay, id_column, "left_semi")
+    stay = classes.where(F.col("component_id").eqNullSafe(F.col(id_column))).select(F.col(id_column).alias("__kept")).distinct()
+    return docs.join(stay, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("__kept")), "left_semi")

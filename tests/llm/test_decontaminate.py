@@ -52,7 +52,7 @@ def sample():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 22, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 22, 300, 9])
 def test_against_brute_force(spark, monkeypatch, block_bytes):
     monkeypatch.setattr("effectgrid.llm.decontaminate.SHARD_BYTES", 4000)
     docs, items = sample()
@@ -90,3 +90,15 @@ def test_suffix_array_is_sorted():
         order = suffix_array(t, 16)
         listed = [t[i : i + 16].tolist() for i in order]
         assert listed == sorted(listed) and sorted(order.tolist()) == list(range(n))
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 20}, {"block_bytes": 20, "pass_blocks": 2}])
+def test_rows_with_repeated_or_null_ids_and_items_without_one(spark, options):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item), (1, "clean words only"), (None, item + " x"), (None, "y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "q r"), (None, item), (8, "some other words"), (9, item), (None, "more and more")], "item_id long, text string")
+    got = contamination(docs, items, **options).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [
+        ("1", 3, 0, 0, False), ("1", 20, 20, 2, True), ("None", 2, 0, 0, False), ("None", 21, 20, 2, True),
+    ]
+    assert len({r.items_sha256 for r in got if r.n_items}) == 1

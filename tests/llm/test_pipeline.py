@@ -131,3 +131,36 @@ def test_stages_keep_the_columns(spark, docs):
     empty = rows.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, docs).collect() == []
+
+
+def test_stages_keep_rows_without_an_id(spark):
+    from effectgrid.llm import decontaminate, exact_dedup, language, ngram_join
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0], "en", "s", 1), (None, texts[1], "en", "s", 1), (3, texts[2], "en", "s", 1), (3, texts[2], "en", "s", 1), (4, texts[3], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    none = spark.createDataFrame([], "item_id long, text string")
+    same = sorted(map(str, docs.collect()))
+    for stage in (exact_dedup.without_copies, ngram_join.one_of_each, lambda d: decontaminate.decontaminated(d, none), language.in_known_language):
+        assert sorted(map(str, stage(docs).collect())) == same
+
+
+def test_languages_come_from_the_declared_codes(spark):
+    from effectgrid.llm import language
+
+    english = [(i, f"the cat and the dog went to the house number {i} on the hill", "en") for i in range(200)]
+    japanese = [(1000 + i, f"私は猫と犬が好きです。家は丘の上に{i}あります。", "ja") for i in range(200)]
+    docs = spark.createDataFrame([(i, t, c, "s", 1) for i, t, c in english + japanese], "doc_id long, text string, lang string, source string, n_chars long")
+    assert language.known_languages(language.document_rows(docs)) == ("de", "en", "es", "fr", "ja")
+    found = {r.key: r.language for r in language.identify(language.document_rows(docs)).collect()}
+    assert sum(found[i] == c for i, _, c in english + japanese) >= 392
+    assert language.in_known_language(docs).count() >= 396
+
+
+def test_a_source_named_like_a_marker_stays_apart(spark):
+    from effectgrid.llm import mixing
+
+    rows = [(i, "w " * 3, s) for i, s in enumerate([None, "null", "\0", "=", "=null"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).collect()
+    assert {r.source_size for r in got} == {12} and all(r.taken <= 3 * r.size for r in got)
