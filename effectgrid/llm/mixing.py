@@ -3,7 +3,12 @@
 Every source has a target number of words. Its documents are dealt into blocks
 by a hash. A source's quota is the number of block draws that meet its target:
 whole passes over all its blocks, then the first blocks of one more pass, the
-last of them in part. The quotas are split among output shards by a binary
+last of them in part. What is missing after whole passes is filled by taking, in
+the order of passes, blocks and hashes, each document that still fits; a long one
+that does not fit is left out and shuts out none after it. At the end the
+document that comes nearest to the rest is added if that lessens the miss.
+Documents that fill the rest behind the last block drawn ride with a drawn block
+of their source. The quotas are split among output shards by a binary
 tree: a node's left child draws as many blocks as its shards are to hold,
 without replacement, from the node's blocks of all sources, so the number that
 each source gives is multivariate hypergeometric and the quotas stay exact. A
@@ -157,6 +162,64 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.explode("held").alias("h")).select("h.source", "shard", "h.n")
 
 
+def first_that_fit(rows: DataFrame) -> DataFrame:
+    """Rows (key, ticket, id, size, u, gap) with `in`: those of the first tickets, in order, as long as all fit.
+
+    Prefix sums by key run over groups of tickets, then inside a group, then
+    inside the ticket, so no task holds a key.
+    """
+    words = rows.groupBy("key", "ticket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("ticket") / GROUP))
+    groups = words.groupBy("key", "group").agg(F.sum("words").alias("words"))
+    ahead = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("key", "group", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
+    within = Window.partitionBy("key", "group").orderBy("ticket").rowsBetween(Window.unboundedPreceding, -1)
+    before = words.join(groups, ["key", "group"]).select(
+        "key", "ticket", (F.col("base") + F.coalesce(F.sum("words").over(within), F.lit(0))).alias("before")
+    )
+    upto = Window.partitionBy("key", "ticket").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(before, ["key", "ticket"]).withColumn("in", F.col("before") + F.sum("size").over(upto) <= F.col("gap"))
+
+
+def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, id, size, u, block, blocks, passes, part): draws (key, id, block, pass) of the part, and (key, more).
+
+    Each source goes through its documents pass after pass, in the order of
+    block, u and id, and takes each that still fits. A round takes the first
+    ones up to one that does not fit; what is then missing is less than that
+    one's size, so the sizes that count shrink with every round (about 15 rounds
+    for sizes up to 20,000). more: the tickets reached by the first round.
+    """
+    room = F.floor(F.col("part") + 1e-6).cast("long")
+    rows = docs.where(F.col("passes") < MOST_COPIES).withColumn("gap", room).drop("part")
+    copies = rows.select("*", F.explode(F.sequence("passes", F.lit(MOST_COPIES - 1))).alias("pass"))
+    ticket = F.col("pass") * F.col("blocks") + F.col("block")
+    open_rows, taken, more = copies.withColumn("ticket", ticket), [], None
+    while True:
+        marked = stored(first_that_fit(open_rows.where("size <= gap")).drop("before"))
+        found = marked.where("in")
+        if found.isEmpty():
+            break
+        taken.append(found.select("key", "id", "block", "pass", "size"))
+        if more is None:
+            more = found.groupBy("key").agg((F.max("ticket") - F.max(F.col("passes") * F.col("blocks")) + 1).alias("more"))
+        used = found.groupBy("key").agg(F.sum("size").alias("used"))
+        left = marked.where("not in").drop("in").join(used, "key")
+        open_rows = left.withColumn("gap", F.col("gap") - F.col("used")).drop("used")
+    draws = marked.select("key", "id", "block", "pass", "size").limit(0)
+    for part in taken:
+        draws = draws.unionByName(part)
+    draws = stored(draws)
+    if more is None:
+        more = draws.groupBy("key").agg(F.count(F.lit(1)).alias("more"))
+    # the document, not yet used for this, that comes nearest to what is still missing
+    used = draws.groupBy("key").agg(F.sum("size").alias("used"))
+    gap = F.col("gap") - F.coalesce("used", F.lit(0))
+    rest = rows.join(used, "key", "left").withColumn("gap", gap).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    rest = rest.join(draws.select("id"), "id", "left_anti")
+    near = rest.groupBy("key").agg(F.min(F.struct("off", "u", "id", "block", "passes")).alias("x")).select("key", "x.id", "x.block", "x.passes")
+    return draws.drop("size").union(near), stored(more)
+
+
 def plan_mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -173,58 +236,36 @@ def plan_mix(
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int")
     targets = targets.withColumn("passes", passes).withColumn("part", F.greatest(F.lit(0.0), F.col("target") - passes * F.col("source_size")))
     targets = stored(targets.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block_words))))
-    docs = docs.join(F.broadcast(targets), docs["source"].eqNullSafe(targets["source"])).drop(targets["source"])  # one row per source
+    docs = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     docs = docs.withColumn("u", unit(F.lit("block"), F.col("id")))
     docs = docs.withColumn("block", F.floor(F.col("u") * F.col("blocks")).cast("long"))
     docs = stored(docs)
 
-    # prefix sums of block words by source: over groups of blocks, then inside a group
     # no name of a source is that of the null source
     key = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source"))
-    block = docs.withColumn("key", key).groupBy("key", "block").agg(F.sum("size").alias("words"))
-    block = stored(block.withColumn("group", F.floor(F.col("block") / GROUP)))
-    groups = block.groupBy("key", "group").agg(F.sum("words").alias("words"))
-    ahead = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("key", "group", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.join(groups, ["key", "group"]).withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(within), F.lit(0)))
     keyed = targets.select(key.alias("key"), "passes", "part", "blocks")
-    block = block.join(F.broadcast(keyed), "key")
-    # blocks of the last pass: all that begin before its words are reached, the last one in part
-    block = block.withColumn("extra", F.col("before") < F.col("part"))
-    block = stored(block.select("key", "block", "before", "passes", "part", "blocks", "extra"))
+    filled, more = fill(docs.where("size > 0 and id is not null").select(key.alias("key"), "id", "size", "u", "block", "blocks", "passes", "part"))
 
     # draws: a source's tickets are its blocks in hashed order, pass after pass
-    last = block.where("extra").groupBy("key").agg((F.max("block") + 1).alias("more"))
-    quotas = keyed.join(last, "key", "left")
-    quotas = quotas.select(F.col("key").alias("source"), (F.col("passes") * F.col("blocks") + F.coalesce("more", F.lit(0))).cast("long").alias("quota"))
+    quota = F.greatest(F.col("passes") * F.col("blocks") + F.coalesce("more", F.lit(0)), F.lit(1)).cast("long")
+    quotas = stored(keyed.join(more, "key", "left").select(F.col("key").alias("source"), quota.alias("quota"), "blocks", "passes"))
     words = docs.agg(F.sum("size").alias("n")).first()["n"] or 0
     shards = max(1, -(-words // shard_words))
-    leaves = split(quotas, shards)
+    leaves = split(quotas.select("source", "quota"), shards)
     order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     leaves = leaves.withColumn("low", F.coalesce(F.sum("n").over(order), F.lit(0).cast("long")))
     tickets = leaves.select("source", "shard", F.explode(F.sequence("low", F.col("low") + F.col("n") - 1)).alias("ticket"))
-    tickets = tickets.join(F.broadcast(keyed.select(F.col("key").alias("source"), "blocks")), "source")
-    tickets = tickets.select(
-        F.col("source").alias("key"),
-        (F.col("ticket") % F.col("blocks")).alias("block"),
-        F.floor(F.col("ticket") / F.col("blocks")).cast("int").alias("pass"),
-        "shard",
-    )
-    drawn = tickets.join(block.select("key", "block", "before", "passes", "part"), ["key", "block"])
-
-    # inside the block that is taken in part: documents in hashed order as long as they fit, and
-    # then the one, if any, that comes nearest to what is still missing
-    rows = docs.select(key.alias("key"), "block", "id", "size", "u").join(drawn, ["key", "block"])
-    inside = Window.partitionBy("key", "block", "pass")
-    upto = inside.orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("fits", (F.col("pass") < F.col("passes")) | (F.col("before") + F.sum("size").over(upto) <= F.col("part")))
-    gap = F.col("part") - F.col("before") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(inside)
-    rows = rows.withColumn("gap", gap).withColumn("off", F.abs(F.col("size") - F.col("gap")))
-    nearest = F.min(F.when(~F.col("fits") & (F.col("off") < F.col("gap")), F.struct("off", "u", "id"))).over(inside)
-    rows = rows.withColumn("in", F.col("fits") | F.coalesce(nearest["id"] == F.col("id"), F.lit(False)))
+    tickets = tickets.withColumnRenamed("source", "key")
+    # whole passes give all documents of a ticket's block, the fill gives single ones
+    quotas = quotas.withColumnRenamed("source", "key")
+    whole = docs.where("size > 0 and passes > 0").select(key.alias("key"), "id", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+    whole = whole.select("key", "id", "pass", (F.col("pass") * F.col("blocks") + F.col("block")).alias("ticket"))
+    own = F.col("pass") * F.col("blocks") + F.col("block")
+    ride = F.floor(unit(F.lit("ride"), F.col("pass"), F.col("id")) * F.col("quota")).cast("long")
+    single = filled.join(quotas, "key").select("key", "id", "pass", F.when(own < F.col("quota"), own).otherwise(ride).alias("ticket"))
+    rows = whole.unionByName(single).join(tickets, ["key", "ticket"])
     place = unit(F.lit("place"), F.col("pass"), F.col("id"))
-    draws = rows.where("in and size > 0").select("id", "pass", "shard", place.alias("place"))
+    draws = rows.select("id", "pass", "shard", place.alias("place"))
     return docs.select("id", "source", "size", "source_size", "target"), draws
 
 
@@ -234,7 +275,9 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     taken: words that the mix takes of it, repeats counted. shards: where its
     copies go. Null and empty texts have no words and are never taken; a null
     source is a source of its own, a source without words has target 0. Integer
-    ids without repeats; an empty table gives an empty result.
+    ids without repeats, and a row without one is never taken; an empty table gives an empty result. A source misses
+    its target by less than its shortest document, if its documents, three copies
+    of each, suffice without those that are longer than what is missing.
     """
     rows = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("id"),

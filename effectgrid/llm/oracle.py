@@ -68,9 +68,9 @@ def _unit(*parts: str) -> str:
 
 
 def mixing_sql(source: str, block_words: int = 50_000) -> str:
-    """Targets by raising the level source by source; blocks and documents by their md5."""
+    """Targets by raising the level source by source; blocks and documents by their md5; all copies that fit, in their order."""
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len({SPACE_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, {_unit("'block'", "doc_id")} AS u FROM {source}
 ),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
@@ -98,18 +98,27 @@ x AS (
   SELECT d.*, source_size, target, passes, greatest(0, target - passes * source_size) AS part, CAST(floor(u * blocks) AS BIGINT) AS block
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ),
-y AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY block RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    sum(size) OVER (PARTITION BY source, block ORDER BY u, doc_id) AS upto FROM x
+e AS (  -- a place for every copy that may fill what is missing after whole passes
+  SELECT doc_id, source, size, u, copy, floor(part + 1e-6)::BIGINT AS room, row_number() OVER (PARTITION BY source ORDER BY copy, block, u, doc_id) AS pos
+  FROM (SELECT *, unnest(range(passes, 3)) AS copy FROM x WHERE size > 0)
+),
+f AS (  -- every document that still fits is taken: up to the first that does not, and on from there
+  SELECT doc_id, source, size, pos, room AS gap, FALSE AS took FROM e
+  UNION ALL
+  SELECT doc_id, source, size, pos, gap - coalesce(sum(size) FILTER (new) OVER (PARTITION BY source), 0)::BIGINT, new
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pos) <= gap AS new FROM f WHERE NOT took AND size <= gap)
+),
+k AS (SELECT doc_id, count(*) AS n, sum(size) AS used FROM f WHERE took GROUP BY doc_id),
+h AS (
+  SELECT x.*, coalesce(k.n, 0) AS n, floor(part + 1e-6)::BIGINT - coalesce(sum(k.used) OVER (PARTITION BY x.source), 0) AS gap
+  FROM x LEFT JOIN k USING (doc_id)
 ),
-z AS (SELECT *, before < part AND before + upto <= part AS fits FROM y),
-g AS (SELECT *, part - before - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source, block) AS gap FROM z),
 r AS (
-  SELECT *, CASE WHEN NOT fits AND before < part AND abs(size - gap) < gap
-    THEN row_number() OVER (PARTITION BY source, block, NOT fits AND before < part AND abs(size - gap) < gap ORDER BY abs(size - gap), u, doc_id) END AS near FROM g
+  SELECT *, n = 0 AND passes < 3 AND abs(size - gap) < gap AS may,
+    row_number() OVER (PARTITION BY source, n = 0 AND passes < 3 AND abs(size - gap) < gap ORDER BY abs(size - gap), u, doc_id) AS near FROM h
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(size * (passes + CASE WHEN fits OR near = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (passes + n + CASE WHEN may AND near = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r"""
 
 
