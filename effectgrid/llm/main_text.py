@@ -17,10 +17,14 @@ sum, only those count. Headings are too short for a density, so those
 beside a given node come with it.
 
 Nodes that are no article by their element or role (menus, page headers and
-footers, sidebars, forms, scripts, styles) are taken off before. Class names and
-ids (sidebars, notices, adverts, reader comments) are a weak sign: such a node
-stays if it holds an article or main element, or most of the characters outside
-of links of the element around it, or of a page that has no such element.
+footers, sidebars, forms, scripts, styles) are taken off before. So are those with
+the name of such a part (a sidebar, a notice, an advert, reader comments) as class
+or id, whatever their size, unless they hold an article or main element, or nothing
+but headings, links and other named parts is beside them in the element around. Names
+that speak of a wrapper (`with-sidebar`, `page-nav-wrap`) are a weak sign: such a
+node stays, too, if it holds most of the characters outside of links of the element
+around it, or of a page that has no such element. Of a main element with
+several articles every one is given.
 """
 
 from __future__ import annotations
@@ -67,19 +71,25 @@ _NAMES = frozenset(
     " notice newsletter subscribe subscription popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing"
     " social related recommended widget toolbar pagination pager login signup respond replies gdpr".split()
 )
+#: Parts of a name by which it tells of what a wrapper holds: with any name, and with names of a page's layout.
+_HOLDING = frozenset("has with no without".split())
+_WRAPPING = frozenset("page site content main body layout wrap wrapper wrapping container".split())
+_LAYOUT = frozenset("banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer masthead toolbar widget".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "gone", "weak", "chars", "tags", "link_chars", "link_tags", "density", "sum", "own", "top")
+    __slots__ = ("tag", "parent", "children", "parts", "gone", "weak", "named", "within", "loose", "chars", "tags", "link_chars", "link_tags", "density", "sum", "own", "top")
 
     def __init__(self, tag: str, parent: Node | None, sign: str = ""):
-        self.tag, self.parent, self.gone, self.weak = tag, parent, sign == "gone", sign == "weak"
+        self.tag, self.parent, self.gone, self.named = tag, parent, sign == "gone", sign == "named"
+        self.weak = self.named or sign == "weak"
+        self.within = tag == "article" or (parent is not None and parent.within)
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
 
 
 def _unwanted(tag: str, attributes: str, within_article: bool) -> str:
-    """Whether a node is "gone", "weak" by its names only, or neither."""
+    """Whether a node is "gone", "named" like an unwanted part, "weak" by a wrapper's name, or none of these."""
     if tag in _NEVER or (tag == "header" and not within_article):
         return "gone"
     if not attributes or tag in ("html", "body", "main"):
@@ -88,9 +98,12 @@ def _unwanted(tag: str, attributes: str, within_article: bool) -> str:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            names = re.split(r"[^a-z0-9]+", value)
-            if not _NAMES.isdisjoint(names) or ("header" in names and not within_article):
-                found = "weak"
+            for token in value.split():
+                parts = set(re.split(r"[^a-z0-9]+", token))
+                unwanted = parts & _NAMES | (parts & {"header"} if not within_article else set())
+                if unwanted:
+                    wrapper = parts & _HOLDING or (parts & _WRAPPING and unwanted <= _LAYOUT)
+                    found = found or "weak" if wrapper else "named"
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return "gone"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -103,8 +116,18 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     body = Node("body", root)
     root.children.append(body)
-    node, at, in_article = body, 0, 0
+    node, at = body, 0
     find = _TOKEN.search
+    # how many elements of a name are open: nobody looks upwards for one that is not
+    opened: dict[str, int] = {}
+
+    def left(inner: Node, outer: Node) -> Node:
+        """Closes the elements from the inner one up to below the outer one."""
+        while inner is not outer:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return outer
+
     while (m := find(page, at)) is not None:
         if m.start() > at:
             node.parts.append(page[at : m.start()])
@@ -118,11 +141,11 @@ def parse(page: str) -> Node:
             break
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            up = node
-            while up is not body and up.tag != tag:
-                up = up.parent
-            if up is not body:
-                node = up.parent
+            if opened.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = left(node, up.parent)
             elif tag == "br":
                 node.parts.append(" ")
             continue
@@ -138,18 +161,17 @@ def parse(page: str) -> Node:
             while up is not body and up.tag != "p" and up.tag not in _BLOCK:
                 up = up.parent
             if up is not body and (up.tag == "p" or (tag[0] == "h" and up.tag[0] == "h" and tag[1:].isdigit() and up.tag[1:].isdigit())):
-                node = up.parent
+                node = left(node, up.parent)
         ends = _ENDS.get(tag)
-        if ends:
+        if ends and any(opened.get(x) for x in ends):
             up, last, scope = node, None, _SCOPE.get(tag, {"table"})
             while up is not body and up.tag not in scope:
                 if up.tag in ends:
                     last = up
                 up = up.parent
             if last is not None:
-                node = last.parent
-        within = node.tag == "article" or _inside(node, body)
-        child = Node(tag, node, _unwanted(tag, attributes, within))
+                node = left(node, last.parent)
+        child = Node(tag, node, _unwanted(tag, attributes, node.within))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -162,20 +184,13 @@ def parse(page: str) -> Node:
         node.parts.append(child)
         if not attributes.rstrip().endswith("/") or tag in _BLOCK or tag in ("a", "b", "i", "span", "em", "strong"):
             node = child
+            opened[tag] = opened.get(tag, 0) + 1
     else:
         if at < len(page):
             node.parts.append(page[at:])
     return body
 
 
-def _inside(node: Node, body: Node) -> bool:
-    while node is not body:
-        if node.tag == "article":
-            return True
-        node = node.parent
-    return False
-
-
 def _measure(body: Node) -> list[Node]:
     """Characters and tags of every node, from the leaves up; those of unwanted nodes do not count."""
     order, stack = [], [body]
@@ -207,22 +222,29 @@ def _measure(body: Node) -> list[Node]:
     return order
 
 
-def _drop_named(order: list[Node], body: Node) -> bool:
-    """Drops nodes unwanted by their names, unless what they hold speaks against it."""
+def _drop_named(order: list[Node], body: Node, named: bool) -> bool:
+    """Drops nodes that are named so, or else the weak ones, unless what they hold speaks against it."""
     plain = {n for n in order if n.tag in ("article", "main") and not n.weak}
     holders = set()
     for node in plain:
         while node is not None and node not in holders:
             holders.add(node)
             node = node.parent
-    dropped = False
-    for node in order:
-        if node.weak and node not in holders:
-            around = node.parent
-            while around is not None and around not in plain:
-                around = around.parent
-            around = around or (None if plain else body)
-            node.gone = around is None or 2 * (node.chars - node.link_chars) < around.chars - around.link_chars or node.chars == node.link_chars
+    for node in reversed(order):
+        bare = node.named and node not in holders or node.tag == "a" or node.tag in _HEADINGS
+        node.loose = 0 if bare else node.own + sum(c.loose for c in node.children)
+    dropped, around = False, {body: None if plain else body}
+    for node in order:  # parents come first
+        if node is not body:
+            around[node] = node.parent if node.parent in plain else around[node.parent]
+        if node.weak and node.named == named and node not in holders:
+            held = around[node]
+            node.gone = (
+                held is None
+                or node.chars == node.link_chars
+                or 2 * (node.chars - node.link_chars) < held.chars - held.link_chars
+                or (node.named and held.loose > 0)
+            )
             dropped |= node.gone
     return dropped
 
@@ -230,8 +252,9 @@ def _drop_named(order: list[Node], body: Node) -> bool:
 def _measured(body: Node) -> None:
     """Measures without nodes unwanted by their names, and without forms unless a form is what wraps the page."""
     order = _measure(body)
-    if _drop_named(order, body):
-        order = _measure(body)
+    for named in (True, False):
+        if _drop_named(order, body, named):
+            order = _measure(body)
     forms = [n for n in order if n.tag == "form"]
     for form in forms:
         form.gone = 2 * form.chars < body.chars
@@ -249,8 +272,14 @@ def _around(node: Node) -> Node | None:
     return found
 
 
-def _articles(node: Node, threshold: float) -> list[Node]:
-    """The articles in a node that reach the threshold, if they hold most of it, else the node."""
+def _main(node: Node) -> Node | None:
+    """The main element around an article."""
+    while node is not None and node.tag != "main":
+        node = node.parent
+    return node
+
+
+def _outer_articles(node: Node) -> list[Node]:
     found, stack = [], [node]
     while stack:
         x = stack.pop()
@@ -258,7 +287,12 @@ def _articles(node: Node, threshold: float) -> list[Node]:
             found.append(x)
         else:
             stack += x.children
-    found = [x for x in found if x.density >= threshold and x.chars]
+    return found
+
+
+def _articles(node: Node, threshold: float) -> list[Node]:
+    """The articles in a node that reach the threshold, if they hold most of it, else the node."""
+    found = [x for x in _outer_articles(node) if x.density >= threshold and x.chars]
     return found if 2 * sum(x.chars for x in found) >= node.chars and found else [node]
 
 
@@ -279,6 +313,8 @@ def _chosen(body: Node) -> list[Node]:
             stack += node.children
     if _around(body.top):
         taken = {x for x in map(_around, taken) if x}
+        mains = {_main(x) for x in taken} - {None}
+        taken |= {x for main in mains for x in _outer_articles(main)}
     else:
         taken = {x for node in taken for x in ([_around(node)] if _around(node) else _articles(node, threshold))}
         taken |= {x for node in taken if node is not body for x in node.parent.children if x.tag in _HEADINGS}

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -82,6 +83,32 @@ def test_named_parts_of_an_article_go():
     assert main_text(f"<article>{BODY}</article>{comments}") == TEXT
 
 
+@pytest.mark.parametrize(
+    "page, lines",
+    [
+        (f"<div class=post><p>{LONG}a<p>{LONG}b</div><div class=comments>{f'<p>{LONG}' * 10}</div>", [LONG + "a", LONG + "b"]),
+        (f"<article><p>One short sentence.</p><div class=ad>{f'<p>{LONG}' * 3}</div></article>", ["One short sentence."]),
+        (f"<main><article>{HALVES[0]}</article><article><p>A short one.</p></article></main>", [*LINES[0], "A short one."]),
+        (f"<div class=post><p>{LONG}a</div><div id=comment-wrapper>{f'<p>{LONG}' * 10}</div>", [LONG + "a"]),
+        (f"<h1>Title</h1><div class=widget><p>{LONG}a<p>{LONG}b</div>", ["Title", LONG + "a", LONG + "b"]),
+        (f"<div class=has-sidebar><p>{LONG}a<p>{LONG}b</div><div><p>Another part.</div><div class=sidebar>{f'<p>{LONG}' * 9}</div>", None),
+    ],
+)
+def test_named_parts_of_any_size(page, lines):
+    text = main_text(f"<html><body>{page}</body></html>").split("\n")
+    if lines is None:  # what is beside may come or not, the wrapper's text is there and the named part is not
+        assert text[:2] == [LONG + "a", LONG + "b"] and LONG.strip() not in text
+    else:
+        assert text == [" ".join(x.split()) for x in lines]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep", "<div>" * 20_000 + "</p>" * 20_000 + "deep", "<span>" * 20_000 + "deep" + "</span>" * 20_000, "<div><b>" * 5_000 + "<li>" * 5_000 + "deep"])
+def test_nested_pages_take_linear_time(page):
+    start = time.process_time()
+    assert main_text(page) == "deep"
+    assert time.process_time() - start < 2
+
+
 def test_given_pages(spark, sf_mid):
     """The given pages keep their text in one article; a plain reading of it is the same."""
 
