@@ -163,11 +163,12 @@ def parse(page: str) -> Node:
             if up is not body and (up.tag == "p" or (tag[0] == "h" and up.tag[0] == "h" and tag[1:].isdigit() and up.tag[1:].isdigit())):
                 node = left(node, up.parent)
         ends = _ENDS.get(tag)
-        if ends and any(opened.get(x) for x in ends):
+        if ends:
             up, last, scope = node, None, _SCOPE.get(tag, {"table"})
-            while up is not body and up.tag not in scope:
+            unseen = sum(opened.get(x, 0) for x in ends)
+            while unseen and up.tag not in scope:
                 if up.tag in ends:
-                    last = up
+                    last, unseen = up, unseen - 1
                 up = up.parent
             if last is not None:
                 node = left(node, last.parent)
