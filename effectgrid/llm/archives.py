@@ -61,7 +61,8 @@ def arc_description(version: int, name: str) -> bytes:
 
 
 def arc_record(version: int, url: str, date: str, kind: str, body: bytes, name: str) -> bytes:
-    url = "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in url.encode()) if any(c <= " " or c == "\x7f" for c in url) else url
+    # blanks and control characters would end the field; all others stay as they are
+    url = "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in url)
     head = [url or "-", "0.0.0.0", date, kind]
     if version == 2:
         head += ["200", "-", "-", "0", name]

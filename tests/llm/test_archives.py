@@ -60,3 +60,11 @@ def test_arc_lines(version):
     warc = archives.parse_warc(archives.warc_record("response", "urn:uuid:1", fields))
     assert warc["block"] == body and warc["digest"] == hashlib.sha256(b"pay\nload").hexdigest()
     assert archives.warc_date("20010203040506") == "2001-02-03T04:05:06Z" and archives.warc_date("x") == "1996-01-01T00:00:00Z"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_addresses_keep_their_characters(version):
+    url, want = "http://é.x/a b\t☃\x7f", "http://é.x/a%20b%09☃%7F"
+    _, fields = archives.parse_arc(archives.arc_record(version, url, "20010203040506", "text/html", b"x", "f.arc"), version)
+    assert fields["url"] == want
+    assert f"WARC-Target-URI: {want}\r\n".encode() in archives.warc_record("response", "urn:uuid:1", fields)
