@@ -202,7 +202,8 @@ def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         taken.append(found.select("key", "id", "block", "pass", "size"))
         if more is None:
             more = found.groupBy("key").agg((F.max("ticket") - F.max(F.col("passes") * F.col("blocks")) + 1).alias("more"))
-        used = found.groupBy("key").agg(F.sum("size").alias("used"))
+        # one row per source, written so that its size is known before the join is planned
+        used = stored(found.groupBy("key").agg(F.sum("size").alias("used")))
         left = marked.where("not in").drop("in").join(used, "key")
         open_rows = left.withColumn("gap", F.col("gap") - F.col("used")).drop("used")
     draws = marked.select("key", "id", "block", "pass", "size").limit(0)
@@ -212,7 +213,7 @@ def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if more is None:
         more = draws.groupBy("key").agg(F.count(F.lit(1)).alias("more"))
     # the document, not yet used for this, that comes nearest to what is still missing
-    used = draws.groupBy("key").agg(F.sum("size").alias("used"))
+    used = stored(draws.groupBy("key").agg(F.sum("size").alias("used")))
     gap = F.col("gap") - F.coalesce("used", F.lit(0))
     rest = rows.join(used, "key", "left").withColumn("gap", gap).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
     rest = rest.join(draws.select("id"), "id", "left_anti")
