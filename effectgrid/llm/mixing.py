@@ -186,8 +186,8 @@ def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each source goes through its documents pass after pass, in the order of
     block, u and id, and takes each that still fits. A round takes the first
     ones up to one that does not fit; what is then missing is less than that
-    one's size, so the sizes that count shrink with every round (about 15 rounds
-    for sizes up to 20,000). more: the tickets reached by the first round.
+    one's size, so the sizes that count shrink with every round. more: the
+    tickets reached by the first round.
     """
     room = F.floor(F.col("part") + 1e-6).cast("long")
     rows = docs.where(F.col("passes") < MOST_COPIES).withColumn("gap", room).drop("part")
@@ -302,7 +302,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """The mixture itself: one row per copy taken, with the document's columns.
 
     Adds mix_pass, mix_shard and mix_place; a shard's rows ordered by mix_place
-    are its locally shuffled content. Columns of these names are replaced.
+    are its locally shuffled content. Columns of these names are replaced. A row
+    without an id is never taken.
     """
     rows = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("id"),
