@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from effectgrid.functions.scalars import log2_ratio, quoted
 from effectgrid.operators.joins import null_safe_join
 from effectgrid.operators.quantiles import exact_quantiles
+from effectgrid.session import checkpointed
 
 
 def frequency(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
@@ -58,8 +59,8 @@ def counts_with_median(
 ) -> DataFrame:
     """Distinct items and median value per key; the row counts size the median's groups."""
     items = df.groupBy(*keys, item).agg(F.count("*").alias("__rows"))
-    counted = items.groupBy(*keys).agg(
-        F.count(item).alias(count_out), F.sum("__rows").alias("__rows")
+    counted = checkpointed(
+        items.groupBy(*keys).agg(F.count(item).alias(count_out), F.sum("__rows").alias("__rows"))
     )
     medians = exact_quantiles(df, keys, value, {median_out: 0.5}, sizes=counted)
     return null_safe_join(counted.drop("__rows"), medians, keys, "left")
@@ -68,14 +69,19 @@ def counts_with_median(
 def direction_ratio(
     df: DataFrame, keys: list[str], item: str = "gene", effect: str = "logFC", pseudo: float = 0.5
 ) -> DataFrame:
-    """Distinct items going up and down, and the log2 ratio of the two."""
+    """Distinct items going up and down, and the log2 ratio of the two.
+
+    A null item is not counted, as in the other counts of distinct items; a
+    group without any other keeps its row.
+    """
+    known = F.col(item).isNotNull().cast("bigint")
     per_item = df.groupBy(*keys, item).agg(
         F.max((F.col(effect) > 0).cast("bigint")).alias("__up"),
         F.max((F.col(effect) <= 0).cast("bigint")).alias("__down"),
     )
     return (
         per_item.groupBy(*keys)
-        .agg(F.sum("__up").alias("up"), F.sum("__down").alias("down"))
+        .agg(F.sum(F.col("__up") * known).alias("up"), F.sum(F.col("__down") * known).alias("down"))
         .withColumn("log2_up_down", log2_ratio(F.col("up"), F.col("down"), pseudo))
     )
 

@@ -9,8 +9,11 @@ from effectgrid.functions.labels import pathway_label
 from effectgrid.operators.checks import require_columns
 from effectgrid.operators.filters import matches
 from effectgrid.operators.topn import top_n_per_group
+from effectgrid.session import checkpointed
 
 PANEL = ["cell_major", "sex"]
+# genes of a panel and predictor that one part of the join holds
+PART_GENES = 250_000
 
 
 def top_items(strong: DataFrame, k: int = 5, distinct_items: bool = True) -> DataFrame:
@@ -35,29 +38,33 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
     Effects are first reduced to sign counts per (panel, predictor, gene), in
     which a null effect counts as a row but not towards the share. The score
     rows of the top pathways are few (k per panel, times predictors); their size
-    at run time decides how they meet the effects. Score rows that meet no effect form a null-gene group.
+    at run time decides how they meet the effects. The genes of the largest
+    panel and predictor are counted: beyond PART_GENES all genes are dealt to
+    parts by hash and the score rows repeated for each part, so that no task
+    holds a panel. Score rows that meet no effect form a null-gene group.
     """
     wanted = top.join(scores, PANEL + ["pathway"], "left").select(
         *PANEL, "pathway", "predictor", F.signum("stat").alias("__sign")
     )
     rows = effects.withColumnRenamed("path_short", "predictor")
-    signs = rows.groupBy(*PANEL, "predictor", "gene").agg(
+    signs = checkpointed(rows.groupBy(*PANEL, "predictor", "gene").agg(
         F.count_if(F.col("logFC") > 0).alias("__up"),
         F.count_if(F.col("logFC") < 0).alias("__down"),
         F.count_if(F.col("logFC") == 0).alias("__zero"),
         F.count("*").alias("__rows"),
-    )
+    ))
+    seen = checkpointed(signs.groupBy(*PANEL, "predictor").agg(F.count("*").alias("__genes")))
+    parts = -(-(seen.agg(F.max("__genes")).first()[0] or 1) // PART_GENES)
     same = (
         F.when(F.col("__sign") > 0, F.col("__up"))
         .when(F.col("__sign") < 0, F.col("__down"))
         .when(F.col("__sign") == 0, F.col("__zero"))
     )
     known = F.when(F.col("__sign").isNotNull(), F.col("__up") + F.col("__down") + F.col("__zero"))
-    met = signs.join(wanted, PANEL + ["predictor"]).select(
+    met = _dealt(signs, wanted, parts).select(
         *PANEL, "pathway", "gene",
         same.alias("__same"), known.alias("__known"), F.col("__rows"),
     )
-    seen = signs.select(*PANEL, "predictor").distinct()
     unmet = wanted.join(seen, PANEL + ["predictor"], "left_anti").select(
         *PANEL, "pathway",
         F.lit(None).cast("string").alias("gene"),
@@ -75,6 +82,15 @@ def sign_agreement(top: DataFrame, scores: DataFrame, effects: DataFrame) -> Dat
     )
 
 
+def _dealt(signs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
+    """Sign counts and score rows of the same panel and predictor, in parts by gene."""
+    if parts == 1:
+        return signs.join(wanted, PANEL + ["predictor"])
+    part = F.pmod(F.xxhash64("gene"), F.lit(parts)).cast("int")
+    repeated = wanted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return signs.withColumn("__part", part).join(repeated, [*PANEL, "predictor", "__part"])
+
+
 def sign_drivers(
     top: DataFrame, scores: DataFrame, effects: DataFrame, min_n: int = 3, n: int = 15
 ) -> DataFrame:

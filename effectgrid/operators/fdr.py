@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from effectgrid.functions.scalars import quoted, value_bucket
+from effectgrid.functions.scalars import quoted
 from effectgrid.operators.joins import null_safe_join
+from effectgrid.operators.ranges import in_ranges
 
-# value buckets between p and 2p: a bucket has one in so many of an octave's
-# distinct p-values, and a group at most so many rows per octave in the windows
-# that carry ranks and minima between buckets
-BUCKETS = 1 << 16
 # a single window per group is used only where the caller states a smaller bound
 WINDOW_ROWS = 1_000_000
 
@@ -27,7 +24,7 @@ def bh_adjust(
 
     `max_group_rows` states a bound known from the plan, such as the number of
     score columns. Up to `WINDOW_ROWS` the groups are ranked in one window;
-    without a bound the ranking is spread over value buckets.
+    without a bound the ranking is spread over ranges of the sampled p-values.
     """
     if max_group_rows is not None and max_group_rows <= WINDOW_ROWS:
         return _bh_window(df, p, list(by), out)
@@ -56,16 +53,14 @@ def _bh_window(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
 def _bh_spread(df: DataFrame, p: str, by: list[str], out: str) -> DataFrame:
     """q(p) = min over p' >= p of p' n / rank(p'), on distinct p-values.
 
-    Ranks and suffix minima are taken inside buckets of the p-value and
-    carried over between buckets through tables of one row per bucket. A task
-    holds a bucket, or the bucket rows of a group, never a group's values.
+    The distinct p-values are cut in ranges of (group, p), ranked inside their
+    range, and ranks and suffix minima are carried over between ranges through
+    tables of one row per group and range. A task sorts a range, or the ranges
+    of a group, never a group's values.
     """
-    counts = (
-        df.filter(quoted(p).isNotNull())
-        .groupBy(*by, quoted(p).alias("__p"))
-        .agg(F.count("*").alias("__c"))
-        .withColumn("__b", value_bucket(F.col("__p"), per_octave=BUCKETS))
-    )
+    known = df.filter(quoted(p).isNotNull())
+    counts = known.groupBy(*by, quoted(p).alias("__p")).agg(F.count("*").alias("__c"))
+    counts = in_ranges(counts, [*by, "__p"], "__b")
     group = Window.partitionBy(*by)
     before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import quoted
 from effectgrid.operators.joins import null_safe_join
+from effectgrid.session import checkpointed
+
+# tasks that a group's labels are dealt to while its axes meet
+SPREAD = 32
 
 
 def complete_grid(
@@ -21,23 +25,31 @@ def complete_grid(
     as None the values observed; a null value is an axis value where it
     occurs. With `by`, each group is completed on its own. `fill` also fills
     nulls that were there before. `df` is an aggregated table with one row per
-    combination; the axis values of a group are held in one row, so axes are
-    category columns.
+    combination; it is checkpointed, as every axis is read from it.
+
+    The axes are tables of one row per group and value. The longer the grid
+    gets, the more the next axis is repeated: it meets SPREAD parts of each
+    group, dealt by the values so far, so a group's grid is not made in one task.
     """
     by = by or []
-    values = {}
-    for name, levels in axes.items():
-        seen = F.collect_set(F.named_struct(F.lit("v"), quoted(name)))
-        if levels is None:
-            values[name] = seen
-        else:
-            listed = F.array(*[F.named_struct(F.lit("v"), F.lit(v)) for v in levels])
-            values[name] = F.array_union(listed, F.filter(seen, lambda s: s["v"].isNull()))
-    grid = df.groupBy(*by).agg(*[arr.alias(f"__{name}") for name, arr in values.items()])
-    for name in axes:
-        grid = grid.withColumn(f"__{name}", F.explode(f"__{name}"))
-    grid = grid.select(*by, *[F.col(f"__{name}")["v"].alias(name) for name in axes])
-    return null_safe_join(grid, df, by + list(axes), "left").fillna(fill)
+    df = checkpointed(df)
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    full = None
+    # observed axes first: they can be long, and the listed ones are then repeated
+    for name, levels in sorted(axes.items(), key=lambda axis: axis[1] is not None):
+        seen = df.select(*by, quoted(name))
+        if levels is not None:
+            listed = F.explode(F.array(*[F.lit(v) for v in levels])).alias(name)
+            seen = groups.select(*by, listed).unionByName(seen.filter(quoted(name).isNull()))
+        seen = seen.distinct()
+        if full is None:
+            full = seen
+            continue
+        dealt = full.withColumn("__deal", F.pmod(F.xxhash64(*[quoted(c) for c in full.columns]), F.lit(SPREAD)).cast("int"))
+        repeated = seen.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        full = null_safe_join(dealt, repeated, [*by, "__deal"]).drop("__deal")
+    cells = full.select(*by, *axes)
+    return null_safe_join(cells, df, by + list(axes), "left").fillna(fill)
 
 
 def level_order(df: DataFrame, label: str, total: str, out: str) -> DataFrame:

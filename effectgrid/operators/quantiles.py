@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import nan_to_null, quoted, value_bucket
 from effectgrid.operators.joins import null_safe_join
+from effectgrid.operators.ranges import in_ranges
+from effectgrid.session import checkpointed
 
 # values of one group that the built-in percentile may hold in a task
 HELD_VALUES = 2_000_000
-# equal parts in which a bucket's range is cut before its values are sorted
-FINE_PARTS = 4096
 # columns per aggregate
 BLOCK_COLUMNS = 64
 
@@ -54,8 +54,7 @@ def _quantiles(
 
     A group is hot when a block of its columns has more than HELD_VALUES
     values. There are at most rows / hot_rows hot groups, so their key list
-    can be broadcast; it is mostly empty, and then the second branch is
-    dropped at run time.
+    can be broadcast; it is found first, and mostly there is none.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     values = df.select(
@@ -67,7 +66,10 @@ def _quantiles(
         hot_rows = HELD_VALUES // min(len(columns), BLOCK_COLUMNS)
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    hot = F.broadcast(sizes.filter(F.col("__rows") > hot_rows).select(*keys))
+    hot = checkpointed(sizes.filter(F.col("__rows") > hot_rows).select(*keys))
+    if hot.isEmpty():
+        return _by_aggregate(values, keys, wanted)
+    hot = F.broadcast(hot)
     small = null_safe_join(values, hot, keys, "left_anti")
     large = null_safe_join(values, hot, keys, "left_semi")
     return _by_aggregate(small, keys, wanted).unionByName(_by_buckets(large, keys, wanted))
@@ -122,10 +124,10 @@ def _by_buckets(
 
     Pass one counts values per (key, column, bucket), with map-side combine,
     and finds the one or two buckets that hold each wanted position. Pass two
-    reads the values of those buckets only, counted by value. Their range is
-    cut in equal parts, of which again only those that hold a position are
-    kept, and only these are sorted: a part has about one in 1024 x FINE_PARTS
-    of the distinct values of an octave.
+    reads the values of those buckets only, counted by value. These are cut in
+    ranges of their sampled order, of which again only those that hold a
+    position are sorted: ranges have like numbers of distinct values, wherever
+    in the bucket the values lie.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     group_keys = [*keys, "__column"]
@@ -139,21 +141,18 @@ def _by_buckets(
 
     positions = [position(prob) for _, prob in wanted.values()]
     # one row per bucket: the group size does not matter any more
-    targets = _holding(tally, group_keys, "__b", positions).drop("__m", "__sum", "__missing")
+    targets = _holding(tally, group_keys, "__b", positions).drop(
+        "__m", "__sum", "__missing", "__low", "__high"
+    )
     if not keys:  # at most two buckets per wanted value
         targets = F.broadcast(targets)
-    span = F.col("__high") - F.col("__low")
-    part = F.when(
-        (span > 0) & (span < F.lit(float("inf"))),
-        F.floor((F.col("__v") - F.col("__low")) / span * F.lit(float(FINE_PARTS - 1))),
-    ).otherwise(F.lit(0).cast("bigint"))
     picked = (
         null_safe_join(values, targets, [*group_keys, "__b"])
-        .groupBy(*group_keys, "__b", "__start", "__n", "__low", "__high", "__v")
+        .groupBy(*group_keys, "__b", "__start", "__n", "__v")
         .agg(F.count("__v").alias("__c"))
-        .withColumn("__part", part)
         .withColumnRenamed("__start", "__before")
     )
+    picked = in_ranges(picked, [*group_keys, "__b", "__v"], "__part")
     bucket = [*group_keys, "__b"]
     parts = picked.groupBy(*bucket, "__before", "__n", "__part").agg(F.sum("__c").alias("__m"))
     parts = _holding(parts, bucket, "__part", positions, "__before").select(*bucket, "__part", "__start")
@@ -196,7 +195,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
         [], [quoted(c) for c in columns], "column", "value"
     )
     long = long.withColumn("value", nan_to_null(F.col("value")))
-    tally = _tally(_bucketed(long, ["column"], ["value"]), ["column", "__column"])
+    tally = checkpointed(_tally(_bucketed(long, ["column"], ["value"]), ["column", "__column"]))
     basics = tally.groupBy("column").agg(
         F.sum("__m").alias("n"),
         F.sum("__missing").alias("n_missing"),

@@ -2,7 +2,7 @@ import numpy as np
 from helpers import close, keyed, plan, rows
 from pyspark.sql import functions as F
 
-from effectgrid.operators import counts, filters, grid, quantiles, topn
+from effectgrid.operators import counts, filters, grid, quantiles, ranges, topn
 from effectgrid.plans import effects as fx
 from effectgrid.study import Study
 
@@ -217,12 +217,35 @@ def test_profile_with_infinity_scans_twice(spark, tmp_path):
     assert (got["b"].n, got["b"].n_missing, got["b"].mean, got["b"].q1) == (1, 2, 2.0, 2.0)
 
 
-def test_final_sort_sees_a_small_part_of_an_octave(spark):
-    values = spark.range(100_000).select(F.lit("k").alias("key"), (1 + F.col("id") / 100_000).alias("v"))
-    q = quantiles._by_buckets(values, ["key"], {"m": ("v", 0.5)})
-    assert close(q.first().m, 1.499995, 1e-9)
-    # 1024 buckets and 4096 parts of one: about a hundred values reach a bucket, a handful a part
-    assert 100_000 / 1024 < 200 and quantiles.FINE_PARTS == 4096
+def test_final_sort_sees_a_small_part_of_a_bucket(spark, monkeypatch):
+    """One bucket of values, all but one of them close together: the sorted ranges stay even."""
+    dealt = []
+    monkeypatch.setattr(quantiles, "in_ranges", lambda *a: dealt.append(ranges.in_ranges(*a)) or dealt[-1])
+    values = spark.range(50_000).select(
+        F.lit("k").alias("key"),
+        F.when(F.col("id") == 49_999, 1.0006).otherwise(1 + F.col("id") * 2.0**-50).alias("v"),
+    )
+    q = quantiles._by_buckets(values, ["key"], {"m": ("v", 0.5), "top": ("v", 1.0)}).first()
+    assert q.m == 1 + 24_999.5 * 2.0**-50 and q.top == 1.0006
+    sizes = [r["count"] for r in dealt[0].groupBy("__b", "__part").count().collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 2 * 50_000 / (ranges.RANGES * 4)
+
+
+def test_no_second_route_without_hot_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    assert "Union" not in plan(quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5}))
+
+
+def test_grid_of_a_million_labels(spark):
+    df = spark.range(1_000_000).select(
+        F.col("id").cast("string").alias("c"), F.when(F.col("id") % 2 == 0, "f").otherwise("m").alias("s"), F.lit(3).cast("bigint").alias("n")
+    )
+    full = grid.complete_grid(df, {"c": None, "s": None}, {"n": 0})
+    assert "collect_set" not in plan(full)
+    assert tuple(full.agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 0)).first()) == (2_000_000, 3_000_000, 1_000_000)
+    empty = df.limit(0)
+    assert grid.complete_grid(empty, {"c": None, "s": None}, {"n": 0}).count() == 0
+    assert grid.complete_grid(empty, {"c": ["x"], "s": ["f", "m"]}, {"n": 0}).count() == 2
 
 
 def test_groups_of_null_items_stay(spark):
@@ -230,3 +253,5 @@ def test_groups_of_null_items_stay(spark):
     assert keyed(counts.distinct_counts(df, ["k"]), "k")["x"].n_sig == 0
     got = keyed(counts.counts_with_median(df, ["k"]), "k")
     assert (got["x"].n_sig, got["x"].med_lfc, got["y"].n_sig) == (0, 1.0, 1)
+    got = keyed(counts.direction_ratio(df, ["k"]), "k")
+    assert (got["x"].up, got["x"].down, got["x"].log2_up_down, got["y"].up) == (0, 0, 0.0, 1)

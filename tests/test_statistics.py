@@ -9,8 +9,7 @@ import pytest
 from helpers import close, keyed, plan
 from pyspark.sql import functions as F
 
-from effectgrid.functions.scalars import value_bucket
-from effectgrid.operators import association, contrast, fdr, fisher, mixed
+from effectgrid.operators import association, contrast, fdr, fisher, mixed, ranges
 
 
 def exact_fisher(a, b, c, d):
@@ -334,9 +333,17 @@ def test_adjustment_routes_agree_on_many_distinct_values(spark):
     a = fdr._bh_window(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
     b = fdr._bh_spread(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
     assert len(a) == len(b) and all(x.p == y.p and close(x.FDR, y.FDR, 1e-12) for x, y in zip(a, b))
-    # a bucket of the spread route holds a small part of the distinct values
-    largest = df.groupBy("g", value_bucket(F.col("p"), fdr.BUCKETS).alias("b")).agg(F.countDistinct("p").alias("n"))
-    assert largest.agg(F.max("n")).first()[0] <= 8
+
+
+def test_adjustment_spreads_values_that_lie_close(spark):
+    """All p within one part in 10^9 of each other: every range has its share, results as in one window."""
+    df = spark.range(20_000).select((0.5 + F.col("id") * 2.0**-46).alias("p"), (F.col("id") % 2).alias("g"))
+    a = fdr._bh_window(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
+    b = fdr._bh_spread(df, "p", ["g"], "FDR").orderBy("g", "p").collect()
+    assert len(a) == len(b) == 20_000 and all(x.p == y.p and close(x.FDR, y.FDR, 1e-12) for x, y in zip(a, b))
+    dealt = ranges.in_ranges(df, ["g", "p"], "r").groupBy("r").agg(F.count("*").alias("n"), F.min("p").alias("low")).collect()
+    wanted = ranges.RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(dealt) == wanted and max(r.n for r in dealt) <= 2 * 20_000 / wanted
 
 
 def _exact_two_sided(a, b, c, d):

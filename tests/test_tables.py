@@ -167,6 +167,31 @@ def test_sign_drivers(spark):
     assert {(r.pathway, r.gene) for r in kept.collect()} == {("WP_A", "g2"), ("WP_B", None)}
 
 
+def test_hot_panel_is_dealt_by_gene(spark, monkeypatch):
+    """A panel with nine tenths of the rows: same result in parts, and no task far above the median."""
+    genes = spark.range(20_000).select(
+        F.when(F.col("id") < 18_000, "Ast").otherwise("Mic").alias("cell_major"), F.lit("female").alias("sex"),
+        F.lit("p1").alias("path_short"), F.concat(F.lit("g"), "id").alias("gene"), (F.col("id") % 3 - 1.0).alias("logFC"))
+    scores = spark.createDataFrame(
+        [(c, "female", w, "p1", 1.0) for c in ("Ast", "Mic") for w in ("A", "B")],
+        "cell_major string, sex string, pathway string, predictor string, stat double")
+    top = scores.select("cell_major", "sex", "pathway")
+    whole = sorted(map(str, drivers.sign_agreement(top, scores, genes).collect()))
+    monkeypatch.setattr(drivers, "PART_GENES", 100)
+    assert sorted(map(str, drivers.sign_agreement(top, scores, genes).collect())) == whole and len(whole) == 40_000
+    signs = genes.withColumnRenamed("path_short", "predictor")
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        wanted = scores.select("cell_major", "sex", "predictor", "pathway")
+        tasks = drivers._dealt(signs, wanted, 180).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    counts = sorted(r["count"] for r in tasks)
+    assert len(counts) == 4 and counts[-1] <= 2 * counts[len(counts) // 2]
+
+
 def test_top_items_distinct_or_not(spark):
     strong = spark.createDataFrame(
         [("Ast", "male", w, p, m) for w, m in [("A", 9.0), ("B", 8.0), ("C", 7.0)] for p in ("p1", "p2")],
