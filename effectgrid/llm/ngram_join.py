@@ -285,16 +285,12 @@ def _chunk_pairs(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": side})
 
 
-def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75, shingle: int = 5) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links).
+def class_members(docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(id, n, rep, component) of all rows (id, text): the size of the set, the smallest id with an equal set, the component.
 
-    docs needs an integer id column without repeats and a text column; other
-    columns are not read. Null or empty texts and texts without words have no
-    shingles and link with nothing. Texts of equal sets link with each other.
-    An empty table gives an empty result. Rows with a null id are kept with a
-    null component.
+    Both are null for a row without shingles and for one with a null id, unless
+    a row with an id has the same set.
     """
-    docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     sketches = stored(docs.mapInArrow(_sketches(threshold, shingle), SKETCH), TEXTS)
     alike = sketches.where("n > 0 and id is not null")
     classes = stored(alike.groupBy("digest").agg(F.min("id").alias("rep")))
@@ -341,9 +337,21 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     member = sketches.select("id", "n", "digest").join(classes, "digest", "left")
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")
-    )
+    return out.select("id", "n", "rep", F.coalesce("component", "rep").alias("component"))
+
+
+def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75, shingle: int = 5) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links).
+
+    docs needs an integer id column without repeats and a text column; other
+    columns are not read. Null or empty texts and texts without words have no
+    shingles and link with nothing. Texts of equal sets link with each other.
+    An empty table gives an empty result. Rows with a null id are kept with a
+    null component.
+    """
+    docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    member = class_members(docs, threshold, shingle)
+    return member.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.75) -> DataFrame:

@@ -27,9 +27,14 @@ reach AS (
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 ),
-classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
-FROM {source} d JOIN classes c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+classes AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1),
+alike AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY members) AS class_id
+  FROM (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS members FROM sets GROUP BY 1)),
+degree AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
+  coalesce(a.class_id, d.doc_id) AS class_id, coalesce(g.n_links, 0) AS n_links
+FROM {source} d JOIN classes c USING (doc_id) LEFT JOIN n USING (doc_id)
+LEFT JOIN alike a USING (doc_id) LEFT JOIN degree g USING (doc_id)"""
 
 
 def copies_sql(source: str) -> str:

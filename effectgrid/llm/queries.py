@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectgrid.llm import (
-    archives, decontaminate, divergence, exact_dedup, language, main_text, mixing, ngram_join, personal_data, quality, toxicity,
+    archives, decontaminate, divergence, exact_dedup, language, main_text, mixing, ngram_links, personal_data, quality, toxicity,
     url_rules, whitening,
 )
 from effectgrid.llm.tables import read
@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_classes(read(spark, sf_dir, "documents"))
+    return ngram_links.ngram_joined(read(spark, sf_dir, "documents"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ import pytest
 
 from effectgrid.llm.components import components
 from effectgrid.llm.ngram_join import block_keys, dense_sketch, ngram_classes, one_of_each, scheme_of
+from effectgrid.llm.ngram_links import ngram_joined, ngram_pairs, shared_members
 
 SCHEMA = "doc_id long, text string, lang string, n_shingles string"
 
 
-def brute(docs):
+def brute(docs, links=None):
     sets, parent = {}, {}
     for i, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -26,6 +27,8 @@ def brute(docs):
         for b in sets:
             both = len(sets[a] & sets[b])
             if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                if links is not None:
+                    links.append((a, b))
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -39,7 +42,9 @@ def edited(rng, words, n):
 
 
 def test_against_all_pairs(spark, monkeypatch):
-    """Chains at the threshold, a shared passage, hot groups, every size band."""
+    """Classes and all links: chains at the threshold, a shared passage, hot groups, every size band."""
+    monkeypatch.setattr("effectgrid.llm.ngram_links.CHUNK_SETS", 5)
+    monkeypatch.setattr("effectgrid.llm.ngram_links.COLUMNS", 64)
     monkeypatch.setattr("effectgrid.llm.ngram_join.CHUNK", 8)
     rng, docs = random.Random(5), []
     passage = [f"p{i}" for i in range(40)]
@@ -55,8 +60,13 @@ def test_against_all_pairs(spark, monkeypatch):
     docs = [" ".join(d) for d in docs] + [None, "", " \t\n", "One two", "one TWO", "two one", "one\ntwo"]
     rows = [(i * 3, t, None, "x") for i, t in enumerate(docs)]
     rng.shuffle(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute([r[:2] for r in rows])
+    df, links = spark.createDataFrame(rows, SCHEMA), []
+    joined = {r.doc_id: r for r in ngram_joined(df).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in joined.items()} == brute([r[:2] for r in rows], links)
+    assert {i: r.n_links for i, r in joined.items()} == {i: sum(i in x for x in links) for i in joined}
+    between = {(min(x), max(x)) for a, b in links if len(x := {joined[a].class_id, joined[b].class_id}) == 2}
+    pairs = [tuple(r) for r in ngram_pairs(df).collect()]
+    assert set(pairs) == between and len(pairs) == len(between) > 50
 
 
 def test_edges(spark, near_texts):
@@ -67,6 +77,11 @@ def test_edges(spark, near_texts):
     rows = [(9, long, "en", "a"), (4, long.upper(), "en", "a"), (7, long + " z", "en", "a"), (5, "other words here", "en", "a")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc_id: r.component_id for r in ngram_classes(df).collect()} == {9: 4, 4: 4, 7: 4, 5: 5}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_joined(df).collect()} == {9: (4, 2), 4: (4, 2), 7: (7, 2), 5: (5, 0)}
+    assert ngram_joined(df.limit(0)).collect() == [] == ngram_pairs(df.limit(0)).collect()
+    odd = spark.createDataFrame([(None, "a b", None, None), (3, "A B", None, None), (4, None, None, None), (None, None, None, None)], SCHEMA)
+    got = sorted((tuple(r) for r in ngram_joined(odd).collect()), key=str)
+    assert got == sorted([(None, 1, 3, 3, 1), (3, 1, 3, 3, 1), (4, 0, 4, 4, 0), (None, 0, None, None, 0)], key=str)
     kept = one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5]
 
@@ -95,6 +110,14 @@ def test_sketch_distance_is_a_lower_bound():
         assert np.unpackbits(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_shared_members(monkeypatch):
+    monkeypatch.setattr("effectgrid.llm.ngram_links.COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40, 9), (30, 1, 0)))
+    assert shared_members(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert shared_members([], right).shape == (0, 3)
+
+
 @pytest.mark.parametrize("links_in_a_task", [10**6, 7])
 def test_components_of_paths_and_stars(spark, monkeypatch, links_in_a_task):
     monkeypatch.setattr("effectgrid.llm.components.TASK_LINKS", links_in_a_task)
