@@ -162,32 +162,56 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.explode("held").alias("h")).select("h.source", "shard", "h.n")
 
 
+def before_tickets(amounts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows (keys, ticket, amount), one per ticket: (keys, ticket, before), the amounts of the tickets before.
+
+    Prefix sums run over groups of tickets, then inside a group.
+    """
+    amounts = amounts.withColumn("group", F.floor(F.col("ticket") / GROUP))
+    groups = amounts.groupBy(*keys, "group").agg(F.sum("amount").alias("amount"))
+    ahead = Window.partitionBy(*keys).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*keys, "group", F.coalesce(F.sum("amount").over(ahead), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*keys, "group").orderBy("ticket").rowsBetween(Window.unboundedPreceding, -1)
+    return amounts.join(groups, [*keys, "group"]).select(
+        *keys, "ticket", (F.col("base") + F.coalesce(F.sum("amount").over(within), F.lit(0))).alias("before")
+    )
+
+
 def first_that_fit(rows: DataFrame) -> DataFrame:
     """Rows (key, ticket, id, size, u, gap) with `in`: those of the first tickets, in order, as long as all fit.
 
-    Prefix sums by key run over groups of tickets, then inside a group, then
-    inside the ticket, so no task holds a key.
+    Prefix sums run over tickets, then inside the ticket, so no task holds a key.
     """
-    words = rows.groupBy("key", "ticket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("ticket") / GROUP))
-    groups = words.groupBy("key", "group").agg(F.sum("words").alias("words"))
-    ahead = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("key", "group", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "group").orderBy("ticket").rowsBetween(Window.unboundedPreceding, -1)
-    before = words.join(groups, ["key", "group"]).select(
-        "key", "ticket", (F.col("base") + F.coalesce(F.sum("words").over(within), F.lit(0))).alias("before")
-    )
+    before = before_tickets(rows.groupBy("key", "ticket").agg(F.sum("size").alias("amount")), ["key"])
     upto = Window.partitionBy("key", "ticket").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(before, ["key", "ticket"]).withColumn("in", F.col("before") + F.sum("size").over(upto) <= F.col("gap"))
 
 
+def within_reach(rows: DataFrame) -> DataFrame:
+    """Of rows (key, ticket, id, size, u, gap) those that may still be taken: of each size the first gap / size.
+
+    What is missing only falls, so of a size the first ones are taken, and no
+    more of them than it holds. For a key this leaves at most the sum of
+    gap / size over the sizes up to the gap, about gap * ln(gap) rows, however many
+    it has. Ranks run inside a ticket, counts over tickets.
+    """
+    most = F.expr("gap div size")
+    own = Window.partitionBy("key", "size", "ticket").orderBy("u", "id")
+    near = rows.where("size <= gap").withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most)
+    counted = near.groupBy("key", "size", "ticket").agg(F.count(F.lit(1)).alias("amount"))
+    before = before_tickets(counted, ["key", "size"]).withColumnRenamed("before", "ahead")
+    return near.join(before, ["key", "size", "ticket"]).where(F.col("ahead") + F.col("nth") <= most).drop("nth", "ahead")
+
+
 def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, id, size, u, block, blocks, passes, part): draws (key, id, block, pass) of the part, and (key, more).
 
     Each source goes through its documents pass after pass, in the order of
     block, u and id, and takes each that still fits. A round takes the first
     ones up to one that does not fit; what is then missing is less than that
-    one's size, so the sizes that count shrink with every round. more: the
-    tickets reached by the first round.
+    one's size, so the sizes that count shrink with every round. The rounds after
+    the first get only the rows within reach, whose number hangs on what is
+    missing and not on the source. more: the tickets reached by the first round.
     """
     room = F.floor(F.col("part") + 1e-6).cast("long")
     rows = docs.where(F.col("passes") < MOST_COPIES).withColumn("gap", room).drop("part")
@@ -204,8 +228,10 @@ def fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             more = found.groupBy("key").agg((F.max("ticket") - F.max(F.col("passes") * F.col("blocks")) + 1).alias("more"))
         # one row per source, written so that its size is known before the join is planned
         used = stored(found.groupBy("key").agg(F.sum("size").alias("used")))
-        left = marked.where("not in").drop("in").join(used, "key")
-        open_rows = left.withColumn("gap", F.col("gap") - F.col("used")).drop("used")
+        left = marked.where("not in").drop("in").join(used, "key", "left")
+        open_rows = left.withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("used")
+        if len(taken) == 1:
+            open_rows = within_reach(open_rows)
     draws = marked.select("key", "id", "block", "pass", "size").limit(0)
     for part in taken:
         draws = draws.unionByName(part)

@@ -85,3 +85,31 @@ def test_odd_rows(spark):
     assert got[1] == (0, 0) and got[2] == (0, 0) and got[None] == (2, 0) and got[3][1] <= 3
     assert mixing.mixed(docs.limit(0)).collect() == []
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+def test_later_rounds_get_only_what_is_within_reach(spark, monkeypatch):
+    # the eleventh document is longer than what is then missing, all others would fit
+    sizes = [250 if i == 10 else 7 + i % 5 for i in range(1500)]
+    rows = [("=a", i, n, (i % 150) / 150, i // 150, 10, 0, 300.0) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "key string, id long, size long, u double, block long, blocks long, passes int, part double")
+    first, rounds = mixing.first_that_fit, []
+
+    def counted(open_rows):
+        rounds.append([(r.gap, r["size"]) for r in open_rows.select("gap", "size").collect()])
+        return first(open_rows)
+
+    monkeypatch.setattr(mixing, "first_that_fit", counted)
+    draws, _ = mixing.fill(docs)
+    got = sorted((r["pass"], r.id) for r in draws.collect())
+    gap, want = 300, []
+    for turn in range(3):
+        for i, n in enumerate(sizes):
+            if n <= gap:
+                gap -= n
+                want.append((turn, i))
+    near = [(abs(n - gap), i) for i, n in enumerate(sizes) if abs(n - gap) < gap and i not in {i for _, i in want}]
+    assert got == sorted(want + [(0, i) for _, i in near[:1]])
+    assert len(rounds[0]) == 4500
+    missing = 300 - sum(sizes[:10])
+    assert {gap for gap, _ in rounds[1]} == {missing}
+    assert 0 < len(rounds[1]) <= sum(missing // n for n in set(sizes))
