@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from effectgrid.functions.scalars import nan_to_null, quoted, value_bucket
@@ -42,10 +42,35 @@ def exact_medians(
     wanted = {c: (c, 0.5) for c in columns}
     if keys and max_group_rows is not None and max_group_rows <= HELD_VALUES // min(len(columns), BLOCK_COLUMNS):
         values = df.select(*keys, *[nan_to_null(quoted(c).cast("double")).alias(c) for c in columns])
-        return _by_aggregate(values, keys, wanted)
+        return _by_lists(values, keys, columns)
     return _quantiles(df, keys, wanted, hot_rows)
 
 
+def _by_lists(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Medians of groups that are known to be small: the middle of sorted lists.
+
+    Few values of a small group are equal, so counting them first, as the
+    built-in does, costs more than it saves.
+    """
+    blocks = []
+    for start in range(0, len(columns), BLOCK_COLUMNS):
+        block = columns[start : start + BLOCK_COLUMNS]
+        lists = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(quoted(c))).alias(c) for c in block])
+        blocks.append(lists.select(*keys, *[_middle(quoted(c)).alias(c) for c in block]))
+    if len(blocks) == 1:
+        return blocks[0]
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
+    return stacked.groupBy(*keys).agg(*[F.max(quoted(c)).alias(c) for c in columns])
+
+
+def _middle(values: Column) -> Column:
+    """Median of a sorted array without nulls, null if it is empty."""
+    n = F.size(values)
+    low = F.get(values, F.floor((n - 1) / 2).cast("int"))
+    high = F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+
+
 def _quantiles(
     df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], hot_rows: int | None,
     sizes: DataFrame | None = None,

@@ -9,7 +9,7 @@ import pytest
 from helpers import close, keyed, plan
 from pyspark.sql import functions as F
 
-from effectgrid.operators import association, contrast, fdr, fisher, mixed, ranges
+from effectgrid.operators import association, contrast, fdr, fisher, mixed, quantiles, ranges
 
 
 def exact_fisher(a, b, c, d):
@@ -400,3 +400,20 @@ def test_models_searched_together_as_one_by_one(monkeypatch):
     np.testing.assert_allclose(together, alone, rtol=1e-9)
     monkeypatch.setattr(mixed, "_HELD", 200)
     np.testing.assert_allclose(np.array(mixed.fit_models(models, 3, 1)), alone, rtol=1e-9)
+
+
+def test_medians_of_bounded_groups_by_lists(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        ("a", 3.0, 1.0), ("a", 1.0, None), ("a", 2.0, 5.0), ("b", 4.0, nan), ("b", 7.0, None),
+        ("c", inf, inf), ("c", inf, 2.0), ("d", -inf, 0.1), ("d", 2.0, 0.2), ("e", None, -1.0),
+        (None, 6.0, 8.0), (None, 8.0, 8.0),
+    ]
+    df = spark.createDataFrame(rows, "k string, `x.1` double, y double")
+    lists = quantiles.exact_medians(df, ["k"], ["x.1", "y"], max_group_rows=10)
+    # by values counted one by one, every row of a group becomes a map entry that is sorted and sent
+    assert "collect_list" in plan(lists) and "percentile" not in plan(lists)
+    want = {"a": (2.0, 3.0), "b": (5.5, None), "c": (inf, inf), "d": (-inf, 0.1 * 0.5 + 0.2 * 0.5), "e": (None, -1.0), None: (7.0, 8.0)}
+    assert {r[0]: (r[1], r[2]) for r in lists.collect()} == want
+    built_in = quantiles.exact_medians(df, ["k"], ["x.1", "y"])
+    assert {r[0]: (r[1], r[2]) for r in built_in.collect()} == want
